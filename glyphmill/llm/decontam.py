@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import cut
+from glyphmill.llm.common import cut, literal_table
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 UNITS = "kg|g|mg|lb|lbs|km|m|cm|mm|mi|miles?|meters?|feet|ft|inch|inches|l|ml|liters?|hours?|hrs?|h|minutes?|mins?|min|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?"
@@ -88,7 +88,7 @@ def find_leaks(
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         schema = "text_key string, item_id long, pos int, matched int, item_words int, exact int, consistent boolean"
-        return docs.sparkSession.createDataFrame([], schema)
+        return literal_table(docs.sparkSession, [], schema)
     found = found.groupBy("text_key", "item_id", "pos").agg(F.first("skip").alias("skip"), F.first("raw").alias("raw"), F.first("tpl").alias("tpl"))
     pair = F.arrays_zip(
         F.col("raw").alias("r"), F.col("tpl").alias("t"),

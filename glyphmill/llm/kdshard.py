@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from glyphmill.llm.common import cut
+from glyphmill.llm.common import cut, literal_table
 
 BINS = 1024
 
@@ -27,10 +27,10 @@ def _narrow(rows: DataFrame, value: str, state: dict[int, dict]) -> None:
     The histogram has at most ``BINS`` rows a node; one row a node reaches the driver.
     """
     spark = rows.sparkSession
-    open_ = [(n, s["lo"], s["hi"], float(s["left"])) for n, s in state.items() if s["lo"] < s["hi"]]
+    open_ = [{"node": n, "lo": s["lo"], "hi": s["hi"], "want": float(s["left"])} for n, s in state.items() if s["lo"] < s["hi"]]
     if not open_:
         return
-    bounds = spark.createDataFrame(open_, "node int, lo double, hi double, want double")
+    bounds = literal_table(spark, open_, "node int, lo double, hi double, want double")
     bounds = F.broadcast(bounds) if len(open_) <= 10_000 else bounds
     inside = rows.join(bounds, "node").where(F.col(value).between(F.col("lo"), F.col("hi")))
     bins = inside.groupBy("node", F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS).alias("bin")).agg(
@@ -62,7 +62,7 @@ def kd_shards(
     repeated rows are placed one by one, an empty table gives no rows, and
     other columns of ``docs`` are neither read nor returned.
     """
-    names = list(dims)
+    spark, names = docs.sparkSession, list(dims)
     body = F.coalesce(F.col(text), F.lit(""))
     meta = docs.select(
         F.col(row_id), text_size(F.col(text)).alias("size"), F.crc32(body).alias("text_crc32"),
@@ -86,21 +86,21 @@ def kd_shards(
                 d = max(range(len(names)), key=lambda i: ((r[f"hi{i}"] - r[f"lo{i}"]) / spread[i], -i))
                 c = open_nodes[r.node]
                 state[r.node] = {"dim": d, "lo": r[f"lo{d}"], "hi": r[f"hi{d}"], "left": r.w * (c // 2) / c, "inside": r.w}
-        pick = meta.sparkSession.createDataFrame([(n, s["dim"]) for n, s in state.items()], "node int, dim int")
+        pick = literal_table(spark, [{"node": n, "dim": s["dim"]} for n, s in state.items()], "node int, dim int")
         pick = F.broadcast(pick) if len(state) <= 10_000 else pick
         at = rows.join(pick, "node").withColumn("v", F.get(F.array(*[f"_d{i}" for i in range(len(names))]), F.col("dim")))
         while any(s["lo"] < s["hi"] for s in state.values()):
             _narrow(at.select("node", "size", "v"), "v", state)
         for s in state.values():
             s["v"], s["lo"], s["hi"] = s["lo"], float(-(1 << 52)), float(1 << 52)
-        ties = meta.sparkSession.createDataFrame([(n, s["v"]) for n, s in state.items()], "node int, tie double")
+        ties = literal_table(spark, [{"node": n, "tie": s["v"]} for n, s in state.items()], "node int, tie double")
         ties = F.broadcast(ties) if len(state) <= 10_000 else ties
         tied = at.join(ties, "node").where(F.col("v") == F.col("tie")).select("node", "size", "_h")
         while any(s["lo"] < s["hi"] for s in state.values()):
             _narrow(tied, "_h", state)
         # The row at the target goes to the side that it leaves nearer to the target.
-        splits = [(n, s["dim"], s["v"], s["lo"], s["left"] * 2 >= s["inside"], n + open_nodes[n] // 2) for n, s in state.items()]
-        split = meta.sparkSession.createDataFrame(splits, "node int, dim int, sv double, sh double, taken boolean, right int")
+        splits = [{"node": n, "dim": s["dim"], "sv": s["v"], "sh": s["lo"], "taken": s["left"] * 2 >= s["inside"], "right": n + open_nodes[n] // 2} for n, s in state.items()]
+        split = literal_table(spark, splits, "node int, dim int, sv double, sh double, taken boolean, right int")
         split = F.broadcast(split) if len(splits) <= 10_000 else split
         v = F.get(F.array(*[f"_d{i}" for i in range(len(names))]), F.col("dim"))
         left = (v < F.col("sv")) | ((v == F.col("sv")) & ((F.col("_h") < F.col("sh")) | ((F.col("_h") == F.col("sh")) & F.col("taken"))))

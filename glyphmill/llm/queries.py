@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontam, kdshard, secrets, url_filter, warc
+from glyphmill.llm import decontam, kdshard, langid, packing, secrets, url_filter, warc
 from glyphmill.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -53,6 +53,18 @@ def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, keep=["doc_id", "held_out"])
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -76,7 +88,7 @@ FROM d LEFT JOIN f USING (payload_digest)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_kd_sharding, op9_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_kd_sharding, op4_language_id, op5_packing, op9_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

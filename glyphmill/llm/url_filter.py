@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.common import literal_table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PARTS = "://([^/?#]*)([^?#]*)"
 
@@ -29,7 +31,7 @@ def url_path(url: Column) -> Column:
 
 def rule_table(spark, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
     """(host, path, verdict) triples as the rule relation of :func:`filter_urls`."""
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    return literal_table(spark, [dict(zip(("host", "path", "verdict"), r, strict=True)) for r in rules], "host string, path string, verdict string")
 
 
 def filter_urls(
@@ -53,7 +55,6 @@ def filter_urls(
     result column are replaced; all others stay. An empty table gives an
     empty result.
     """
-    spark = pages.sparkSession
     digest = lambda c: F.sha2(c, 256)
     r = (
         rules.select(F.translate(F.col("host"), UPPER, LOWER).alias("rhost"), F.coalesce(F.col("path"), F.lit("")).alias("rpath"), F.col("verdict").alias("rverdict"))
