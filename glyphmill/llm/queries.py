@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontam, kdshard, langid, packing, secrets, url_filter, warc
+from glyphmill.llm import decontam, jaccard, kdshard, langid, packing, secrets, substring, url_filter, vectors, warc
 from glyphmill.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -65,6 +65,67 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.strip_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[{SPACES}]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM p WHERE i + 49 <= len(w)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) < doc_id AS gone FROM s),
+m AS (
+  SELECT p.doc_id, p.i, p.w[p.i] AS word,
+    coalesce(max(CASE WHEN gone THEN p.i END) OVER (PARTITION BY p.doc_id ORDER BY p.i), -100) > p.i - 50 AS removed
+  FROM p LEFT JOIN f ON p.doc_id = f.doc_id AND p.i = f.i),
+k AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT removed), '') AS kept
+  FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id
+  WHERE a.size > 0 AND b.size > 0 AND list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM n UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT node AS vec_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links, component_id, node = component_id AS kept
+FROM c LEFT JOIN k ON a = node
+"""
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
+OP8_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{SPACES}]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i+2], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT node AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(seen) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = node GROUP BY node
+"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -88,8 +149,8 @@ FROM d LEFT JOIN f USING (payload_digest)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_kd_sharding, op4_language_id, op5_packing, op9_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_kd_sharding, op4_language_id, op5_packing, op6_substring_dedup, op7_embedding_dedup, op8_jaccard_join, op9_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op10_warc": OP10_SQL}
+    return {"op1_url_filter": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op10_warc": OP10_SQL}
