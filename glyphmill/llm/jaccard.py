@@ -368,3 +368,21 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     group = components(links.unionByName(copies))
     out = got.where("what = 'doc'").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     return out.join(group, F.col("node") == F.col("doc_id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", few: int = 1_000_000) -> DataFrame:
+    """``docs`` without those that aren't their group's smallest doc_id, and with repeated rows once.
+
+    The ids that go are broadcast up to ``few`` counted ones, else joined by a
+    shuffle. Only rows whose id repeats are compared with each other. Rows
+    with a null id stay.
+    """
+    gone = cut(groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    twice = cut(docs.groupBy(F.col(doc_id).alias("_twice")).count().where("count > 1 and _twice is not null").select("_twice"), "repeated")
+    gone = F.broadcast(gone) if gone.count() <= few else gone
+    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    if (n := twice.count()) == 0:
+        return kept
+    twice = F.broadcast(twice) if n <= few else twice
+    same = F.col(doc_id) == F.col("_twice")
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").distinct())
