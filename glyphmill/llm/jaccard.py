@@ -183,7 +183,7 @@ def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, freq
                         docs.append(i)
                         sets.append(s)
                         held += len(s)
-                if held >= 4 * FLUSH:
+                if held >= FLUSH:
                     yield from flush(docs, sets)
                     docs, sets, held = [], [], 0
         yield from flush(docs, sets)
@@ -329,7 +329,7 @@ def _join_large(members: DataFrame, size: int, num: int, den: int, block: int) -
         label = cut(members.select("cluster", "doc_id").distinct().join(components(links), F.col("node") == F.col("doc_id"), "left").select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labels")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", few: int = 1_000_000, cluster_bytes: int = 16 << 20, region: int = REGION) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", few: int = 1_000_000, cluster_bytes: int = 4 << 20, region: int = REGION) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row.
 
     A document's set holds its distinct ``size``-word shingles, words being

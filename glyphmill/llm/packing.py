@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,69 +17,109 @@ from pyspark.sql import functions as F
 from glyphmill.llm import wordhash as wh
 from glyphmill.llm.common import cut
 
-#: UTF-8 of non-ASCII white space, and special strings: texts with these are tokenised in one piece.
-WHOLE = re.compile(rb"<\|endoftext\|>|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: UTF-8 of non-ASCII white space. Texts with it, or with a special token's string, are tokenised in one piece.
+WIDE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: How byte-level BPE of this family splits a text, and the characters that stand for bytes in its vocabulary (fixed values).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter for each byte: itself if printable, else the next one from U+0100 on."""
+    rest = [b for b in range(256) if b not in set(PRINTABLE)]
+    return {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Tokens:
     """Token ids of many texts by a byte-level BPE tokenizer, each distinct segment once.
 
-    A segment is a run of white space and the word after it. The pre-tokenizer
-    never joins a word with the white space after it, so the ids of a text are
-    those of its segments in order. What is known is dropped at ``most`` ids.
+    A segment is a run of white space and the word after it, or a lone line
+    feed. The pre-tokenizer never joins a word with the white space after it,
+    nor a line feed with the word after it, so the ids of a text are those of
+    its segments in order. New segments are encoded together, one a
+    line. What is known is dropped beyond ``most`` segments.
     """
 
-    def __init__(self, model: str, most: int = 4_000_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_str(model), most
+    def __init__(self, model: str, most: int = 600_000) -> None:
+        import tiktoken
+
+        self.model, self.most, self.whole = model, most, None
+        letters, spec = byte_letters(), json.loads(model)
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
+        self.size = max(*ranks.values(), *added.values(), 0) + 1
+        self.odd = re.compile(b"|".join([*(re.escape(t.encode()) for t in added), WIDE_SPACE]))
+        self.fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        (self.line,) = self.fast.encode_ordinary("\n")
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[int, int] = {}
+        self.keys, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-
-    def learn(self, keys: list[int], segments: list[str]) -> None:
-        for key, e in zip(keys, self.tokenizer.encode_batch(segments, add_special_tokens=False), strict=True):
-            ids = e.ids
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            if self.n == len(self.start):
-                self.start, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.count))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.at[key], self.start[self.n], self.count[self.n] = self.n, self.used, len(ids)
-            self.used, self.n = self.used + len(ids), self.n + 1
+
+    def _encode(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments, and how many each has."""
+        if not segments:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids = np.array(self.fast.encode_ordinary(b"\n".join(segments).decode()), np.uint32)
+        at = np.flatnonzero(ids == self.line)
+        if len(at) == len(segments) - 1:
+            return np.delete(ids, at), np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1
+        every = [self.fast.encode_ordinary(x.decode()) for x in segments]
+        return np.array([i for x in every for i in x], np.uint32), np.array([len(x) for x in every])
+
+    def learn(self, keys: np.ndarray, place: np.ndarray, segments: list[bytes]) -> None:
+        # A line may hold a segment without white space but one leading space.
+        plain = np.array([not (x[:1] in b"\t\n\x0b\x0c\r" or x[:1] == b" " and x[1:2] in b" \t\n\x0b\x0c\r") for x in segments])
+        ids, counts = np.zeros(0, np.uint32), np.zeros(len(segments), np.int64)
+        parts = [self._encode([x for x, p in zip(segments, plain, strict=True) if p]), *(self._encode([x]) for x, p in zip(segments, plain, strict=True) if not p)]
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        ids, counts[order] = np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+        start = np.zeros(len(segments), np.int64)
+        start[order] = self.used + np.cumsum(counts[order]) - counts[order]
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.keys, self.start, self.count = np.insert(self.keys, place, keys), np.insert(self.start, place, start), np.insert(self.count, place, counts)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text."""
-        n = len(offsets) - 1
-        if self.used > self.most:
+        if len(self.keys) > self.most:
             self.forget()
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
         if not len(data):
-            return out
+            return [np.zeros(0, np.uint32)] * (len(offsets) - 1)
         space, edge = wh.SPACE[data], wh.text_starts(len(data), offsets)
-        cut_here = np.zeros(len(data), bool)
-        cut_here[1:] = space[1:] & ~space[:-1]
-        cut_here |= edge[:-1]
+        cut_here = edge[:-1].copy()
+        cut_here[1:] |= space[1:] & ~space[:-1]
+        # A lone line feed is a segment of its own.
+        alone = (data[:-1] == 10) & ~space[1:]
+        alone[1:] &= ~space[:-2] | edge[1:-2]
+        cut_here[1:] |= alone
         starts = np.flatnonzero(cut_here)
         ends = np.append(starts[1:], len(data))
         keys, first, inverse = np.unique(wh.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        if new:
-            raw = data.tobytes()
-            self.learn([keys[i] for i in new], [raw[starts[first[i]] : ends[first[i]]].decode() for i in new])
-        known = np.fromiter((self.at[k] for k in keys), np.int64, len(keys))[inverse]
+        place = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[place.clip(max=len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        raw = data.tobytes()
+        if len(new):
+            self.learn(keys[new], place[new], [raw[x:y] for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, keys)
+        known = place[inverse]
         counts = self.count[known]
         upto = np.concatenate(([0], np.cumsum(counts)))
         ids = self.ids[np.repeat(self.start[known] - upto[:-1], counts) + np.arange(upto[-1])]
         bounds = upto[np.searchsorted(starts, offsets)]
-        odd = {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in WHOLE.finditer(data.tobytes())}
-        for i in range(n):
-            out[i] = ids[bounds[i] : bounds[i + 1]] if i not in odd else np.array(self.tokenizer.encode(bytes(data[offsets[i] : offsets[i + 1]]).decode(), add_special_tokens=False).ids, np.uint32)
+        out = [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        for i in {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in self.odd.finditer(raw)}:
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_str(self.model)
+            out[i] = np.array(self.whole.encode(raw[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False).ids, np.uint32)
         return out
 
 
@@ -93,7 +134,7 @@ def tokenise(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "t
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, packer = Tokens(shared.value), zstandard.ZstdCompressor(level=1)
-        df = np.zeros(tokens.tokenizer.get_vocab_size(), np.uint32)
+        df = np.zeros(tokens.size, np.uint32)
         row = TaskContext.get().partitionId() << 36
         types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
@@ -104,10 +145,10 @@ def tokenise(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "t
             for lo, hi, data, offsets in wh.chunks(b.column(1)):
                 blobs, sizes = [], []
                 for ids in tokens.encode(data, offsets):
-                    df[np.unique(ids)] += 1
+                    df[np.unique(ids) if len(ids) < 3000 else np.flatnonzero(np.bincount(ids, minlength=1))] += 1
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     sizes.append(len(ids))
-                    blobs.append(packer.compress(ids.astype("<u2").tobytes() if len(df) <= 1 << 16 else ids.tobytes()))
+                    blobs.append(packer.compress(ids.astype("<u2").tobytes() if tokens.size <= 1 << 16 else ids.tobytes()))
                 yield batch(range(row, row + hi - lo), b.column(0).slice(lo, hi - lo), sizes, blobs)
                 row += hi - lo
         yield batch([row], [None], [None], [packer.compress(df.tobytes())])
@@ -219,7 +260,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     df[got["id"].to_numpy()] = got["n"].to_numpy()
     n_docs, mean = total.docs, total.n / total.docs
     shared = spark.sparkContext.broadcast(np.append(np.log1p((n_docs - df + 0.5) / (df + 0.5)), 0.0))  # one number an id
-    two_bytes = wide <= 1 << 16
+    small = Tokens(model).size <= 1 << 16
 
     def pack_shard(table: pa.Table) -> pa.Table:
         table = table.sort_by("row")
@@ -232,8 +273,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         columns = [table["doc_id"].combine_chunks().take(pa.array(doc)), start, n, crc, lengths[doc], (shard << 32) + sequence, offset]
         return pa.table([pa.array(c, pa.int64()) if not isinstance(c, pa.Array) else c for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    from tokenizers import Tokenizer
-
-    small = Tokenizer.from_str(model).get_vocab_size() <= 1 << 16 and two_bytes
     n_shards = max(1, -(-total.n // shard_tokens))
     return rows.select("row", "doc_id", "ids", F.pmod(F.xxhash64("row"), F.lit(n_shards)).alias("shard")).groupBy("shard").applyInArrow(pack_shard, PIECE_SCHEMA)
