@@ -4,7 +4,7 @@ The Jaccard distance is a metric. Sets of different texts lie at a distance
 near 1 from any text that one could take as a pivot, so pivots that are texts
 separate nothing; the pivots here are the single shingles, {s}. A set lies
 nearest to the pivots of its own shingles, all at the same distance, and ties
-are broken by one order of all shingles, rare ones first: that gives the
+are broken by one order of all shingles, those of rare words first: that gives the
 Voronoi region of each set. A set within the distance bound of another has its
 region among the first shingles of the other, so each set is replicated into
 the regions of its first ``n - ceil(t n) + 1`` shingles and no pair is lost.
@@ -35,26 +35,44 @@ PLACES, SLICES, PARTS = 1 << 20, 64, 32
 PIVOT = (("key", "<u8"), ("row", "<u4"))
 SETS = (("doc", "<i8"), ("n", "<u4"), *((f"p{i}", "<u2") for i in range(PARTS)))
 REGION_SCHEMA = "bucket int, what string, a long, b long, sets binary, pivots binary"
+#: Sets from which on a candidate pair is tested once more, by finer parts.
+FINE = 256
 #: Documents of one region that one task compares; larger regions are split into pairs of blocks.
 REGION = 20_000
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, text bounds) of all windows of ``size`` folded words; shorter texts are one window."""
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, text bounds, word hashes, first words) of all windows of ``size`` folded words; shorter texts are one window."""
     starts, ends, first = wh.words(data, offsets)
     n = np.diff(first)
     place = np.arange(len(starts)) - np.repeat(first[:-1], n)
     total = np.repeat(n, n)
     at = np.flatnonzero((place + size <= total) | ((place == 0) & (total < size)))
-    hashes = wh.windows(wh.hash_spans(wh.FOLD[data], starts, ends), at, np.minimum(size, total[at]))
-    return hashes + total[at].clip(max=size).astype(np.uint64), np.searchsorted(at, first)
+    words = wh.hash_spans(wh.FOLD[data], starts, ends)
+    hashes = wh.windows(words, at, np.minimum(size, total[at])) + total[at].clip(max=size).astype(np.uint64)
+    return hashes, np.searchsorted(at, first), words, at
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
-    hashes, bounds = shingles(data, offsets, size)
+    hashes, bounds, _, _ = shingles(data, offsets, size)
     return [np.unique(hashes[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def ordered_sets(data: np.ndarray, offsets: np.ndarray, size: int, weight: np.ndarray) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted keys: the weight of the shingle's rarest word in 8 bits, then 56 bits of its hash."""
+    hashes, bounds, words, at = shingles(data, offsets, size)
+    own = np.append(weight[place_of(words)], np.full(size, 255))
+    rank = own[at]
+    for k in range(1, size):  # a shingle is in no more documents than its rarest word
+        np.minimum(rank, own[at + k], out=rank)
+    rank = rank.astype(np.uint64)
+    # A text that is shorter than a window has one: its rank reads its hash instead.
+    short = np.repeat(np.diff(bounds) == 1, np.diff(bounds))
+    rank[short] = hashes[short] >> np.uint64(56)
+    key = (rank << np.uint64(56)) | (hashes >> np.uint64(8))
+    return [np.unique(key[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
@@ -64,15 +82,15 @@ def place_of(shingle: np.ndarray) -> np.ndarray:
 
 
 def _frequency(texts: DataFrame, size: int) -> np.ndarray:
-    """How many documents have a shingle of each place: ``PLACES`` numbers, whatever the corpus."""
+    """How often words, and shingles, of each place occur: twice ``PLACES`` numbers, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(PLACES, np.int64)
+        total = np.zeros(2 * PLACES, np.int64)
         for b in batches:
             for _, _, data, offsets in wh.chunks(b.column(0)):
-                hashes, bounds = shingles(data, offsets, size)
-                # A shingle that repeats within a text counts once per run only approximately; it just orders pivots.
-                total += np.bincount(place_of(hashes), minlength=PLACES)
+                hashes, _, words, _ = shingles(data, offsets, size)
+                total[:PLACES] += np.bincount(place_of(words), minlength=PLACES)
+                total[PLACES:] += np.bincount(place_of(hashes), minlength=PLACES)
         blobs = [zstandard.compress(x.tobytes(), 1) for x in np.split(total, SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
 
@@ -81,7 +99,7 @@ def _frequency(texts: DataFrame, size: int) -> np.ndarray:
         return pa.table([t["slice"][:1].combine_chunks(), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["slice", "counts"])
 
     rows = texts.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    total = np.zeros(PLACES, np.int64)
+    total = np.zeros(2 * PLACES, np.int64)
     for r in rows:
         total.reshape(SLICES, -1)[r.slice] = np.frombuffer(zstandard.decompress(r.counts), np.int64)
     return total
@@ -124,11 +142,14 @@ def _near(n_a, n_b, p_a, p_b, num: int, den: int) -> np.ndarray:
 
 
 def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, frequency: np.ndarray, region: int) -> DataFrame:
-    """Rows (what, a, b): ``doc`` (id, set size), ``copy`` and ``near`` (ids of equal sets, of candidates)."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequency.astype(np.uint32))
+    """Rows (what, a, b): ``doc`` (id, set size), ``copy`` (ids of equal sets), ``near`` and ``pair`` (ids of
+    candidates; a pair is to be tested by finer parts)."""
+    weight = np.rint(6 * np.log2(frequency[:PLACES] + 1.0)).clip(max=255).astype(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast((weight, frequency[PLACES:]))
+    region = max(region, int(4 * frequency[PLACES:].mean()))
 
     def flush(docs: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts = shared.value[1]
         seen: dict[bytes, int] = {}
         copies, keys, rows, n, parts, ids = [], [], [], [], [], []
         for doc, s in zip(docs, sets, strict=True):
@@ -138,12 +159,8 @@ def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, freq
             if (other := seen.setdefault(mark, doc)) != doc:
                 copies.append((doc, other))
                 continue
-            often = counts[place_of(s)]
-            rank = np.frexp(often.astype(np.float64))[1].astype(np.uint64)
-            take = prefix_length(len(s), num, den)
-            key = (rank << np.uint64(58)) | (s >> np.uint64(6))
-            pick = np.argpartition(key, take - 1)[:take] if take < len(s) else np.arange(len(s))
-            key, often = s[pick], often[pick]
+            key = s[: prefix_length(len(s), num, den)]
+            often = counts[place_of(key << np.uint64(8))]
             for j in np.flatnonzero(often > region):  # a region that may be too large: all pairs of its blocks
                 blocks = int(often[j] // region) + 1
                 own = (doc * 0x9E3779B1 & 0xFFFFFFFF) % blocks
@@ -175,7 +192,7 @@ def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, freq
         docs, sets, held = [], [], 0
         for b in batches:
             for lo, hi, data, offsets in wh.chunks(b.column(1)):
-                ids, got = b.column(0).slice(lo, hi - lo).to_pylist(), sets_of(data, offsets, size)
+                ids, got = b.column(0).slice(lo, hi - lo).to_pylist(), ordered_sets(data, offsets, size, shared.value[0])
                 none = [None] * len(ids)
                 yield _rows(["doc"] * len(ids), ids, [len(s) for s in got], none, none, [i % buckets for i in range(len(ids))])
                 for i, s in zip(ids, got, strict=True):
@@ -220,7 +237,10 @@ def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, freq
         code = np.unique(np.concatenate(pairs))
         a, b = code // upto, code % upto
         ok = np.concatenate([_near(n[x], n[y], part[x], part[y], num, den) for x, y in zip(np.array_split(a, len(a) // 65536 + 1), np.array_split(b, len(b) // 65536 + 1), strict=True)])
-        ends = [(a[ok], b[ok])]
+        a, b = a[ok], b[ok]
+        fine = np.maximum(n[a], n[b]) >= FINE
+        pairs = doc[a[fine]], doc[b[fine]]
+        ends = [(a[~fine], b[~fine])]
         for k in np.flatnonzero(count > 16):  # larger ones: only as many comparisons as connect them
             members = np.unique(row[begin[k] : begin[k] + count[k]])
             u = Union(len(members))
@@ -229,7 +249,10 @@ def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, freq
             x, y = u.edges()
             ends.append((members[x], members[y]))
         a, b = (doc[np.concatenate([e[i] for e in ends])] for i in (0, 1))
-        return pa.concat_tables([passed, pa.table([pa.array(["near"] * len(a), pa.string()), pa.array(a), pa.array(b)], names=["what", "a", "b"])])
+        out = [passed]
+        for what, x, y in (("near", a, b), ("pair", *pairs)):
+            out.append(pa.table([pa.array([what] * len(x), pa.string()), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["what", "a", "b"]))
+        return pa.concat_tables(out)
 
     return texts.select("doc_id", "text").mapInArrow(scan, REGION_SCHEMA).groupBy("bucket").applyInArrow(join, "what string, a long, b long")
 
@@ -244,6 +267,41 @@ def _rows(what: list, a: list, b: list, sets: list, pivots: list, bucket: list)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((bucket, what, a, b, sets, pivots), types, strict=True)], ["bucket", "what", "a", "b", "sets", "pivots"])
 
 
+def _test_pairs(rows: DataFrame, pairs: DataFrame, size: int, num: int, den: int, few: int) -> DataFrame:
+    """The candidate pairs (a, b) that pass the bound by parts of about four shingles each.
+
+    Each document of a pair is scanned once for its counts, a byte a part.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in wh.chunks(b.column(1)):
+                out = []
+                for s in sets_of(data, offsets, size):
+                    parts = np.bincount((s & np.uint64((p := 1 << max(5, len(s).bit_length() - 3)) - 1)).astype(np.int64), minlength=p)
+                    out.append(np.append(np.frombuffer(np.int64(len(s)).tobytes(), np.uint8), parts.clip(max=255).astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], ["doc_id", "parts"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                both = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little")
+                x, y = (np.frombuffer(z, np.uint8, offset=8) for z in (x, y))
+                full = (x == 255).any() or (y == 255).any()
+                p = min(len(x), len(y))
+                gap = np.abs(x.reshape(-1, p).sum(0, dtype=np.int64) - y.reshape(-1, p).sum(0, dtype=np.int64)).sum()
+                keep.append(bool(full or gap * (den + num) <= both * (den - num)))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = cut(pairs.distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    # Rows that share a doc_id are one node; such a node's pairs pass if any of its rows does.
+    counts = cut(some(rows, ids, few).join(ids, "doc_id").select("doc_id", "text").mapInArrow(count, "doc_id long, parts binary"), "parts")
+    both = pairs.join(counts.select(F.col("doc_id").alias("a"), F.col("parts").alias("x")), "a").join(counts.select(F.col("doc_id").alias("b"), F.col("parts").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+
+
 class Overlaps:
     """Sizes of the intersections of one set with many, by an inverted index."""
 
@@ -316,8 +374,8 @@ def _join_large(members: DataFrame, size: int, num: int, den: int, block: int) -
             open_ = open_.where("component <> largest").join(used, ["cluster", "doc_id"], "left_anti")
         ranked = open_.select("cluster", "doc_id", F.xxhash64("doc_id").alias("r"))
         share = ranked.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        # About 256 pivots a round, drawn by hash; a share of the open ones needs no sorting of a cluster.
-        picked = ranked.join(share, "cluster").where(F.pmod("r", "n") < (256 if used is not None else 32)).select("cluster", "doc_id")
+        # About 64 pivots a round, drawn by hash; a share of the open ones needs no sorting of a cluster.
+        picked = ranked.join(share, "cluster").where(F.pmod("r", "n") < (64 if used is not None else 32)).select("cluster", "doc_id")
         picked = cut(picked.unionByName(ranked.groupBy("cluster").agg(F.min_by("doc_id", "r").alias("doc_id"))).distinct(), "pivots")
         if picked.isEmpty():
             return links
@@ -353,7 +411,8 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     got = cut(_regions(rows, size, num, den, max(12, total >> 24), frequency, region), "regions")
 
     copies = got.where("what = 'copy'").select("a", "b")
-    near = got.where("what = 'near' and a <> b").select("a", "b").distinct()
+    near = got.where("what = 'near' and a <> b").select("a", "b")
+    near = near.unionByName(_test_pairs(rows, got.where("what = 'pair' and a <> b").select("a", "b"), size, num, den, few)).distinct()
     cluster = components(near)
     sent = cut(cluster.join(copies, F.col("node") == F.col("a"), "left_anti").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
     texts = some(rows, sent, few).join(sent, "doc_id")
