@@ -107,12 +107,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
     placed = cut(rows.select("vec_id", "embedding", "row").mapInArrow(place, "cell int, home boolean, row long, vec_id long, x binary, cells binary"), "cells")
     # Cells and their sizes: at most most_cells rows.
     size = {r.cell: (r.m, r.h) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("home").cast("int")).alias("h")).collect()}
-    wide = F.create_map(*[F.lit(int(v)) for c, (m, _) in size.items() for v in (c, max(1, -(-m // block)))]) if size else F.create_map(F.lit(0), F.lit(1))
-    blocks = F.element_at(wide, F.col("cell"))
-    mine = F.pmod(F.xxhash64("row"), blocks).cast("int")
-    # A row is sent as home row i to every j, and as member j to every i.
-    sent = placed.where("home").select("cell", mine.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), "home", "row", "vec_id", "x", "cells").unionByName(
-        placed.select("cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), mine.alias("j"), F.lit(False).alias("home"), "row", "vec_id", "x", "cells")
+    count = lambda k: F.element_at(F.create_map(*[F.lit(int(v)) for c, x in (size or {0: (1, 1)}).items() for v in (c, max(1, -(-x[k] // block)))]), F.col("cell"))
+    mine = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
+    # A row of home block i is sent to every member block j of its cell, and one of member block j to every i.
+    sent = placed.where("home").select("cell", mine(count(1)).alias("i"), F.explode(F.sequence(F.lit(0), count(0) - 1)).alias("j"), "home", "row", "vec_id", "x", "cells").unionByName(
+        placed.select("cell", F.explode(F.sequence(F.lit(0), count(1) - 1)).alias("i"), mine(count(0)).alias("j"), F.lit(False).alias("home"), "row", "vec_id", "x", "cells")
     )
 
     def compare(t: pa.Table) -> pa.Table:
