@@ -129,8 +129,8 @@ def indexed_search(files: DataFrame, trigrams: DataFrame, query: str, **options)
 
 def enclosing_symbols(hits: DataFrame, symbols: DataFrame) -> DataFrame:
     """Each hit with the tightest symbol around its line, or else the nearest one before it; of equals the later."""
-    s = symbols.select("path", F.col("name").alias("scope_name"), F.col("kind").alias("scope_kind"), F.col("line_start").alias("scope_start"), F.col("line_end").alias("scope_end"), "ord")
-    j = hits.join(s, (hits.path == s.path) & (s.scope_start <= hits.line_num), "left").drop(s.path)
+    s = symbols.select(F.col("path").alias("_path"), F.col("name").alias("scope_name"), F.col("kind").alias("scope_kind"), F.col("line_start").alias("scope_start"), F.col("line_end").alias("scope_end"), "ord")
+    j = hits.join(s, (F.col("path") == F.col("_path")) & (F.col("scope_start") <= F.col("line_num")), "left").drop("_path")
     around = F.col("scope_end") >= F.col("line_num")
     rank = F.row_number().over(W.partitionBy("path", "line_num").orderBy(F.desc(F.coalesce(around, F.lit(False))), F.when(around, F.col("scope_end") - F.col("scope_start")), F.desc("scope_start"), F.desc("ord")))
     return j.withColumn("_r", rank).where("_r = 1").drop("_r", "ord")
