@@ -252,6 +252,7 @@ def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, freq
         out = [passed]
         for what, x, y in (("near", a, b), ("pair", *pairs)):
             out.append(pa.table([pa.array([what] * len(x), pa.string()), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["what", "a", "b"]))
+        wh.give_back()
         return pa.concat_tables(out)
 
     return texts.select("doc_id", "text").mapInArrow(scan, REGION_SCHEMA).groupBy("bucket").applyInArrow(join, "what string, a long, b long")
@@ -408,7 +409,7 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     frequency = _frequency(rows.select("text"), size)
-    got = cut(_regions(rows, size, num, den, max(12, total >> 24), frequency, region), "regions")
+    got = cut(_regions(rows, size, num, den, max(12, total >> 23), frequency, region), "regions")
 
     copies = got.where("what = 'copy'").select("a", "b")
     near = got.where("what = 'near' and a <> b").select("a", "b")
