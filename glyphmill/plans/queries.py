@@ -321,7 +321,7 @@ def telemetry_summary(spark, d):
     return telemetry.tool_summary(_t(spark, d, "events").withColumnRenamed("event_type", "tool"), "tool", F.col("value"), F.col("tool") == "error")
 
 
-@query("SELECT event_id, epoch_ms(ts) AS timestamp_ms, CASE event_type WHEN 'view' THEN 'tool_call' WHEN 'signup' THEN 'session_start' ELSE event_type END AS event_type, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS latency_ns FROM events")
+@query("SELECT event_id, epoch_us(ts) // 1000 AS timestamp_ms, CASE event_type WHEN 'view' THEN 'tool_call' WHEN 'signup' THEN 'session_start' ELSE event_type END AS event_type, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS latency_ns FROM events")
 def telemetry_normalise(spark, d):
     e = _t(spark, d, "events")
     kind = F.when(F.col("event_type") == "view", "tool").when(F.col("event_type") == "signup", "start").otherwise(F.col("event_type"))
