@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm import wordhash as wh
 from glyphmill.llm.common import cut
 from glyphmill.llm.components import components
-from glyphmill.llm.substring import FLUSH, bucket_of, pack, some, unpack
+from glyphmill.llm.substring import FLUSH, bucket_of, pack, unpack
 
 #: Places of the frequency sketch and slices in which it travels; parts of the shingle universe.
 PLACES, SLICES, PARTS = 1 << 20, 64, 32
@@ -268,6 +268,12 @@ def _rows(what: list, a: list, b: list, sets: list, pivots: list, bucket: list)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((bucket, what, a, b, sets, pivots), types, strict=True)], ["bucket", "what", "a", "b", "sets", "pivots"])
 
 
+def _picked(rows: DataFrame, keys: DataFrame, few: int) -> DataFrame:
+    """``rows`` with the columns of ``keys``, which holds a doc_id once: by a broadcast of up to
+    ``few`` counted keys, so that texts stay where they are, else by a shuffle."""
+    return rows.join(F.broadcast(keys) if keys.limit(few + 1).count() <= few else keys, "doc_id")
+
+
 def _test_pairs(rows: DataFrame, pairs: DataFrame, size: int, num: int, den: int, few: int) -> DataFrame:
     """The candidate pairs (a, b) that pass the bound by parts of about four shingles each.
 
@@ -298,7 +304,7 @@ def _test_pairs(rows: DataFrame, pairs: DataFrame, size: int, num: int, den: int
     pairs = cut(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # Rows that share a doc_id are one node; such a node's pairs pass if any of its rows does.
-    counts = cut(some(rows, ids, few).join(ids, "doc_id").select("doc_id", "text").mapInArrow(count, "doc_id long, parts binary"), "parts")
+    counts = cut(_picked(rows, ids, few).select("doc_id", "text").mapInArrow(count, "doc_id long, parts binary"), "parts")
     both = pairs.join(counts.select(F.col("doc_id").alias("a"), F.col("parts").alias("x")), "a").join(counts.select(F.col("doc_id").alias("b"), F.col("parts").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
@@ -416,10 +422,10 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     near = near.unionByName(_test_pairs(rows, got.where("what = 'pair' and a <> b").select("a", "b"), size, num, den, few)).distinct()
     cluster = components(near)
     sent = cut(cluster.join(copies, F.col("node") == F.col("a"), "left_anti").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
-    texts = some(rows, sent, few).join(sent, "doc_id")
-    weight = texts.groupBy("cluster").agg(F.sum(F.octet_length("text")).alias("w"))
+    lengths = rows.select("doc_id", F.octet_length("text").alias("w"))
+    weight = _picked(lengths, sent, few).groupBy("cluster").agg(F.sum("w").alias("w"))
     large = cut(weight.where(F.col("w") > cluster_bytes).select("cluster"), "oversize")
-    members = texts.select("cluster", "doc_id", "text")
+    members = _picked(rows, sent, few).select("cluster", "doc_id", "text")
     if large.isEmpty():
         links = _join_clusters(members, size, num, den)
     else:
