@@ -24,9 +24,10 @@ KEYWORD = "|".join([_any_case("password"), _any_case("passwd"), _any_case("secre
 ASSIGN = f"({KEYWORD})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: kind -> (pattern, least characters of the match, or of group 2 for assign)
 BASE = {"assign": (ASSIGN, 8), "access": ("AKIA[A-Z0-9]+", 16), "hex": ("[0-9a-f]{32,}", 32)}
-#: Weak parts by role: an identifier, a secret and an endpoint complete each other.
+#: Weak parts by role: an identifier, a secret and an endpoint complete each other. An endpoint's scheme
+#: counts by its last 20 letters, so that a long run of letters takes linear time.
 IDENTIFIER = "(" + "|".join(_any_case(w) for w in ("username", "user", "login", "client_id", "account")) + ")[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9_.@-]{3,}"
-WEAK = {"identifier": (IDENTIFIER, 1), "opaque": ("[A-Za-z0-9+/_-]{20,}", 20), "endpoint": ("[a-z][a-z0-9+]*://[A-Za-z0-9_.-]+(:[0-9]+)?[A-Za-z0-9/_.-]*", 8)}
+WEAK = {"identifier": (IDENTIFIER, 1), "opaque": ("[A-Za-z0-9+/_-]{20,}", 20), "endpoint": ("[a-z][a-z0-9+]{0,19}://[A-Za-z0-9_.-]+(:[0-9]+)?[A-Za-z0-9/_.-]*", 8)}
 #: What a weak kind needs beside it: a kind of another role, weak or base.
 ROLE = {"identifier": "id", "access": "id", "opaque": "secret", "assign": "secret", "hex": "secret", "endpoint": "endpoint"}
 RANK = {k: i for i, k in enumerate([*BASE, *WEAK])}
