@@ -10,12 +10,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import wordhash as wh
-from glyphmill.llm.common import cut
+from glyphmill.llm.common import cut, fresh, literal_table
 
 #: UTF-8 of non-ASCII white space. Texts with it, or with a special token's string, are tokenised in one piece.
 WIDE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
@@ -157,7 +157,7 @@ def tokenise(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "t
 
 
 class Index:
-    """BM25 over the documents of one shard: postings by term, with corpus-wide document frequencies."""
+    """BM25 over the documents of a small corpus: postings by term, with corpus-wide document frequencies."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75) -> None:
         owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -187,7 +187,7 @@ def pack(lengths: np.ndarray, index: Index, window: int, query_terms: int) -> li
 
     A seed, the longest unused document, opens a window; unused neighbours by
     falling BM25 fill it. One that doesn't fit is cut and seeds the next
-    window with its rest, so only the shard's last window can stay short.
+    window with its rest, so only the last window can stay short.
     """
     unused = np.ones(len(lengths), bool)
     order = iter(np.argsort(-lengths, kind="stable").tolist())
@@ -221,17 +221,241 @@ def pack(lengths: np.ndarray, index: Index, window: int, query_terms: int) -> li
     return pieces
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, shard_tokens: int = 1 << 19, query_terms: int = 48) -> DataFrame:
+#: Ids of a corpus that one task packs alone; above it the index is sharded and packing goes by rounds.
+ALONE = 1 << 20
+#: Most seeds of a round, and how many of them are scored at once; entries of the dense part of a shard's index.
+SEEDS, BLOCK, DENSE = 8192, 256, 1 << 24
+
+
+def squeeze(x: np.ndarray, kind: str) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x, kind).tobytes(), 1)
+
+
+def expand(blob: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), kind)
+
+
+class Shard:
+    """One shard of the index, reduced to its unused documents: frequent terms as rows of a matrix, the others as postings."""
+
+    def __init__(self, no: np.ndarray, length: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, unused: np.ndarray, idf: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75) -> None:
+        alive = unused[no]
+        self.no, self.n = no[alive], int(alive.sum())
+        kept = alive[doc]
+        place = np.cumsum(alive) - 1
+        term, doc, tf, length = term[kept], place[doc[kept]], tf[kept], length[doc[kept]]
+        # Whole numbers of 2**-20: sums don't depend on their order, so copies score the same in all shards.
+        weight = np.rint((1 << 20) * (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))))
+        df = np.bincount(term, minlength=len(idf))
+        often = np.argsort(-df, kind="stable")[: max(1, DENSE // max(self.n, 1))]
+        often = often[df[often] * 32 > self.n]
+        self.column = np.full(len(idf), -1)
+        self.column[often] = np.arange(len(often))
+        at = self.column[term]
+        self.dense = np.zeros((len(often), self.n))
+        self.dense[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+        self.doc, self.weight = doc[at < 0], weight[at < 0]
+        self.first = np.searchsorted(term[at < 0], np.arange(len(idf) + 1))
+
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """BM25 of all documents for all terms of each query."""
+        asked = np.zeros((len(queries), len(self.dense)))
+        for i, terms in enumerate(queries):
+            at = self.column[terms]
+            asked[i, at[at >= 0]] = 1
+        out = asked @ self.dense
+        for i, terms in enumerate(queries):
+            ends = [(x, y) for x, y in zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), strict=True) if x < y]
+            if ends:
+                out[i] += np.bincount(np.concatenate([self.doc[x:y] for x, y in ends]), np.concatenate([self.weight[x:y] for x, y in ends]), minlength=self.n)
+        return out
+
+
+def best(score: np.ndarray, no: np.ndarray, seed: int, n_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` best documents with a positive score. Ties follow the numbers after the seed's own, so that the seeds among many copies ask for different ones."""
+    at = np.flatnonzero(score > 0)
+    if len(at) > most:
+        at = at[score[at] >= np.partition(score[at], len(at) - most)[len(at) - most]]
+    at = at[np.lexsort(((no[at] - seed) % n_docs, -score[at]))][:most]
+    return no[at], score[at]
+
+
+class Chains:
+    """Windows that fill side by side, each by the neighbours of its own seed."""
+
+    def __init__(self, lengths: np.ndarray, window: int, most: int) -> None:
+        self.lengths, self.window = lengths, window
+        self.unused = np.ones(len(lengths), bool)
+        self.order, self.at = np.argsort(-lengths, kind="stable"), 0
+        self.sequence, self.done = 0, []
+        # chain: [seed, pieces (document, start, length) of its open window, ids in it]
+        self.open = [[-1, [], 0] for _ in range(max(1, min(most, int(lengths.sum()) // window // 16)))]
+
+    def put(self, chain: list, doc: int) -> bool:
+        """Adds a whole document; whether it ended a window."""
+        self.unused[doc] = False
+        chain[0], start, left, full = doc, 0, int(self.lengths[doc]), False
+        while left:
+            n = min(left, self.window - chain[2])
+            chain[1].append((doc, start, n))
+            start, left, chain[2] = start + n, left - n, chain[2] + n
+            if chain[2] == self.window:
+                self.close(chain)
+                full = True
+        return full
+
+    def close(self, chain: list) -> None:
+        offset = 0
+        for doc, start, n in chain[1]:
+            self.done.append((doc, start, n, self.sequence, offset))
+            offset += n
+        self.sequence, chain[1], chain[2] = self.sequence + 1, [], 0
+
+    def seeds(self) -> list[int]:
+        """The seeds to ask for. A chain without one takes the longest unused document into its window."""
+        for chain in self.open:
+            while chain[0] < 0 and self.at < len(self.order):
+                doc, self.at = int(self.order[self.at]), self.at + 1
+                if self.unused[doc]:
+                    self.put(chain, doc)
+                    if not chain[2]:
+                        chain[0] = -1
+        return [c[0] for c in self.open if c[0] >= 0] if self.unused.any() else []
+
+    def fill(self, found: list[np.ndarray], most: int) -> None:
+        """Each chain takes its seed's best unused neighbours until its window is full; one without any takes a new seed next."""
+        for chain, docs in zip([c for c in self.open if c[0] >= 0], found, strict=True):
+            seed = chain[0]
+            for doc in docs[self.unused[docs]].tolist():
+                if self.put(chain, doc):
+                    if not chain[2]:
+                        chain[0] = -1
+                    break
+            else:
+                # All that were found are taken: if they were all there are, the next seed goes on in this window.
+                chain[0] = seed if len(docs) == most else -1
+
+    def finish(self) -> None:
+        """What the open windows hold, one after the other: only the last stays short."""
+        rest: list = [-1, [], 0]
+        for chain in self.open:
+            for doc, start, left in chain[1]:
+                while left:
+                    n = min(left, self.window - rest[2])
+                    rest[1].append((doc, start, n))
+                    start, left, rest[2] = start + n, left - n, rest[2] + n
+                    if rest[2] == self.window:
+                        self.close(rest)
+        if rest[1]:
+            self.close(rest)
+
+
+def pack_rounds(rows: DataFrame, n_docs: int, total: int, idf: Broadcast, mean: float, small: bool, window: int, shard_tokens: int, neighbours: int) -> DataFrame:
+    """``pack`` over a sharded index. The driver holds two numbers and a flag a document, and one round's seeds and candidates."""
+    spark, kind = rows.sparkSession, "<u2" if small else "<u4"
+    low = (1 << 36) - 1
+    parts = sorted((r.part, r["count"]) for r in rows.groupBy(F.shiftright("row", 36).alias("part")).count().collect())
+    base = np.cumsum([0, *[n for _, n in parts]])
+    bases = literal_table(spark, [{"part": p, "base": int(x)} for (p, _), x in zip(parts, base, strict=False)], "part: bigint, base: bigint")
+    numbered = rows.withColumn("part", F.shiftright("row", 36)).join(F.broadcast(bases), "part").select((F.col("base") + F.col("row").bitwiseAND(F.lit(low))).alias("no"), "doc_id", "n", "ids")
+    got = numbered.select("no", F.col("n").cast("int").alias("n")).toArrow()
+    lengths = np.zeros(n_docs, np.int32)
+    lengths[got["no"].to_numpy()] = got["n"].to_numpy()
+    n_shards = max(8, -(-total // shard_tokens))
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("no")
+        docs = [expand(x, kind) for x in table["ids"].to_pylist()]
+        docs = [x[:-1] if len(x) > 1 else x for x in docs]
+        length = np.array([len(x) for x in docs])
+        pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + np.repeat(np.arange(len(docs)), length), return_counts=True)
+        blobs = [squeeze(table["no"].to_numpy(), "<i8"), squeeze(length, "<u4"), squeeze(pair // len(docs), "<u4"), squeeze(pair % len(docs), "<u4"), squeeze(tf, "<u4")]
+        wh.give_back()
+        return pa.table([pa.array([x], pa.binary()) for x in blobs], names=["no", "length", "term", "doc", "tf"])
+
+    dealt = numbered.select("no", "ids", F.pmod(F.xxhash64("no"), F.lit(n_shards)).alias("shard")).repartition(n_shards, "shard")
+    index = cut(dealt.groupBy("shard").applyInArrow(build, "no binary, length binary, term binary, doc binary, tf binary"), "index")
+    chains, written = Chains(lengths, window, SEEDS), fresh(spark, "pieces")
+
+    def write() -> None:
+        done = np.array(chains.done, np.int64).reshape(-1, 5).T
+        names = ["no", "start", "length", "sequence_id", "offset"]
+        spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in done], names=names), ", ".join(f"{x} long" for x in names)).coalesce(1).write.mode("append").parquet(written)
+        chains.done = []
+
+    while seeds := chains.seeds():
+        own = spark.createDataFrame(pa.table([pa.array(seeds, pa.int64())], names=["no"]), "no long")
+        got = numbered.join(F.broadcast(own), "no").select("no", "ids").toArrow()
+        texts = dict(zip(got["no"].to_pylist(), got["ids"].to_pylist(), strict=True))
+        terms = [np.unique(x[:-1] if len(x) > 1 else x) for x in (expand(texts[s], kind) for s in seeds)]
+        shared = spark.sparkContext.broadcast((seeds, squeeze(np.concatenate(terms), "<u4"), [len(x) for x in terms], np.packbits(chains.unused)))
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seeds, terms, sizes, bits = shared.value
+            queries = np.split(expand(terms, "<u4").astype(np.int64), np.cumsum(sizes)[:-1])
+            unused = np.unpackbits(bits, count=n_docs).astype(bool)
+            for b in batches:
+                for row in zip(*(b.column(i) for i in range(5)), strict=True):
+                    no, *rest = (expand(x.as_py(), t) for x, t in zip(row, ("<i8", "<u4", "<u4", "<u4", "<u4"), strict=True))
+                    shard = Shard(no, *(x.astype(np.int64) for x in rest), unused, idf.value, mean)
+                    for lo in range(0, len(seeds) if shard.n else 0, BLOCK):
+                        hits = [best(s, shard.no, seed, n_docs, neighbours) for s, seed in zip(shard.scores(queries[lo : lo + BLOCK]), seeds[lo : lo + BLOCK], strict=True)]
+                        blobs = [squeeze([len(x) for x, _ in hits], "<i8"), squeeze(np.concatenate([x for x, _ in hits]), "<i8"), squeeze(np.concatenate([x for _, x in hits]), "<f8")]
+                        yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], ["lo", "sizes", "no", "score"])
+                    wh.give_back()
+
+        def merge(table: pa.Table) -> pa.Table:
+            lo, seeds = table["lo"][0].as_py(), shared.value[0]
+            sizes, no, score = ([expand(x, t) for x in table[c].to_pylist()] for c, t in (("sizes", "<i8"), ("no", "<i8"), ("score", "<f8")))
+            owner = np.concatenate([np.repeat(np.arange(len(s)), s) for s in sizes])
+            no, score = np.concatenate(no), np.concatenate(score)
+            hits = [best(score[owner == i], no[owner == i], seeds[lo + i], n_docs, neighbours)[0] for i in range(len(sizes[0]))]
+            return pa.table([pa.array([lo], pa.int64()), pa.array([squeeze([len(x) for x in hits], "<i8")], pa.binary()), pa.array([squeeze(np.concatenate(hits), "<i8")], pa.binary())], names=["lo", "sizes", "no"])
+
+        hits = index.mapInArrow(ask, "lo long, sizes binary, no binary, score binary").groupBy("lo").applyInArrow(merge, "lo long, sizes binary, no binary").collect()
+        found = [np.zeros(0, np.int64)] * len(seeds)
+        for r in hits:
+            sizes = expand(r.sizes, "<i8")
+            found[r.lo : r.lo + len(sizes)] = np.split(expand(r.no, "<i8"), np.cumsum(sizes)[:-1])
+        shared.unpersist()
+        chains.fill(found, neighbours)
+        if len(chains.done) > 200_000:
+            write()
+    chains.finish()
+    write()
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            crc = []
+            for blob, pieces in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                ids = expand(blob.as_py(), kind).astype("<u4")
+                crc.append([zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for p in pieces])
+            yield pa.RecordBatch.from_arrays([pa.array(crc, pa.list_(pa.int64())), *b.columns[1:]], ["crc", "pieces", "doc_id", "n"])
+
+    piece = "struct<start:bigint,length:bigint,sequence_id:bigint,offset:bigint>"
+    pieces = spark.read.parquet(written).groupBy("no").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
+    out = numbered.join(pieces, "no").select("ids", "pieces", "doc_id", "n").mapInArrow(check, f"crc array<bigint>, pieces array<{piece}>, doc_id long, n long")
+    out = out.select("doc_id", "n", F.inline(F.arrays_zip("crc", "pieces")))
+    return out.select("doc_id", "pieces.start", "pieces.length", F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), "pieces.sequence_id", "pieces.offset")
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, shard_tokens: int = 1 << 23, neighbours: int = 32, alone: int = ALONE) -> DataFrame:
     """Pieces of sequences of at most ``window`` ids that hold every id of every document once.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id and
     offset. Each document is tokenised once; the ids are kept in the shared
     folder. Document frequencies cover the whole corpus and take one number
-    per vocabulary entry. Rows are dealt by a hash of their number to shards
-    of about ``shard_tokens`` ids, so copies of a document or a source with
-    most of the rows spread evenly. Within a shard each window is filled with
-    BM25 neighbours of its seed, found by the seed's ``query_terms`` weightiest
-    terms; at most one sequence of a shard is shorter than ``window``.
+    per vocabulary entry. Each window is filled with BM25 neighbours of its
+    seed, by all of the seed's terms and over the whole corpus; at most one
+    sequence is shorter than ``window``.
+
+    Up to ``alone`` ids one task packs the corpus. Beyond, rows are dealt by a
+    hash of their number to index shards of about ``shard_tokens`` ids, and a
+    sixteenth of the windows (at most ``SEEDS``) fill side by side in rounds:
+    the seeds are asked of all shards, the ``neighbours`` best unused
+    documents of each are merged, and windows take them in turn. A seed whose
+    candidates are all taken is asked again among what is left. The work
+    grows with seeds times documents.
 
     Null and empty texts are one end id. Null document ids pass through,
     repeated rows are packed one by one, other columns don't matter, and an
@@ -262,16 +486,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     shared = spark.sparkContext.broadcast(np.append(np.log1p((n_docs - df + 0.5) / (df + 0.5)), 0.0))  # one number an id
     small = Tokens(model).size <= 1 << 16
 
+    if total.n > alone:
+        return pack_rounds(rows, n_docs, total.n, shared, mean, small, window, shard_tokens, neighbours)
+
     def pack_shard(table: pa.Table) -> pa.Table:
         table = table.sort_by("row")
         unpack = zstandard.ZstdDecompressor().decompress
         ids = [np.frombuffer(unpack(x), "<u2" if small else "<u4").astype("<u4") for x in table["ids"].to_pylist()]
-        lengths, shard = np.array([len(x) for x in ids]), table["shard"][0].as_py()
-        pieces = pack(lengths, Index([x[:-1] if len(x) > 1 else x for x in ids], shared.value, mean), window, query_terms)
+        lengths = np.array([len(x) for x in ids])
+        pieces = pack(lengths, Index([x[:-1] if len(x) > 1 else x for x in ids], shared.value, mean), window, len(shared.value))
         doc, start, n, sequence, offset = np.array(pieces, np.int64).T
         crc = [zlib.crc32(ids[d][s : s + k].tobytes()) for d, s, k, _, _ in pieces]
-        columns = [table["doc_id"].combine_chunks().take(pa.array(doc)), start, n, crc, lengths[doc], (shard << 32) + sequence, offset]
+        columns = [table["doc_id"].combine_chunks().take(pa.array(doc)), start, n, crc, lengths[doc], sequence, offset]
         return pa.table([pa.array(c, pa.int64()) if not isinstance(c, pa.Array) else c for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    n_shards = max(1, -(-total.n // shard_tokens))
-    return rows.select("row", "doc_id", "ids", F.pmod(F.xxhash64("row"), F.lit(n_shards)).alias("shard")).groupBy("shard").applyInArrow(pack_shard, PIECE_SCHEMA)
+    return rows.select("row", "doc_id", "ids", F.lit(0).alias("shard")).groupBy("shard").applyInArrow(pack_shard, PIECE_SCHEMA)

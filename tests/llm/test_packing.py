@@ -55,6 +55,28 @@ def test_neighbours_are_lexical():
     assert all(len(x) == 1 for x in topic.values())
 
 
+def test_neighbours_are_found_across_shards(spark):
+    # 200 topics of two texts with words of their own. One index lets all pairs meet in a window; sharded, windows
+    # that fill side by side compete for some.
+    texts = [" ".join(f"{'bcdfghklmn'[t % 10]}{'aeiou'[t // 10 % 5]}{'rstv'[t // 50]}{k}x{t}" for k in range(20)) for t in range(200) for _ in range(2)]
+
+    def met(**options):
+        rows, seen = rows_of(spark, texts, window=512, **options), {}
+        assert sum(n < 512 for n in check(rows, texts, 512).values()) <= 1
+        for r in rows:
+            seen.setdefault(r.doc_id, set()).add(r.sequence_id)
+        return sum(bool(seen[2 * t] & seen[2 * t + 1]) for t in range(200))
+
+    one, sharded = met(), met(alone=0, shard_tokens=4000)
+    assert sharded >= 0.8 * one > 100, (one, sharded)
+
+
+def test_rounds_hold_odd_texts_and_many_copies(spark):
+    texts = ODD * 3 + [f"word{i} again and again {i * i}" for i in range(300)] + ["the same text in many copies"] * 200
+    full = check(rows_of(spark, texts, window=64, alone=0, shard_tokens=1000), texts, 64)
+    assert sum(n < 64 for n in full.values()) <= 1
+
+
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert packing.pack_documents(empty, public_tokenizers.path("byte_bpe_50k.json")).collect() == []
