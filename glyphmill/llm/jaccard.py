@@ -66,8 +66,9 @@ def ordered_sets(data: np.ndarray, offsets: np.ndarray, size: int, weight: np.nd
     for k in range(1, size):  # a shingle is in no more documents than its rarest word
         np.minimum(rank, own[at + k], out=rank)
     rank = rank.astype(np.uint64)
-    # A text that is shorter than a window has one: its rank reads its hash instead.
-    short = np.repeat(np.diff(bounds) == 1, np.diff(bounds))
+    # A text that is shorter than a window has one: its rank reads its hash instead. Others keep their rank,
+    # which depends on the shingle alone, so equal sets of one shingle meet whatever their texts' lengths.
+    short = np.repeat(np.diff(bounds) == 1, np.diff(bounds)) & (np.diff(at, append=len(words)) < size)
     rank[short] = hashes[short] >> np.uint64(56)
     key = (rank << np.uint64(56)) | (hashes >> np.uint64(8))
     return [np.unique(key[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -76,5 +76,12 @@ def test_splits_of_hot_regions_and_clusters(spark):
     assert run(spark, rows, 3, 9, 10, cluster_bytes=20_000, region=20, few=0) == expected
 
 
+@pytest.mark.parametrize("case", [(3, 9, 10), (5, 8, 10)])
+def test_sets_of_one_shingle(spark, case):
+    texts = [" ".join(["a"] * n) for n in range(1, 9)] + ["b b b", "B b b b", "b b b b b", "b b b b b b c", "x y z", "x y z", "x y", "x y"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    assert run(spark, rows, *case) == brute(rows, *case)
+
+
 def test_empty(spark):
     assert run(spark, [], 3, 9, 10) == []
