@@ -2,8 +2,8 @@
 
 Strong patterns give the base findings. Weak candidates (an access
 identifier, a secret or an endpoint that says little on its own) are
-reported only when complementary parts stand within ``reach`` characters
-of each other in one scope, found by an interval join over positions.
+reported only when complementary parts stand beside them, with a gap of at
+most ``reach`` characters, in one scope, found by an interval join over positions.
 All of it is built from Spark's own string functions.
 """
 
@@ -69,8 +69,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataF
 
     ``base`` holds the strong findings, ``found`` also the weak parts that
     linking confirms. A scope is a paragraph, that is text between empty
-    lines. A weak part is confirmed if a part of another role starts in its
-    scope within ``reach`` characters of it.
+    lines. A weak part is confirmed if its scope holds a part of another role
+    that ends at most ``reach`` characters before its start or starts at most
+    ``reach`` characters after its end. Parts that overlap don't confirm each other.
 
     Texts are scanned once. Only the parts of texts with a weak candidate
     enter the interval join, once per distinct text, and the join looks at
@@ -101,12 +102,18 @@ def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataF
         .select("text_key", "breaks", F.explode(F.concat("base", "weak")).alias("p"))
         .select("text_key", F.col("p.start").alias("start"), F.col("p.rank").alias("rank"), F.col("p.end").alias("end"), F.get(roles, F.col("p.rank")).alias("role"), F.size(F.filter("breaks", lambda b: b < F.col("p.start"))).alias("scope"))
     )
-    near = W.partitionBy("text_key", "scope").orderBy("start").rangeBetween(-reach, reach)
-    other = lambda role: F.max(F.when(F.col("role") == role, 1).otherwise(0)).over(near)
+    # Each part's start looks back for ends, its end looks ahead for starts.
+    sides = rows.select("*", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(False).alias("is_end")), F.struct(F.col("end").alias("at"), F.lit(True).alias("is_end")))).alias("s"))
+    sides = sides.select("text_key", "scope", "start", "rank", "end", "role", "s.at", "s.is_end")
+    order = W.partitionBy("text_key", "scope").orderBy("at")
+    seen = lambda role, is_end, lo, hi: F.max((F.col("role") == role) & (F.col("is_end") == is_end)).over(order.rangeBetween(lo, hi))
+    beside = F.lit(False)
+    for role in sorted(set(ROLE.values())):
+        beside = beside | (F.col("role") != role) & F.when(F.col("is_end"), seen(role, False, 0, reach)).otherwise(seen(role, True, -reach, 0))
     linked = (
-        rows.withColumn("sides", other("id") + other("secret") + other("endpoint"))
-        .where((F.col("rank") >= len(BASE)) & (F.col("sides") > 1))
-        .groupBy("text_key").agg(F.collect_list(F.struct("start", "rank", "end")).alias("linked"))
+        sides.withColumn("beside", beside)
+        .where((F.col("rank") >= len(BASE)) & F.col("beside"))
+        .groupBy("text_key").agg(F.collect_set(F.struct("start", "rank", "end")).alias("linked"))
     )
     found = parts.join(linked, "text_key", "left").select("text_key", "base", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked"))).alias("found"))
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")

@@ -65,6 +65,18 @@ def test_weak_parts_need_each_other(spark):
     assert [found[i].f for i in (1, 2, 3, 4)] == [""] * 4 and [found[i].t for i in (1, 2, 3, 4)] == texts[1:]
 
 
+def found_in(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.f for r in secrets.scan_secrets(docs).select("doc_id", secrets.joined(F.col("found")).alias("f")).collect()}
+    return [[x.split(":")[0] for x in got[i].split(",") if x] for i in range(len(texts))]
+
+
+def test_long_parts_link_by_their_gap(spark):
+    key = "Zq8" * 100
+    texts = [f"{key} https://db.example.org", f"{key} user: alice9", f"https://db.example.org {key}", f"{key}{' .' * 150} user: alice9"]
+    assert found_in(spark, texts) == [["opaque", "endpoint"], ["opaque", "identifier"], ["endpoint", "opaque"], []]
+
+
 def test_shards_are_even_and_whole(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     hot = docs.unionByName(docs.limit(1).crossJoin(spark.range(400)).drop("id")).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
