@@ -71,7 +71,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataF
     linking confirms. A scope is a paragraph, that is text between empty
     lines. A weak part is confirmed if its scope holds a part of another role
     that ends at most ``reach`` characters before its start or starts at most
-    ``reach`` characters after its end. Parts that overlap don't confirm each other.
+    ``reach`` characters after its end. Parts that overlap don't confirm each
+    other, and an opaque run inside an endpoint or identifier is no part.
 
     Texts are scanned once. Only the parts of texts with a weak candidate
     enter the interval join, once per distinct text, and the join looks at
@@ -102,6 +103,10 @@ def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataF
         .select("text_key", "breaks", F.explode(F.concat("base", "weak")).alias("p"))
         .select("text_key", F.col("p.start").alias("start"), F.col("p.rank").alias("rank"), F.col("p.end").alias("end"), F.get(roles, F.col("p.rank")).alias("role"), F.size(F.filter("breaks", lambda b: b < F.col("p.start"))).alias("scope"))
     )
+    # An opaque run lies inside a part that starts no later and ends no earlier.
+    upto = W.partitionBy("text_key", "scope").orderBy("start").rangeBetween(W.unboundedPreceding, 0)
+    around = F.max(F.when(F.col("rank").isin(RANK["identifier"], RANK["endpoint"]), F.col("end"))).over(upto)
+    rows = rows.withColumn("inside", (F.col("rank") == RANK["opaque"]) & (around >= F.col("end"))).where(~F.coalesce("inside", F.lit(False)))
     # Each part's start looks back for ends, its end looks ahead for starts.
     sides = rows.select("*", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(False).alias("is_end")), F.struct(F.col("end").alias("at"), F.lit(True).alias("is_end")))).alias("s"))
     sides = sides.select("text_key", "scope", "start", "rank", "end", "role", "s.at", "s.is_end")

@@ -77,6 +77,11 @@ def test_long_parts_link_by_their_gap(spark):
     assert found_in(spark, texts) == [["opaque", "endpoint"], ["opaque", "identifier"], ["endpoint", "opaque"], []]
 
 
+def test_one_string_is_one_part(spark):
+    link, key = "https://example.org/blog/2023/10/some-long-title", "Zq8" * 8
+    assert found_in(spark, [f"see {link} for more", f"user={key}", f"{link} and {link}", f"user={key} at {link}"]) == [[], [], [], ["identifier", "endpoint"]]
+
+
 def test_shards_are_even_and_whole(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     hot = docs.unionByName(docs.limit(1).crossJoin(spark.range(400)).drop("id")).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
