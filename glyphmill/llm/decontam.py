@@ -37,15 +37,15 @@ def template(text: Column) -> Column:
     return F.lower(t)
 
 
-def _windows(tpl: Column, size: int, stride: int) -> Column:
+def _windows(tpl: Column, size: int) -> Column:
     last = F.size(tpl) - size
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride))).otherwise(F.expr("cast(array() as array<int>)"))
+    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(tpl, i + 1, size)).alias("hash")))
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 8, stride: int = 4, coverage: float = 0.6, broadcast_rows: int = 100_000,
+    window: int = 8, coverage: float = 0.6, broadcast_rows: int = 100_000,
 ) -> DataFrame:
     """Alignments of benchmark items with documents, one row for each distinct one.
 
@@ -56,10 +56,9 @@ def find_leaks(
     two). Kept are consistent alignments with ``matched >= coverage *
     item_words``.
 
-    Document windows start at every ``stride``-th word and item windows at
-    every word, so any shared run of ``window + stride - 1`` template words
-    meets. If some item is shorter than that, the stride is 1, and items
-    shorter than ``window`` are matched by windows of their own length.
+    Windows start at every word on both sides, so any shared run of
+    ``window`` template words meets. Items shorter than ``window`` are
+    matched by windows of their own length.
     The item side is broadcast up to ``broadcast_rows`` counted windows, else
     shuffled. A document's windows leave the scan only where they match.
 
@@ -68,18 +67,17 @@ def find_leaks(
     not matter.
     """
     items = cut(benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("item_raw"), words(template(F.col(item_text))).alias("item_tpl")).where(F.size("item_tpl") > 0).distinct(), "items")
-    lengths = [r[0] for r in items.select(F.least(F.size("item_tpl"), F.lit(window + stride - 1))).distinct().collect()]
-    stride = stride if all(n == window + stride - 1 for n in lengths) else 1
+    lengths = [r[0] for r in items.select(F.least(F.size("item_tpl"), F.lit(window))).distinct().collect()]
     d = docs.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     d = d.select(F.md5("_text").alias("text_key"), words(F.col("_text")).alias("raw"), words(template(F.col("_text"))).alias("tpl"))
     found = None
-    for size in sorted({min(n, window) for n in lengths}):
+    for size in sorted(lengths):
         own = items if size == window else items.where(F.size("item_tpl") == size)
-        own = own.where(F.size("item_tpl") >= size).select("item_id", F.size("item_tpl").alias("item_words"), F.explode(_windows(F.col("item_tpl"), size, 1)).alias("w"))
+        own = own.where(F.size("item_tpl") >= size).select("item_id", F.size("item_tpl").alias("item_words"), F.explode(_windows(F.col("item_tpl"), size)).alias("w"))
         own = own.select("item_id", "item_words", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"))
         if own.limit(broadcast_rows + 1).count() <= broadcast_rows:
             own = F.broadcast(own)
-        hits = d.select("text_key", "raw", "tpl", F.explode(_windows(F.col("tpl"), size, stride)).alias("w")).withColumn("hash", F.col("w.hash")).join(own, "hash")
+        hits = d.select("text_key", "raw", "tpl", F.explode(_windows(F.col("tpl"), size)).alias("w")).withColumn("hash", F.col("w.hash")).join(own, "hash")
         pos = F.col("w.pos") - F.col("item_pos")
         # What of the item lies before the document's start or after its end is missing.
         skip, size_at = F.greatest(-pos, F.lit(0)), F.greatest(pos, F.lit(0))

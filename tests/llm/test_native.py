@@ -113,3 +113,13 @@ def test_reparameterised_questions_are_found(spark):
     kept = decontam.decontaminate(docs, leaks)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5]
     assert decontam.find_leaks(docs.where("false"), bench).collect() == [] == decontam.find_leaks(docs, bench.where("false")).collect()
+
+
+def test_short_runs_are_found_at_every_place(spark):
+    words = [f"{a}{b}ta" for a in "bdfg" for b in "aei"]
+    runs = {12: [*words[:10], "zzz", "yyy"], 8: [*words[:8], "zzz", "yyy", "xxx", "vvv"]}  # shared words of twelve: ten, eight
+    texts = [" ".join(["filler"] * k + run) for run in runs.values() for k in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = decontam.leaked_documents(docs, decontam.find_leaks(docs, bench)).collect()
+    assert sorted((r.doc_id, r.matched) for r in got) == [(i, 10 if i < 8 else 8) for i in range(16)]
