@@ -3,13 +3,16 @@
 A benchmark question that returns with other numbers or names has the same
 template. Windows of template words of documents and items meet in a hash
 join; each alignment that a window proposes is then checked over the whole
-item, word by word, and its slots must map consistently.
+item, word by word, and its slots must map consistently. Alignments of one
+item that lie a few words apart, as an inserted or dropped word leaves them,
+are added up.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from glyphmill.llm.common import cut, literal_table
 
@@ -37,6 +40,24 @@ def template(text: Column) -> Column:
     return F.lower(t)
 
 
+def collapse(raw: Column, tpl: Column) -> Column:
+    """Struct of ``raw`` and ``tpl`` in which a run of equal placeholders is one slot, so that a name may have any number of words."""
+    same = lambda i: F.get(tpl, i).isin(NUMBER, NAME, UNIT) & (F.get(tpl, i) == F.get(tpl, i - 1))
+    places = F.sequence(F.lit(1), F.size(tpl) - 1)
+    runs = F.when(F.size(tpl) > 1, F.exists(places, same)).otherwise(False)
+    starts = F.concat(F.array(F.lit(0)), F.filter(places, lambda i: ~same(i)))
+    ends = F.concat(F.slice(starts, 2, F.size(tpl)), F.array(F.size(tpl)))
+    joined = F.zip_with(starts, ends, lambda x, y: F.array_join(F.slice(raw, x + 1, y - x), " "))
+    return F.when(runs, F.struct(joined.alias("raw"), F.transform(starts, lambda i: F.get(tpl, i)).alias("tpl"))).otherwise(F.struct(raw.alias("raw"), tpl.alias("tpl")))
+
+
+def _consistent(agree: Column) -> Column:
+    """Whether each slot value of the item stands for one value of the document."""
+    slots = F.filter(agree, lambda x: x["it"].contains("#"))
+    count = lambda *names: F.size(F.array_distinct(F.transform(slots, lambda x: F.concat_ws("\0", *[x[n] for n in names]))))
+    return count("it", "ir", "r") == count("it", "ir")
+
+
 def _windows(tpl: Column, size: int) -> Column:
     last = F.size(tpl) - size
     starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
@@ -45,16 +66,21 @@ def _windows(tpl: Column, size: int) -> Column:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 8, coverage: float = 0.6, broadcast_rows: int = 100_000,
+    window: int = 8, coverage: float = 0.6, drift: int = 4, broadcast_rows: int = 100_000,
 ) -> DataFrame:
     """Alignments of benchmark items with documents, one row for each distinct one.
 
     Returns ``text_key`` (MD5 of the document's text), ``item_id``, ``pos``
     (the document word at which the item's first word would lie), ``matched``
     (template words that agree there), ``item_words``, ``exact`` (matched words
-    whose spelling agrees too) and ``consistent`` (no slot value stands for
-    two). Kept are consistent alignments with ``matched >= coverage *
-    item_words``.
+    whose spelling agrees too) and ``consistent`` (no slot value of the item
+    stands for two of the document; two may share one). Kept are consistent
+    alignments with ``matched >= coverage * item_words``. A word here is a
+    word of the template, where a run of equal placeholders counts as one.
+
+    An alignment also counts the item words that others of its item, at most
+    ``drift`` words off, add in runs of three or more, as long as all slots
+    together stay consistent; the nearest are added first.
 
     Windows start at every word on both sides, so any shared run of
     ``window`` template words meets. Items shorter than ``window`` are
@@ -66,10 +92,12 @@ def find_leaks(
     give one row here, empty tables give an empty result; other columns do
     not matter.
     """
-    items = cut(benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("item_raw"), words(template(F.col(item_text))).alias("item_tpl")).where(F.size("item_tpl") > 0).distinct(), "items")
+    items = cut(benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("item_raw"), words(template(F.col(item_text))).alias("item_tpl")).where(F.size("item_tpl") > 0)
+        .select("item_id", collapse(F.col("item_raw"), F.col("item_tpl")).alias("c")).select("item_id", F.col("c.raw").alias("item_raw"), F.col("c.tpl").alias("item_tpl")).distinct(), "items")
     lengths = [r[0] for r in items.select(F.least(F.size("item_tpl"), F.lit(window))).distinct().collect()]
     d = docs.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     d = d.select(F.md5("_text").alias("text_key"), words(F.col("_text")).alias("raw"), words(template(F.col("_text"))).alias("tpl"))
+    d = d.select("text_key", collapse(F.col("raw"), F.col("tpl")).alias("c")).select("text_key", F.col("c.raw").alias("raw"), F.col("c.tpl").alias("tpl"))
     found = None
     for size in sorted(lengths):
         own = items if size == window else items.where(F.size("item_tpl") == size)
@@ -92,16 +120,26 @@ def find_leaks(
         F.col("raw").alias("r"), F.col("tpl").alias("t"),
         F.slice("item_raw", F.col("skip") + 1, F.size("tpl")).alias("ir"), F.slice("item_tpl", F.col("skip") + 1, F.size("tpl")).alias("it"),
     )
+    pair = F.transform(pair, lambda x, k: F.struct((F.col("skip") + k).alias("i"), x["t"].alias("t"), x["it"].alias("it"), x["r"].alias("r"), x["ir"].alias("ir")))
     agree = F.filter(pair, lambda x: x["t"].eqNullSafe(x["it"]))
-    slots = F.filter(F.col("agree"), lambda x: x["it"].contains("#"))
-    n_slots = lambda f: F.size(F.array_distinct(F.transform(slots, f)))
-    both = n_slots(lambda x: F.concat_ws("\0", x["it"], x["ir"], x["r"]))
-    out = found.join(items, "item_id").withColumn("agree", agree).select(
-        "text_key", "item_id", "pos", F.size("agree").alias("matched"), F.size("item_tpl").alias("item_words"),
-        F.size(F.filter("agree", lambda x: x["r"] == x["ir"])).alias("exact"),
-        ((both == n_slots(lambda x: F.concat_ws("\0", x["it"], x["ir"]))) & (both == n_slots(lambda x: F.concat_ws("\0", x["it"], x["r"])))).alias("consistent"),
+    own = found.join(items, "item_id").select("text_key", "item_id", "pos", F.size("item_tpl").alias("item_words"), agree.alias("agree"))
+    own = own.withColumn("consistent", _consistent(F.col("agree"))).withColumn("places", F.transform("agree", lambda x: x["i"]))
+    at = lambda i: F.array_contains("places", i)
+    in_run = lambda i: (at(i - 2) & at(i - 1)) | (at(i - 1) & at(i + 1)) | (at(i + 1) & at(i + 2))
+    own = own.withColumn("runs", F.filter("agree", lambda x: in_run(x["i"])))
+    around = W.partitionBy("text_key", "item_id", "item_words").orderBy("pos").rangeBetween(-drift, drift)
+    own = own.withColumn("near", F.collect_list(F.struct("pos", "runs")).over(around))
+    near = F.array_sort(F.transform(F.filter("near", lambda x: x["pos"] != F.col("pos")), lambda x: F.struct(F.abs(x["pos"] - F.col("pos")).alias("off"), x["pos"].alias("pos"), x["runs"].alias("runs"))))
+
+    def add(have: Column, other: Column) -> Column:
+        both = F.concat(have, F.filter(other["runs"], lambda x: ~F.exists(have, lambda y: y["i"] == x["i"])))
+        return F.when(_consistent(both), both).otherwise(have)
+
+    out = own.where("consistent").withColumn("near", near).withColumn("agree", F.aggregate("near", F.col("agree"), add)).select(
+        "text_key", "item_id", "pos", F.size("agree").alias("matched"), "item_words",
+        F.size(F.filter("agree", lambda x: x["r"] == x["ir"])).alias("exact"), "consistent",
     )
-    return out.where(F.col("consistent") & (F.col("matched") >= coverage * F.col("item_words")))
+    return out.where(F.col("matched") >= coverage * F.col("item_words"))
 
 
 def leaked_documents(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -123,3 +123,18 @@ def test_short_runs_are_found_at_every_place(spark):
     bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
     got = decontam.leaked_documents(docs, decontam.find_leaks(docs, bench)).collect()
     assert sorted((r.doc_id, r.matched) for r in got) == [(i, 10 if i < 8 else 8) for i in range(16)]
+
+
+def test_slots_may_share_a_value_and_alignments_add_up(spark):
+    shared = "the farmer keeps 3 apples and 4 pears in one basket near the barn door until noon"
+    named = "before the long winter storm the old sailor met Maria on the narrow bridge over the cold river"
+    plain = "an old train leaves the quiet valley at dawn and reaches the busy harbour long before any of the boats"
+    texts = [
+        shared.replace("3", "5").replace("4", "5"), named.replace("Maria", "Ivan Petrov"), named,
+        plain.replace("and reaches", "and slowly reaches"), plain.replace("dawn and", "dawn"), plain.replace("quiet valley", "loud city"), "an old train leaves the quiet valley at dawn",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, shared), (2, named), (3, plain)], "item_id long, text string")
+    got = decontam.leaked_documents(docs, decontam.find_leaks(docs, bench)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (1, 2), (2, 2), (3, 3), (4, 3), (5, 3)}
+    assert all(r.matched <= r.item_words for r in got)
