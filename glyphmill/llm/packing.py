@@ -10,12 +10,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import wordhash as wh
-from glyphmill.llm.common import cut, fresh, literal_table
+from glyphmill.llm.common import cut
 
 #: UTF-8 of non-ASCII white space. Texts with it, or with a special token's string, are tokenised in one piece.
 WIDE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
@@ -33,20 +33,38 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _append(store: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """``store`` with ``more`` after its first ``used`` entries, doubled as needed, and how many are used then."""
+    while used + len(more) > len(store):
+        store = np.concatenate((store, np.zeros_like(store)))
+    store[used : used + len(more)] = more
+    return store, used + len(more)
+
+
+def _equal(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> bool:
+    """Whether the spans of ``size`` bytes at ``a_at`` and ``b_at`` hold the same bytes."""
+    upto = np.cumsum(size) - size
+    ramp = np.arange(int(size.sum()))
+    return bool((a[np.repeat(a_at - upto, size) + ramp] == b[np.repeat(b_at - upto, size) + ramp]).all())
+
+
 class Tokens:
     """Token ids of many texts by a byte-level BPE tokenizer, each distinct segment once.
 
     A segment is a run of white space and the word after it, or a lone line
     feed. The pre-tokenizer never joins a word with the white space after it,
     nor a line feed with the word after it, so the ids of a text are those of
-    its segments in order. New segments are encoded together, one a
-    line. What is known is dropped beyond ``most`` segments.
+    its segments in order. What is known is found by a hash, and the bytes of
+    every segment are then compared with those that its ids were made of; texts
+    of a chunk in which any differ are encoded whole, so no collision can give
+    wrong ids. New segments are encoded together, one a line. What is known is
+    dropped beyond ``most`` segments or ``most_bytes`` bytes of them.
     """
 
-    def __init__(self, model: str, most: int = 600_000) -> None:
+    def __init__(self, model: str, most: int = 600_000, most_bytes: int = 1 << 25) -> None:
         import tiktoken
 
-        self.model, self.most, self.whole = model, most, None
+        self.model, self.most, self.most_bytes, self.whole = model, most, most_bytes, None
         letters, spec = byte_letters(), json.loads(model)
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
@@ -57,8 +75,9 @@ class Tokens:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.start, self.count, self.at, self.size_of = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.pool, self.filled = np.zeros(1 << 16, np.uint8), 0
 
     def _encode(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all segments, and how many each has."""
@@ -74,21 +93,36 @@ class Tokens:
     def learn(self, keys: np.ndarray, place: np.ndarray, segments: list[bytes]) -> None:
         # A line may hold a segment without white space but one leading space.
         plain = np.array([not (x[:1] in b"\t\n\x0b\x0c\r" or x[:1] == b" " and x[1:2] in b" \t\n\x0b\x0c\r") for x in segments])
-        ids, counts = np.zeros(0, np.uint32), np.zeros(len(segments), np.int64)
+        counts = np.zeros(len(segments), np.int64)
         parts = [self._encode([x for x, p in zip(segments, plain, strict=True) if p]), *(self._encode([x]) for x, p in zip(segments, plain, strict=True) if not p)]
         order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
         ids, counts[order] = np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
-        start = np.zeros(len(segments), np.int64)
+        start, size = np.zeros(len(segments), np.int64), np.array([len(x) for x in segments])
         start[order] = self.used + np.cumsum(counts[order]) - counts[order]
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.keys, self.start, self.count = np.insert(self.keys, place, keys), np.insert(self.start, place, start), np.insert(self.count, place, counts)
+        self.ids, self.used = _append(self.ids, self.used, ids)
+        at = self.filled + np.cumsum(size) - size
+        self.pool, self.filled = _append(self.pool, self.filled, np.frombuffer(b"".join(segments), np.uint8))
+        for name, new in (("keys", keys), ("start", start), ("count", counts), ("at", at), ("size_of", size)):
+            setattr(self, name, np.insert(getattr(self, name), place, new))
+
+    def _look_up(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """Each segment's number among the known ones, new ones included; None if a hash stands for two segments."""
+        keys, first, group = np.unique(wh.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        size = ends - starts
+        if not (size[first][group] == size).all() or not _equal(data, starts, data, starts[first][group], size):
+            return None
+        place = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[place.clip(max=len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            self.learn(keys[new], place[new], [raw[x:y] for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, keys)
+        if not (self.size_of[place] == size[first]).all() or not _equal(data, starts[first], self.pool, self.at[place], size[first]):
+            return None
+        return place[group]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.keys) > self.most:
+        if len(self.keys) > self.most or self.filled > self.most_bytes:
             self.forget()
         if not len(data):
             return [np.zeros(0, np.uint32)] * (len(offsets) - 1)
@@ -100,21 +134,18 @@ class Tokens:
         alone[1:] &= ~space[:-2] | edge[1:-2]
         cut_here[1:] |= alone
         starts = np.flatnonzero(cut_here)
-        ends = np.append(starts[1:], len(data))
-        keys, first, inverse = np.unique(wh.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero(self.keys[place.clip(max=len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         raw = data.tobytes()
-        if len(new):
-            self.learn(keys[new], place[new], [raw[x:y] for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            place = np.searchsorted(self.keys, keys)
-        known = place[inverse]
-        counts = self.count[known]
-        upto = np.concatenate(([0], np.cumsum(counts)))
-        ids = self.ids[np.repeat(self.start[known] - upto[:-1], counts) + np.arange(upto[-1])]
-        bounds = upto[np.searchsorted(starts, offsets)]
-        out = [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-        for i in {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in self.odd.finditer(raw)}:
+        known = self._look_up(data, raw, starts, np.append(starts[1:], len(data)))
+        if known is None:
+            out, odd = [np.zeros(0, np.uint32)] * (len(offsets) - 1), set(range(len(offsets) - 1))
+        else:
+            counts = self.count[known]
+            upto = np.concatenate(([0], np.cumsum(counts)))
+            ids = self.ids[np.repeat(self.start[known] - upto[:-1], counts) + np.arange(upto[-1])]
+            bounds = upto[np.searchsorted(starts, offsets)]
+            out = [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            odd = {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in self.odd.finditer(raw)}
+        for i in odd:
             if self.whole is None:
                 from tokenizers import Tokenizer
 
@@ -156,310 +187,148 @@ def tokenise(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "t
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "row long, doc_id long, n long, ids binary")
 
 
-class Index:
-    """BM25 over the documents of a small corpus: postings by term, with corpus-wide document frequencies."""
-
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75) -> None:
-        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        width = np.int64(len(idf))
-        pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + owner, return_counts=True)
-        self.n, term, self.doc = len(docs), pair // len(docs), pair % len(docs)
-        length = np.array([len(d) for d in docs])[self.doc]
-        self.weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
-        self.first = np.searchsorted(term, np.arange(width + 1))
-        own = np.argsort(self.doc, kind="stable")
-        self.terms, self.gain = term[own], self.weight[own]
-        self.of = np.searchsorted(self.doc[own], np.arange(len(docs) + 1))
-
-    def scores(self, seed: int, query_terms: int) -> np.ndarray:
-        """BM25 of all documents for the terms that weigh most in ``seed``."""
-        terms, gain = (x[self.of[seed] : self.of[seed + 1]] for x in (self.terms, self.gain))
-        if len(terms) > query_terms:
-            terms = terms[np.argpartition(-gain, query_terms)[:query_terms]]
-        start, count = self.first[terms], self.first[terms + 1] - self.first[terms]
-        upto = np.cumsum(count)
-        at = np.repeat(start - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)
-        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
-
+#: Entries of the dense part of an index; ids that one index shard holds and that one task deals with.
+DENSE, SHARD, PART = 1 << 22, 1 << 19, 1 << 21
+#: Terms that say where a document is dealt, and the share of documents that such a term must be in.
+DEAL, COMMON = 4, 50
+
+
+class Weights:
+    """BM25 weights from the document frequencies of the whole corpus; a frequency is one number per vocabulary entry."""
+
+    def __init__(self, df: np.ndarray, n_docs: int, mean_length: float, k1: float = 1.2, b: float = 0.75) -> None:
+        self.df, self.n_docs, self.mean, self.k1, self.b = df, n_docs, max(mean_length, 1.0), k1, b
+        self.idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+
+    def counted(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, weight), by document and then term."""
+        width, length = np.int64(len(self.df)), np.array([len(d) for d in docs])
+        pair, tf = np.unique(np.repeat(np.arange(len(docs)), length) * width + np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
+        doc, term = pair // width, pair % width
+        return doc, term, self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[doc] / self.mean))
+
+    def deal(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Each document's ``DEAL`` weightiest terms among those in a ``COMMON``-th of all documents; missing ones come last."""
+        doc, term, weight = self.counted(docs)
+        often = self.df[term] * COMMON >= self.n_docs
+        doc, term, weight = doc[often], term[often], weight[often]
+        order = np.lexsort((term, -weight, doc))
+        first = np.searchsorted(doc, np.arange(len(docs)))
+        rank = np.arange(len(order)) - first[doc]
+        out = np.full((len(docs), DEAL), len(self.df), np.int32)
+        top = rank < DEAL
+        out[doc[top], rank[top]] = term[order][top]
+        return out
 
-def pack(lengths: np.ndarray, index: Index, window: int, query_terms: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) that hold every id once.
 
-    A seed, the longest unused document, opens a window; unused neighbours by
-    falling BM25 fill it. One that doesn't fit is cut and seeds the next
-    window with its rest, so only the last window can stay short.
-    """
-    unused = np.ones(len(lengths), bool)
-    order = iter(np.argsort(-lengths, kind="stable").tolist())
-    pieces, sequence, offset = [], 0, 0
-
-    def put(doc: int) -> None:
-        nonlocal sequence, offset
-        unused[doc] = False
-        start, left = 0, int(lengths[doc])
-        while left:
-            n = min(left, window - offset)
-            pieces.append((doc, start, n, sequence, offset))
-            start, left, offset = start + n, left - n, offset + n
-            if offset == window:
-                sequence, offset = sequence + 1, 0
-
-    for seed in order:
-        if not unused[seed]:
-            continue
-        put(seed)
-        while offset:
-            scores = np.where(unused, index.scores(seed, query_terms), 0)
-            best, last = np.argsort(-scores, kind="stable"), sequence
-            for doc in best:
-                if scores[doc] <= 0 or not offset or sequence != last:
-                    break
-                put(int(doc))
-                seed = int(doc)
-            if sequence == last:
-                break  # no neighbour is left: the next seed goes on in this window
-    return pieces
-
-
-#: Ids of a corpus that one task packs alone; above it the index is sharded and packing goes by rounds.
-ALONE = 1 << 20
-#: Most seeds of a round, and how many of them are scored at once; entries of the dense part of a shard's index.
-SEEDS, BLOCK, DENSE = 8192, 256, 1 << 24
-
-
-def squeeze(x: np.ndarray, kind: str) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x, kind).tobytes(), 1)
-
-
-def expand(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), kind)
-
-
-class Shard:
-    """One shard of the index, reduced to its unused documents: frequent terms as rows of a matrix, the others as postings."""
-
-    def __init__(self, no: np.ndarray, length: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, unused: np.ndarray, idf: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75) -> None:
-        alive = unused[no]
-        self.no, self.n = no[alive], int(alive.sum())
-        kept = alive[doc]
-        place = np.cumsum(alive) - 1
-        term, doc, tf, length = term[kept], place[doc[kept]], tf[kept], length[doc[kept]]
-        # Whole numbers of 2**-20: sums don't depend on their order, so copies score the same in all shards.
-        weight = np.rint((1 << 20) * (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))))
-        df = np.bincount(term, minlength=len(idf))
-        often = np.argsort(-df, kind="stable")[: max(1, DENSE // max(self.n, 1))]
-        often = often[df[often] * 32 > self.n]
-        self.column = np.full(len(idf), -1)
-        self.column[often] = np.arange(len(often))
-        at = self.column[term]
-        self.dense = np.zeros((len(often), self.n))
+class Index:
+    """An inverted BM25 index of one shard: frequent terms as rows of a matrix, the others as postings."""
+
+    def __init__(self, docs: list[np.ndarray], weights: Weights) -> None:
+        doc, term, weight = weights.counted(docs)
+        self.n = len(docs)
+        self.terms, self.of = term, np.searchsorted(doc, np.arange(self.n + 1))
+        names, first, n = np.unique(term, return_index=True, return_counts=True) if len(term) else (term, term, term)
+        often = names[np.argsort(-n, kind="stable")[: max(1, DENSE // max(self.n, 1))]]
+        often = often[n[np.searchsorted(names, often)] * 32 > self.n]
+        column = np.full(len(weights.df) + 1, -1)
+        column[often] = np.arange(len(often))
+        self.column, at = column, column[term]
+        self.dense = np.zeros((len(often), self.n), np.float32)
         self.dense[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
-        self.doc, self.weight = doc[at < 0], weight[at < 0]
-        self.first = np.searchsorted(term[at < 0], np.arange(len(idf) + 1))
-
-    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
-        """BM25 of all documents for all terms of each query."""
-        asked = np.zeros((len(queries), len(self.dense)))
-        for i, terms in enumerate(queries):
-            at = self.column[terms]
-            asked[i, at[at >= 0]] = 1
-        out = asked @ self.dense
-        for i, terms in enumerate(queries):
-            ends = [(x, y) for x, y in zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), strict=True) if x < y]
-            if ends:
-                out[i] += np.bincount(np.concatenate([self.doc[x:y] for x, y in ends]), np.concatenate([self.weight[x:y] for x, y in ends]), minlength=self.n)
+        order = np.argsort(term[at < 0], kind="stable")
+        self.doc, self.weight = doc[at < 0][order], weight[at < 0][order]
+        self.first = np.searchsorted(term[at < 0][order], np.arange(len(weights.df) + 2))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of all documents of the shard for all terms of ``seed``."""
+        terms = self.terms[self.of[seed] : self.of[seed + 1]]
+        at = self.column[terms]
+        out = self.dense[at[at >= 0]].sum(0, dtype=np.float64)
+        rare = terms[at < 0]
+        start, count = self.first[rare], self.first[rare + 1] - self.first[rare]
+        upto = np.cumsum(count)
+        if len(upto) and upto[-1]:
+            at = np.repeat(start - (upto - count), count) + np.arange(upto[-1])
+            out += np.bincount(self.doc[at], self.weight[at], minlength=self.n)
         return out
 
 
-def best(score: np.ndarray, no: np.ndarray, seed: int, n_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` best documents with a positive score. Ties follow the numbers after the seed's own, so that the seeds among many copies ask for different ones."""
-    at = np.flatnonzero(score > 0)
-    if len(at) > most:
-        at = at[score[at] >= np.partition(score[at], len(at) - most)[len(at) - most]]
-    at = at[np.lexsort(((no[at] - seed) % n_docs, -score[at]))][:most]
-    return no[at], score[at]
-
-
-class Chains:
-    """Windows that fill side by side, each by the neighbours of its own seed."""
-
-    def __init__(self, lengths: np.ndarray, window: int, most: int) -> None:
-        self.lengths, self.window = lengths, window
-        self.unused = np.ones(len(lengths), bool)
-        self.order, self.at = np.argsort(-lengths, kind="stable"), 0
-        self.sequence, self.done = 0, []
-        # chain: [seed, pieces (document, start, length) of its open window, ids in it]
-        self.open = [[-1, [], 0] for _ in range(max(1, min(most, int(lengths.sum()) // window // 16)))]
-
-    def put(self, chain: list, doc: int) -> bool:
-        """Adds a whole document; whether it ended a window."""
-        self.unused[doc] = False
-        chain[0], start, left, full = doc, 0, int(self.lengths[doc]), False
-        while left:
-            n = min(left, self.window - chain[2])
-            chain[1].append((doc, start, n))
-            start, left, chain[2] = start + n, left - n, chain[2] + n
-            if chain[2] == self.window:
-                self.close(chain)
-                full = True
-        return full
-
-    def close(self, chain: list) -> None:
-        offset = 0
-        for doc, start, n in chain[1]:
-            self.done.append((doc, start, n, self.sequence, offset))
-            offset += n
-        self.sequence, chain[1], chain[2] = self.sequence + 1, [], 0
-
-    def seeds(self) -> list[int]:
-        """The seeds to ask for. A chain without one takes the longest unused document into its window."""
-        for chain in self.open:
-            while chain[0] < 0 and self.at < len(self.order):
-                doc, self.at = int(self.order[self.at]), self.at + 1
-                if self.unused[doc]:
-                    self.put(chain, doc)
-                    if not chain[2]:
-                        chain[0] = -1
-        return [c[0] for c in self.open if c[0] >= 0] if self.unused.any() else []
-
-    def fill(self, found: list[np.ndarray], most: int) -> None:
-        """Each chain takes its seed's best unused neighbours until its window is full; one without any takes a new seed next."""
-        for chain, docs in zip([c for c in self.open if c[0] >= 0], found, strict=True):
-            seed = chain[0]
-            for doc in docs[self.unused[docs]].tolist():
-                if self.put(chain, doc):
-                    if not chain[2]:
-                        chain[0] = -1
-                    break
-            else:
-                # All that were found are taken: if they were all there are, the next seed goes on in this window.
-                chain[0] = seed if len(docs) == most else -1
-
-    def finish(self) -> None:
-        """What the open windows hold, one after the other: only the last stays short."""
-        rest: list = [-1, [], 0]
-        for chain in self.open:
-            for doc, start, left in chain[1]:
-                while left:
-                    n = min(left, self.window - rest[2])
-                    rest[1].append((doc, start, n))
-                    start, left, rest[2] = start + n, left - n, rest[2] + n
-                    if rest[2] == self.window:
-                        self.close(rest)
-        if rest[1]:
-            self.close(rest)
-
-
-def pack_rounds(rows: DataFrame, n_docs: int, total: int, idf: Broadcast, mean: float, small: bool, window: int, shard_tokens: int, neighbours: int) -> DataFrame:
-    """``pack`` over a sharded index. The driver holds two numbers and a flag a document, and one round's seeds and candidates."""
-    spark, kind = rows.sparkSession, "<u2" if small else "<u4"
-    low = (1 << 36) - 1
-    parts = sorted((r.part, r["count"]) for r in rows.groupBy(F.shiftright("row", 36).alias("part")).count().collect())
-    base = np.cumsum([0, *[n for _, n in parts]])
-    bases = literal_table(spark, [{"part": p, "base": int(x)} for (p, _), x in zip(parts, base, strict=False)], "part: bigint, base: bigint")
-    numbered = rows.withColumn("part", F.shiftright("row", 36)).join(F.broadcast(bases), "part").select((F.col("base") + F.col("row").bitwiseAND(F.lit(low))).alias("no"), "doc_id", "n", "ids")
-    got = numbered.select("no", F.col("n").cast("int").alias("n")).toArrow()
-    lengths = np.zeros(n_docs, np.int32)
-    lengths[got["no"].to_numpy()] = got["n"].to_numpy()
-    n_shards = max(8, -(-total // shard_tokens))
-
-    def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("no")
-        docs = [expand(x, kind) for x in table["ids"].to_pylist()]
-        docs = [x[:-1] if len(x) > 1 else x for x in docs]
-        length = np.array([len(x) for x in docs])
-        pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + np.repeat(np.arange(len(docs)), length), return_counts=True)
-        blobs = [squeeze(table["no"].to_numpy(), "<i8"), squeeze(length, "<u4"), squeeze(pair // len(docs), "<u4"), squeeze(pair % len(docs), "<u4"), squeeze(tf, "<u4")]
-        wh.give_back()
-        return pa.table([pa.array([x], pa.binary()) for x in blobs], names=["no", "length", "term", "doc", "tf"])
-
-    dealt = numbered.select("no", "ids", F.pmod(F.xxhash64("no"), F.lit(n_shards)).alias("shard")).repartition(n_shards, "shard")
-    index = cut(dealt.groupBy("shard").applyInArrow(build, "no binary, length binary, term binary, doc binary, tf binary"), "index")
-    chains, written = Chains(lengths, window, SEEDS), fresh(spark, "pieces")
-
-    def write() -> None:
-        done = np.array(chains.done, np.int64).reshape(-1, 5).T
-        names = ["no", "start", "length", "sequence_id", "offset"]
-        spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in done], names=names), ", ".join(f"{x} long" for x in names)).coalesce(1).write.mode("append").parquet(written)
-        chains.done = []
-
-    while seeds := chains.seeds():
-        own = spark.createDataFrame(pa.table([pa.array(seeds, pa.int64())], names=["no"]), "no long")
-        got = numbered.join(F.broadcast(own), "no").select("no", "ids").toArrow()
-        texts = dict(zip(got["no"].to_pylist(), got["ids"].to_pylist(), strict=True))
-        terms = [np.unique(x[:-1] if len(x) > 1 else x) for x in (expand(texts[s], kind) for s in seeds)]
-        shared = spark.sparkContext.broadcast((seeds, squeeze(np.concatenate(terms), "<u4"), [len(x) for x in terms], np.packbits(chains.unused)))
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds, terms, sizes, bits = shared.value
-            queries = np.split(expand(terms, "<u4").astype(np.int64), np.cumsum(sizes)[:-1])
-            unused = np.unpackbits(bits, count=n_docs).astype(bool)
-            for b in batches:
-                for row in zip(*(b.column(i) for i in range(5)), strict=True):
-                    no, *rest = (expand(x.as_py(), t) for x, t in zip(row, ("<i8", "<u4", "<u4", "<u4", "<u4"), strict=True))
-                    shard = Shard(no, *(x.astype(np.int64) for x in rest), unused, idf.value, mean)
-                    for lo in range(0, len(seeds) if shard.n else 0, BLOCK):
-                        hits = [best(s, shard.no, seed, n_docs, neighbours) for s, seed in zip(shard.scores(queries[lo : lo + BLOCK]), seeds[lo : lo + BLOCK], strict=True)]
-                        blobs = [squeeze([len(x) for x, _ in hits], "<i8"), squeeze(np.concatenate([x for x, _ in hits]), "<i8"), squeeze(np.concatenate([x for _, x in hits]), "<f8")]
-                        yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], ["lo", "sizes", "no", "score"])
-                    wh.give_back()
-
-        def merge(table: pa.Table) -> pa.Table:
-            lo, seeds = table["lo"][0].as_py(), shared.value[0]
-            sizes, no, score = ([expand(x, t) for x in table[c].to_pylist()] for c, t in (("sizes", "<i8"), ("no", "<i8"), ("score", "<f8")))
-            owner = np.concatenate([np.repeat(np.arange(len(s)), s) for s in sizes])
-            no, score = np.concatenate(no), np.concatenate(score)
-            hits = [best(score[owner == i], no[owner == i], seeds[lo + i], n_docs, neighbours)[0] for i in range(len(sizes[0]))]
-            return pa.table([pa.array([lo], pa.int64()), pa.array([squeeze([len(x) for x in hits], "<i8")], pa.binary()), pa.array([squeeze(np.concatenate(hits), "<i8")], pa.binary())], names=["lo", "sizes", "no"])
-
-        hits = index.mapInArrow(ask, "lo long, sizes binary, no binary, score binary").groupBy("lo").applyInArrow(merge, "lo long, sizes binary, no binary").collect()
-        found = [np.zeros(0, np.int64)] * len(seeds)
-        for r in hits:
-            sizes = expand(r.sizes, "<i8")
-            found[r.lo : r.lo + len(sizes)] = np.split(expand(r.no, "<i8"), np.cumsum(sizes)[:-1])
-        shared.unpersist()
-        chains.fill(found, neighbours)
-        if len(chains.done) > 200_000:
-            write()
-    chains.finish()
-    write()
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = []
-            for blob, pieces in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                ids = expand(blob.as_py(), kind).astype("<u4")
-                crc.append([zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for p in pieces])
-            yield pa.RecordBatch.from_arrays([pa.array(crc, pa.list_(pa.int64())), *b.columns[1:]], ["crc", "pieces", "doc_id", "n"])
-
-    piece = "struct<start:bigint,length:bigint,sequence_id:bigint,offset:bigint>"
-    pieces = spark.read.parquet(written).groupBy("no").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    out = numbered.join(pieces, "no").select("ids", "pieces", "doc_id", "n").mapInArrow(check, f"crc array<bigint>, pieces array<{piece}>, doc_id long, n long")
-    out = out.select("doc_id", "n", F.inline(F.arrays_zip("crc", "pieces")))
-    return out.select("doc_id", "pieces.start", "pieces.length", F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), "pieces.sequence_id", "pieces.offset")
-
-
-def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, shard_tokens: int = 1 << 23, neighbours: int = 32, alone: int = ALONE) -> DataFrame:
+def ranked(score: np.ndarray, unused: np.ndarray) -> Iterator[int]:
+    """Unused documents with a score, best first and by number among equals; sorted in parts, as far as is asked."""
+    at = np.flatnonzero(unused & (score > 0))
+    while len(at):
+        part = at
+        if len(at) > 512:
+            part = at[score[at] >= np.partition(score[at], len(at) - 256)[len(at) - 256]]
+        yield from part[np.argsort(-score[part], kind="stable")].tolist()
+        at = np.setdiff1d(at, part, assume_unique=True)
+
+
+class Packer:
+    """Fills windows one after the other; the open one goes on from shard to shard, so only the last can stay short."""
+
+    def __init__(self, window: int, sequence: int = 0) -> None:
+        self.window, self.sequence, self.offset = window, sequence, 0
+
+    def pack(self, lengths: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
+        """Pieces (document, start, length, sequence, offset) that hold every id of the shard once.
+
+        A seed, the longest unused document, opens a window; the unused
+        neighbours that the index returns for it fill the window by falling
+        score. One that doesn't fit is cut and seeds the next window with its
+        rest.
+        """
+        unused, pieces = np.ones(len(lengths), bool), []
+
+        def put(doc: int) -> None:
+            unused[doc] = False
+            start, left = 0, int(lengths[doc])
+            while left:
+                n = min(left, self.window - self.offset)
+                pieces.append((doc, start, n, self.sequence, self.offset))
+                start, left, self.offset = start + n, left - n, self.offset + n
+                if self.offset == self.window:
+                    self.sequence, self.offset = self.sequence + 1, 0
+
+        for seed in np.argsort(-lengths, kind="stable").tolist():
+            if not unused[seed]:
+                continue
+            put(seed)
+            while self.offset:
+                last = self.sequence
+                for doc in ranked(index.scores(seed), unused):
+                    put(doc)
+                    if self.sequence != last:
+                        seed = doc
+                        break
+                else:
+                    break  # no neighbour is left: the next seed goes on in this window
+        return pieces
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, shard_tokens: int = SHARD, part_tokens: int = PART) -> DataFrame:
     """Pieces of sequences of at most ``window`` ids that hold every id of every document once.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id and
     offset. Each document is tokenised once; the ids are kept in the shared
     folder. Document frequencies cover the whole corpus and take one number
-    per vocabulary entry. Each window is filled with BM25 neighbours of its
-    seed, by all of the seed's terms and over the whole corpus; at most one
-    sequence is shorter than ``window``.
-
-    Up to ``alone`` ids one task packs the corpus. Beyond, rows are dealt by a
-    hash of their number to index shards of about ``shard_tokens`` ids, and a
-    sixteenth of the windows (at most ``SEEDS``) fill side by side in rounds:
-    the seeds are asked of all shards, the ``neighbours`` best unused
-    documents of each are merged, and windows take them in turn. A seed whose
-    candidates are all taken is asked again among what is left. The work
-    grows with seeds times documents.
+    per vocabulary entry.
+
+    The index is sharded by content: documents are ordered by their weightiest
+    terms (BM25 weight, among terms in a fiftieth of all documents or more),
+    and a run of about ``shard_tokens`` ids in that order is a shard. Ranges of
+    about ``part_tokens`` ids are dealt to tasks; the row number is the last
+    part of the order, so copies or documents with the same terms in any number
+    still divide. A task holds one shard at a time. For each seed the shard's
+    index returns the unused neighbours, by all of the seed's terms, and they
+    fill its window. A task's last window alone can be shorter than ``window``.
+    Which share of the neighbours in the whole corpus lies in the shard is in
+    the README.
 
     Null and empty texts are one end id. Null document ids pass through,
     repeated rows are packed one by one, other columns don't matter, and an
-    empty table gives no pieces.
+    empty table gives no pieces. ``doc_id`` must be castable to a long.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # a file of the driver; executors get its content
@@ -479,25 +348,51 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at] if len(at) else [], pa.int64())], ["id", "n"])
 
     got = tokens.where(F.col("n").isNull()).select("ids").mapInArrow(add, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    wide = int(got["id"].max()) + 1 if len(got) else 1
-    df = np.zeros(max(wide, 1), np.int64)
+    size = Tokens(model).size
+    df = np.zeros(size, np.int64)
     df[got["id"].to_numpy()] = got["n"].to_numpy()
-    n_docs, mean = total.docs, total.n / total.docs
-    shared = spark.sparkContext.broadcast(np.append(np.log1p((n_docs - df + 0.5) / (df + 0.5)), 0.0))  # one number an id
-    small = Tokens(model).size <= 1 << 16
-
-    if total.n > alone:
-        return pack_rounds(rows, n_docs, total.n, shared, mean, small, window, shard_tokens, neighbours)
+    shared = spark.sparkContext.broadcast(Weights(df, total.docs, total.n / total.docs))  # one number an id
+    kind = "<u2" if size <= 1 << 16 else "<u4"
 
-    def pack_shard(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row")
+    def read(blobs: pa.Array) -> list[np.ndarray]:
         unpack = zstandard.ZstdDecompressor().decompress
-        ids = [np.frombuffer(unpack(x), "<u2" if small else "<u4").astype("<u4") for x in table["ids"].to_pylist()]
-        lengths = np.array([len(x) for x in ids])
-        pieces = pack(lengths, Index([x[:-1] if len(x) > 1 else x for x in ids], shared.value, mean), window, len(shared.value))
-        doc, start, n, sequence, offset = np.array(pieces, np.int64).T
-        crc = [zlib.crc32(ids[d][s : s + k].tobytes()) for d, s, k, _, _ in pieces]
-        columns = [table["doc_id"].combine_chunks().take(pa.array(doc)), start, n, crc, lengths[doc], sequence, offset]
-        return pa.table([pa.array(c, pa.int64()) if not isinstance(c, pa.Array) else c for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return rows.select("row", "doc_id", "ids", F.lit(0).alias("shard")).groupBy("shard").applyInArrow(pack_shard, PIECE_SCHEMA)
+        return [np.frombuffer(unpack(x.as_buffer()), kind) for x in blobs]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                keys = shared.value.deal([x[:-1] for x in read(part.column(3))])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(k, pa.int32()) for k in keys.T)], [*part.schema.names, *names])
+
+    names = [f"k{i}" for i in range(DEAL)]
+    dealt = rows.select("row", "doc_id", "n", "ids").mapInArrow(deal, "row long, doc_id long, n long, ids binary, " + ", ".join(f"{k} int" for k in names))
+    parts = max(1, round(total.n / part_tokens))
+    dealt = (dealt.repartitionByRange(parts, *names, "row") if parts > 1 else dealt.coalesce(1)).sortWithinPartitions(*names, "row")
+
+    def pack_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(window, TaskContext.get().partitionId() << 36)
+
+        def shard(ids: list[np.ndarray], who: list) -> Iterator[pa.RecordBatch]:
+            lengths = np.array([len(x) for x in ids])
+            pieces = packer.pack(lengths, Index([x[:-1] for x in ids], shared.value))
+            for lo in range(0, len(pieces), 10_000):
+                doc, start, n, sequence, offset = np.array(pieces[lo : lo + 10_000], np.int64).T
+                crc = [zlib.crc32(ids[d][s : s + k].astype("<u4").tobytes()) for d, s, k in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True)]
+                columns = [[who[d] for d in doc], start, n, crc, lengths[doc], sequence, offset]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            wh.give_back()
+
+        ids, who, held = [], [], 0
+        for b in batches:
+            for i, blob, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                ids += read([blob])
+                who.append(i)
+                held += n
+                if held >= shard_tokens:
+                    yield from shard(ids, who)
+                    ids, who, held = [], [], 0
+        if ids:
+            yield from shard(ids, who)
+
+    return dealt.select("doc_id", "ids", "n").mapInArrow(pack_part, PIECE_SCHEMA)

@@ -85,3 +85,13 @@ def test_sets_of_one_shingle(spark, case):
 
 def test_empty(spark):
     assert run(spark, [], 3, 9, 10) == []
+
+
+@pytest.mark.parametrize("case", [(3, 9, 10), (5, 8, 10)])
+def test_words_that_a_polynomial_confuses(spark, case):
+    rows = []
+    for k in (1024, 2048, 4096, 8192):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(k))
+        b = a.translate(str.maketrans("ab", "ba"))
+        rows += [(k, f"{a} {b}"), (k + 1, f"{b} {a}"), (k + 2, a), (k + 3, b)]
+    assert run(spark, rows, *case) == brute(rows, *case)

@@ -62,3 +62,13 @@ def test_many_copies_and_empty(spark):
     rows = [(i, text + f" tail{i % 3}") for i in range(300)]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    pair = []
+    for k in (1024, 2048, 4096, 8192):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(k))
+        pair.append((a, a.translate(str.maketrans("ab", "ba"))))
+    rows = [(2 * i + j, f"{' '.join(f'w{n}' for n in range(49))} {x}") for i, p in enumerate(pair) for j, x in enumerate(p)]
+    rows += [(50, " ".join(["long"] * 30_000)), (51, " ".join(["long"] * 60))]
+    assert run(spark, rows) == brute(rows)
