@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[str] = []
@@ -64,3 +64,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small relation from driver values, parsed by the JVM: no Python runs on executors."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>"))).coalesce(1)
+
+
+def apart(name: str, *taken: list[str]) -> str:
+    """``name``, with underscores before it until it clashes with no column in ``taken`` (case does not count)."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """``df``, marked for a broadcast if it has at most ``most`` rows, which are counted first."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` reads it inside of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

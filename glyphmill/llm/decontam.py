@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from glyphmill.llm.common import cut, literal_table
+from glyphmill.llm.common import apart, bind, bounded, cut, literal_table
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 UNITS = "kg|g|mg|lb|lbs|km|m|cm|mm|mi|miles?|meters?|feet|ft|inch|inches|l|ml|liters?|hours?|hrs?|h|minutes?|mins?|min|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?"
@@ -58,10 +58,20 @@ def _consistent(agree: Column) -> Column:
     return count("it", "ir", "r") == count("it", "ir")
 
 
-def _windows(tpl: Column, size: int) -> Column:
-    last = F.size(tpl) - size
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(tpl, i + 1, size)).alias("hash")))
+def _windows(tpl: Column, sizes: list[int]) -> Column:
+    """(pos, hash) of every run of ``sizes`` template words, by hashes of the words."""
+
+    def runs(words_: Column, n: int) -> Column:
+        last = F.size(words_) - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(words_, i + 1, n)).alias("hash")))
+
+    return bind(F.transform(tpl, lambda w: F.xxhash64(w)), lambda w: F.concat(*[runs(w, n) for n in sizes]))
+
+
+def _templates(text: Column) -> Column:
+    """Struct of ``raw`` and ``tpl``: the words of a text and of its template, runs of placeholders collapsed."""
+    return bind(F.struct(words(text).alias("r"), words(template(text)).alias("t")), lambda x: collapse(x["r"], x["t"]))
 
 
 def find_leaks(
@@ -83,51 +93,55 @@ def find_leaks(
     together stay consistent; the nearest are added first.
 
     Windows start at every word on both sides, so any shared run of
-    ``window`` template words meets. Items shorter than ``window`` are
-    matched by windows of their own length.
-    The item side is broadcast up to ``broadcast_rows`` counted windows, else
-    shuffled. A document's windows leave the scan only where they match.
-
-    Null and empty texts match nothing, null items are ignored, repeated rows
-    give one row here, empty tables give an empty result; other columns do
-    not matter.
+    ``window`` template words meets, whatever other items there are. Items
+    shorter than ``window`` are matched by windows of their own length. Only
+    hashes and positions enter the first join; the words are fetched
+    afterwards, for texts with a hit alone and once for all copies of a text.
+    The smaller sides are broadcast up to ``broadcast_rows`` counted rows, else
+    shuffled.
+
+    Null and empty texts match nothing, null items are ignored, an item with
+    a null id is reported without one, repeated rows give one row here, empty
+    tables give an empty result; other columns do not matter.
     """
-    items = cut(benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("item_raw"), words(template(F.col(item_text))).alias("item_tpl")).where(F.size("item_tpl") > 0)
-        .select("item_id", collapse(F.col("item_raw"), F.col("item_tpl")).alias("c")).select("item_id", F.col("c.raw").alias("item_raw"), F.col("c.tpl").alias("item_tpl")).distinct(), "items")
-    lengths = [r[0] for r in items.select(F.least(F.size("item_tpl"), F.lit(window))).distinct().collect()]
-    d = docs.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    d = d.select(F.md5("_text").alias("text_key"), words(F.col("_text")).alias("raw"), words(template(F.col("_text"))).alias("tpl"))
-    d = d.select("text_key", collapse(F.col("raw"), F.col("tpl")).alias("c")).select("text_key", F.col("c.raw").alias("raw"), F.col("c.tpl").alias("tpl"))
-    found = None
-    for size in sorted(lengths):
-        own = items if size == window else items.where(F.size("item_tpl") == size)
-        own = own.where(F.size("item_tpl") >= size).select("item_id", F.size("item_tpl").alias("item_words"), F.explode(_windows(F.col("item_tpl"), size)).alias("w"))
-        own = own.select("item_id", "item_words", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"))
-        if own.limit(broadcast_rows + 1).count() <= broadcast_rows:
-            own = F.broadcast(own)
-        hits = d.select("text_key", "raw", "tpl", F.explode(_windows(F.col("tpl"), size)).alias("w")).withColumn("hash", F.col("w.hash")).join(own, "hash")
-        pos = F.col("w.pos") - F.col("item_pos")
-        # What of the item lies before the document's start or after its end is missing.
-        skip, size_at = F.greatest(-pos, F.lit(0)), F.greatest(pos, F.lit(0))
-        part = lambda c: F.slice(c, size_at + 1, F.col("item_words") - skip)
-        hits = hits.select("text_key", "item_id", pos.alias("pos"), skip.alias("skip"), part(F.col("raw")).alias("raw"), part(F.col("tpl")).alias("tpl"))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        schema = "text_key string, item_id long, pos int, matched int, item_words int, exact int, consistent boolean"
-        return literal_table(docs.sparkSession, [], schema)
-    found = found.groupBy("text_key", "item_id", "pos").agg(F.first("skip").alias("skip"), F.first("raw").alias("raw"), F.first("tpl").alias("tpl"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).where(F.col("item_text").isNotNull()).distinct()
+    items = items.select(F.md5(F.concat_ws("\0", F.coalesce(F.col("item_id").cast("string"), F.lit("")), "item_text")).alias("item_key"), "item_id", _templates(F.col("item_text")).alias("c"))
+    items = cut(items.select("item_key", "item_id", F.col("c.raw").alias("item_raw"), F.col("c.tpl").alias("item_tpl")).where(F.size("item_tpl") > 0), "items")
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("item_tpl"), F.lit(window))).distinct().collect())
+    if not sizes:
+        return literal_table(docs.sparkSession, [], f"text_key string, item_id {items.schema['item_id'].dataType.simpleString()}, pos int, matched int, item_words int, exact int, consistent boolean")
+    own = None
+    for size in sizes:
+        part = items.where(F.size("item_tpl") >= size) if size == window else items.where(F.size("item_tpl") == size)
+        part = part.select("item_key", F.explode(_windows(F.col("item_tpl"), [size])).alias("w")).select("item_key", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"))
+        own = part if own is None else own.unionByName(part)
+    own = bounded(own, broadcast_rows)
+
+    texts = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).select(F.md5("text").alias("text_key"), "text")
+    seen = texts.select("text_key", _templates(F.col("text"))["tpl"].alias("tpl")).select("text_key", F.explode(_windows(F.col("tpl"), sizes)).alias("w"))
+    hits = seen.select("text_key", F.col("w.pos").alias("at"), F.col("w.hash").alias("hash")).join(own, "hash").select("text_key", "item_key", (F.col("at") - F.col("item_pos")).alias("pos"))
+    hits = cut(hits.distinct(), "hits")
+    keys = bounded(hits.select("text_key").distinct(), broadcast_rows)
+    texts = texts.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")).select("text_key", _templates(F.col("text")).alias("c"))
+
+    found = hits.join(bounded(items, broadcast_rows), "item_key").join(texts, "text_key")
+    # What of the item lies before the document's start or after its end is missing.
+    skip, begin = F.greatest(-F.col("pos"), F.lit(0)), F.greatest(F.col("pos"), F.lit(0))
+    length = F.size("item_tpl") - skip
+    part = lambda c: F.slice(c, begin + 1, length)
+    found = found.select("text_key", "item_key", "item_id", "pos", "item_raw", "item_tpl", skip.alias("skip"), part(F.col("c.raw")).alias("raw"), part(F.col("c.tpl")).alias("tpl"))
     pair = F.arrays_zip(
         F.col("raw").alias("r"), F.col("tpl").alias("t"),
         F.slice("item_raw", F.col("skip") + 1, F.size("tpl")).alias("ir"), F.slice("item_tpl", F.col("skip") + 1, F.size("tpl")).alias("it"),
     )
     pair = F.transform(pair, lambda x, k: F.struct((F.col("skip") + k).alias("i"), x["t"].alias("t"), x["it"].alias("it"), x["r"].alias("r"), x["ir"].alias("ir")))
     agree = F.filter(pair, lambda x: x["t"].eqNullSafe(x["it"]))
-    own = found.join(items, "item_id").select("text_key", "item_id", "pos", F.size("item_tpl").alias("item_words"), agree.alias("agree"))
+    own = found.select("text_key", "item_key", "item_id", "pos", F.size("item_tpl").alias("item_words"), agree.alias("agree"))
     own = own.withColumn("consistent", _consistent(F.col("agree"))).withColumn("places", F.transform("agree", lambda x: x["i"]))
     at = lambda i: F.array_contains("places", i)
     in_run = lambda i: (at(i - 2) & at(i - 1)) | (at(i - 1) & at(i + 1)) | (at(i + 1) & at(i + 2))
     own = own.withColumn("runs", F.filter("agree", lambda x: in_run(x["i"])))
-    around = W.partitionBy("text_key", "item_id", "item_words").orderBy("pos").rangeBetween(-drift, drift)
+    around = W.partitionBy("text_key", "item_key").orderBy("pos").rangeBetween(-drift, drift)
     own = own.withColumn("near", F.collect_list(F.struct("pos", "runs")).over(around))
     near = F.array_sort(F.transform(F.filter("near", lambda x: x["pos"] != F.col("pos")), lambda x: F.struct(F.abs(x["pos"] - F.col("pos")).alias("off"), x["pos"].alias("pos"), x["runs"].alias("runs"))))
 
@@ -142,16 +156,15 @@ def find_leaks(
     return out.where(F.col("matched") >= coverage * F.col("item_words"))
 
 
-def leaked_documents(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id) with the best alignment of each: ``matched``, ``item_words``, ``exact``, ``pos``."""
+def leaked_documents(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
+    """(doc_id, item_id) with the best alignment of each: ``matched``, ``item_words``, ``exact``, ``pos``; of equal ones the first."""
     best = leaks.groupBy("text_key", "item_id").agg(F.max_by(F.struct("matched", "item_words", "exact", "pos"), F.struct("matched", "exact", -F.col("pos"))).alias("b"))
-    keys = docs.select(F.col(doc_id), F.md5(F.col(text)).alias("text_key"))
-    return keys.join(best, "text_key").select(doc_id, "item_id", "b.*").distinct()
+    keys = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("text_key"))
+    return keys.join(bounded(cut(best, "best"), broadcast_rows), "text_key").select(F.col("doc_id").alias(doc_id), "item_id", "b.*").distinct()
 
 
 def decontaminate(docs: DataFrame, leaks: DataFrame, text: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
-    """``docs`` without the rows whose text holds a leak. Null texts stay."""
-    keys = leaks.select("text_key").distinct()
-    if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        keys = F.broadcast(keys)
-    return docs.withColumn("_key", F.md5(F.col(text))).join(keys.withColumnRenamed("text_key", "_key"), "_key", "left_anti").drop("_key").select(*docs.columns)
+    """``docs`` without the rows whose text holds a leak. Null texts stay; any other columns are kept as they are."""
+    key = apart("text_key", docs.columns)
+    keys = bounded(leaks.select(F.col("text_key").alias(key)).distinct(), broadcast_rows)
+    return docs.join(keys, F.md5(docs[text]) == F.col(key), "left_anti")
