@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from glyphmill.llm.common import cut
+from glyphmill.llm.common import apart, bind, cut
 
 
 def _any_case(word: str) -> str:
@@ -31,27 +31,39 @@ WEAK = {"identifier": (IDENTIFIER, 1), "opaque": ("[A-Za-z0-9+/_-]{20,}", 20), "
 #: What a weak kind needs beside it: a kind of another role, weak or base.
 ROLE = {"identifier": "id", "access": "id", "opaque": "secret", "assign": "secret", "hex": "secret", "endpoint": "endpoint"}
 RANK = {k: i for i, k in enumerate([*BASE, *WEAK])}
+#: Rank of an empty line among parts; parts into which the copies of one text are dealt; characters of a block of text.
+BREAK, SALT, BLOCK = -1, 16, 1024
 
 
-def spans(text: Column, pattern: str, least: int, group: int = 0) -> Column:
+def running(values: Column, step) -> Column:
+    """Running totals by ``step`` (sum, greatest, ...), in rounds that double the reach, so long arrays take n log n steps."""
+    reach = F.array(*[F.lit(1 << k) for k in range(30)])
+    join = lambda x, p: F.transform(x, lambda v, i: F.when(i >= p, step(v, F.get(x, i - p))).otherwise(v))
+    return F.aggregate(reach, values, lambda x, p: F.when(F.size(x) > p, join(x, p)).otherwise(x))
+
+
+def spans(text: Column, pattern: str, least: int, group: int = 0, holds: str | None = None) -> Column:
     """Array of structs (start, end), in code points, of the leftmost non-overlapping matches.
 
     The text between matches and the matches themselves alternate, so running
     sums of their lengths are the positions. ``least`` drops matches whose
-    group ``group`` is shorter, after matching.
+    group ``group`` is shorter, after matching, and ``holds`` those in which
+    that pattern doesn't occur.
     """
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), F.transform(found, F.length).alias("n"), F.transform(tested, F.length).alias("t"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,t:int>>)").alias("out"))
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + x["n"]).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["t"].alias("t")))).alias("out"),
-    )
-    every = F.aggregate(parts, zero, step, lambda a: a["out"])
-    kept = F.transform(F.filter(every, lambda x: x["t"] >= least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return F.when(F.size(found) > 0, kept).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+    every = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("tested"))
+
+    def places(x: Column) -> Column:
+        ends = running(F.zip_with(F.slice(x["gaps"], 1, F.size(x["found"])), x["found"], lambda g, m: F.length(g) + F.length(m)), lambda v, w: v + w)
+        good = lambda m, t: (F.length(t) >= least) & (m.rlike(holds) if holds else F.lit(True))
+        rows = F.zip_with(F.arrays_zip(x["found"].alias("m"), x["tested"].alias("t")), ends, lambda y, e: F.struct((e - F.length(y["m"])).alias("start"), e.alias("end"), good(y["m"], y["t"]).alias("good")))
+        return F.transform(F.filter(rows, lambda y: y["good"]), lambda y: F.struct(y["start"].alias("start"), y["end"].alias("end")))
+
+    return F.when(text.rlike(pattern), bind(every, places)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+
+
+def breaks_of(text: Column) -> Column:
+    """The empty lines of a text as (start, rank, end)."""
+    return F.transform(spans(text, "\\n\\n+", 1), lambda x: F.struct(x["start"].alias("start"), F.lit(BREAK).alias("rank"), x["end"].alias("end")))
 
 
 def _tagged(kind: str, found: Column) -> Column:
@@ -86,23 +98,21 @@ def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataF
     kept = [c for c in docs.columns if c not in ("base", "found", "text_key")]
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.array_sort(F.concat(*[_tagged(k, spans(body, p, n, 2 if k == "assign" else 0)) for k, (p, n) in BASE.items()]))
-    weak = F.concat(*[_tagged(k, spans(body, p, n)) for k, (p, n) in WEAK.items() if k != "opaque"])
-    # An opaque run counts only if it holds a digit; this is read off the text at its place.
-    opaque = F.filter(spans(body, *WEAK["opaque"]), lambda x: F.substring(body, x["start"] + 1, x["end"] - x["start"]).rlike("[0-9]"))
-    breaks = F.transform(spans(body, "\\n\\n+", 1), lambda x: x["start"])
+    # An opaque run counts only if it holds a digit.
+    weak = F.concat(*[_tagged(k, spans(body, p, n, holds="[0-9]" if k == "opaque" else None)) for k, (p, n) in WEAK.items()])
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")
+    parts = docs.select(F.md5(body).alias("text_key"), body.alias("body"), base.alias("base"), weak.alias("weak")).where((F.size("base") > 0) | (F.size("weak") > 0))
     parts = cut(
-        docs.select(F.md5(body).alias("text_key"), base.alias("base"), F.concat(weak, _tagged("opaque", opaque)).alias("weak"), breaks.alias("breaks"))
-        .where((F.size("base") > 0) | (F.size("weak") > 0))
+        parts.select("text_key", "base", "weak", F.when(F.size("weak") > 0, breaks_of(F.col("body"))).otherwise(none).alias("breaks"))
         .groupBy("text_key").agg(F.first("base").alias("base"), F.first("weak").alias("weak"), F.first("breaks").alias("breaks")),
         "secrets",
     )
 
     roles = F.array(*[F.lit(ROLE[k]) for k in RANK])
-    rows = (
-        parts.where(F.size("weak") > 0)
-        .select("text_key", "breaks", F.explode(F.concat("base", "weak")).alias("p"))
-        .select("text_key", F.col("p.start").alias("start"), F.col("p.rank").alias("rank"), F.col("p.end").alias("end"), F.get(roles, F.col("p.rank")).alias("role"), F.size(F.filter("breaks", lambda b: b < F.col("p.start"))).alias("scope"))
-    )
+    rows = parts.where(F.size("weak") > 0).select("text_key", F.explode(F.concat("base", "weak", "breaks")).alias("p")).select("text_key", "p.start", "p.rank", "p.end")
+    # The breaks before a part number its scope.
+    before = W.partitionBy("text_key").orderBy("start").rangeBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("scope", F.coalesce(F.sum((F.col("rank") == BREAK).cast("int")).over(before), F.lit(0))).where(F.col("rank") != BREAK).withColumn("role", F.get(roles, F.col("rank")))
     # An opaque run lies inside a part that starts no later and ends no earlier.
     upto = W.partitionBy("text_key", "scope").orderBy("start").rangeBetween(W.unboundedPreceding, 0)
     around = F.max(F.when(F.col("rank").isin(RANK["identifier"], RANK["endpoint"]), F.col("end"))).over(upto)
@@ -121,17 +131,31 @@ def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataF
         .groupBy("text_key").agg(F.collect_set(F.struct("start", "rank", "end")).alias("linked"))
     )
     found = parts.join(linked, "text_key", "left").select("text_key", "base", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked"))).alias("found"))
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")
-    out = docs.select(*kept, F.md5(body).alias("text_key")).join(found, "text_key", "left")
-    return out.select(*kept, F.coalesce("base", none).alias("base"), F.coalesce("found", none).alias("found"))
+    # Copies of a text are dealt to SALT keys, each of which meets its findings.
+    own, salt, b, f, mine, part = (apart(x, docs.columns) for x in ("found_key", "found_salt", "found_base", "found_all", "own_key", "own_salt"))
+    found = found.select(F.col("text_key").alias(own), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias(salt), F.col("base").alias(b), F.col("found").alias(f))
+    dealt = F.pmod(F.xxhash64(*[c for c in kept if c != text] or [text]), F.lit(SALT)).cast("int")
+    out = docs.select(*kept, F.md5(body).alias(mine), dealt.alias(part)).join(found, (F.col(mine) == F.col(own)) & (F.col(part) == F.col(salt)), "left")
+    return out.select(*kept, F.coalesce(F.col(b), none).alias("base"), F.coalesce(F.col(f), none).alias("found"))
 
 
 def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
-    """``text`` with every found span replaced by ``mark``; overlapping spans become one mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.struct(
-        F.greatest(a["at"], x["end"]).alias("at"),
-        F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
-    )
-    rest = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, rest)).otherwise(text)
+    """``text`` with every found span replaced by ``mark``; overlapping spans become one mark.
+
+    Spans must be sorted by start. What stays is read from blocks of the text, so its length counts once.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def out(x: Column) -> Column:
+        def piece(s: Column, e: Column) -> Column:
+            first, last = (s / BLOCK).cast("int"), ((e - 1) / BLOCK).cast("int")
+            return F.when(e > s, F.substring(F.array_join(F.slice(x["blocks"], first + 1, last - first + 1), ""), s % BLOCK + 1, e - s)).otherwise("")
+
+        ends = x["ends"]
+        done = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        kept = F.transform(x["found"], lambda y, i: F.when(y["start"] >= done(i), F.concat(piece(done(i), y["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), piece(F.element_at(ends, -1), x["size"]))
+
+    ends = running(F.transform(found, lambda y: y["end"]), F.greatest)
+    whole = F.struct(blocks.alias("blocks"), found.alias("found"), ends.alias("ends"), F.length(text).alias("size"))
+    return F.when(F.size(found) > 0, bind(whole, out)).otherwise(text)
