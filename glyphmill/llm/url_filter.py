@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import literal_table
+from glyphmill.llm.common import apart, literal_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PARTS = "://([^/?#]*)([^?#]*)"
@@ -86,6 +86,8 @@ def filter_urls(
         .where(F.col("digest") == F.col("full"))
     )
     best = hits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rrule")).alias("n"), F.col("rrule").alias("rule"), F.col("rverdict").alias("verdict"))).alias("best"))
-    best = best.select(F.col("host").alias("bhost"), F.col("path").alias("bpath"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("found"))
-    out = rows.join(best, (rows.host == best.bhost) & (rows.path == best.bpath), "left")
-    return out.select(*kept, "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
+    judged = {c: apart(f"judged_{c}", pages.columns) for c in ("host", "path", "best")}
+    best = best.select(*[F.col(c).alias(name) for c, name in judged.items()])
+    out = rows.join(best, (F.col("host") == F.col(judged["host"])) & (F.col("path") == F.col(judged["path"])), "left")
+    found = F.col(judged["best"])
+    return out.select(*kept, "host", "path", found["rule"].alias("rule"), F.coalesce(found["verdict"], F.lit(default)).alias("verdict"))
