@@ -58,15 +58,15 @@ def kd_shards(
     copies of one row, still divides evenly.
 
     Returns ``row_id``, ``size``, ``text_crc32``, ``shard`` and ``slot`` for
-    every row. Null text has no bytes, a null coordinate counts as -1,
-    repeated rows are placed one by one, an empty table gives no rows, and
+    every row. Null text has no bytes, a coordinate that is null, infinite or
+    not a number counts as -1, repeated rows are placed one by one, an empty table gives no rows, and
     other columns of ``docs`` are neither read nor returned.
     """
     spark, names = docs.sparkSession, list(dims)
     body = F.coalesce(F.col(text), F.lit(""))
     meta = docs.select(
         F.col(row_id), text_size(F.col(text)).alias("size"), F.crc32(body).alias("text_crc32"),
-        *[F.coalesce(c.cast("double"), F.lit(-1.0)).alias(f"_d{i}") for i, c in enumerate(dims.values())],
+        *[F.when(F.abs(c.cast("double")) < float("inf"), c.cast("double")).otherwise(-1.0).alias(f"_d{i}") for i, c in enumerate(dims.values())],
     ).withColumn("_m", F.monotonically_increasing_id())
     # The row number is fixed once it is written; hashed, it spreads equal rows.
     meta = cut(meta, "kd-meta").withColumn("_h", F.shiftright(F.xxhash64(F.col(row_id), F.col("_m")), 11).cast("double"))
@@ -105,6 +105,7 @@ def kd_shards(
         v = F.get(F.array(*[f"_d{i}" for i in range(len(names))]), F.col("dim"))
         left = (v < F.col("sv")) | ((v == F.col("sv")) & ((F.col("_h") < F.col("sh")) | ((F.col("_h") == F.col("sh")) & F.col("taken"))))
         rows = rows.join(split, "node", "left").withColumn("node", F.when(F.col("right").isNull() | left, F.col("node")).otherwise(F.col("right"))).drop("dim", "sv", "sh", "taken", "right")
+        rows = cut(rows, "kd-level")  # the next level reads its nodes, not all splits before it
         nodes = {m: c for n, cnt in nodes.items() for m, c in ([(n, cnt)] if cnt == 1 else [(n, cnt // 2), (n + cnt // 2, cnt - cnt // 2)])}
 
     placed = rows.select(row_id, "size", "text_crc32", F.col("node").alias("shard"), "_m", "_h")
