@@ -117,10 +117,17 @@ def read_archive(data: bytes | memoryview) -> Iterator[dict]:
         yield parse_record(raw)
 
 
-def train_dictionary(pages: DataFrame, html: str = "html", sample_rows: int = 256, sample_bytes: int = 32_768, dict_bytes: int = 32_768) -> bytes:
-    """A dictionary from at most ``sample_rows`` payloads of at most ``sample_bytes`` each; empty if too few."""
-    sample = pages.select(F.encode(F.col(html), "UTF-8").alias("b")).where(F.octet_length("b").between(1, sample_bytes))
-    rows = [bytes(r.b) for r in sample.orderBy(F.xxhash64("b"), "b").limit(sample_rows).collect()]
+def train_dictionary(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample_rows: int = 256, sample_bytes: int = 32_768, dict_bytes: int = 32_768) -> bytes:
+    """A dictionary from at most ``sample_rows`` payloads of at most ``sample_bytes`` each; empty if too few.
+
+    Rows are drawn by a hash first, about four times as many as are needed, so
+    that no task sends more than its share of them to the driver.
+    """
+    sample = pages.select(F.encode(F.col(html), "UTF-8").alias("b"), F.xxhash64(F.col(page_id), F.col(html)).alias("h")).where(F.octet_length("b").between(1, sample_bytes))
+    n = sample.count()
+    if n > 8 * sample_rows:
+        sample = sample.where(F.pmod("h", F.lit(1 << 40)) < (1 << 40) * 4 * sample_rows // n)
+    rows = [bytes(r.b) for r in sample.orderBy("h", "b").limit(sample_rows).collect()]
     try:
         return zstandard.train_dictionary(dict_bytes, rows).as_bytes() if len(rows) >= 16 else b""
     except zstandard.ZstdError:
