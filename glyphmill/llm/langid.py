@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import wordhash as wh
+from glyphmill.llm.common import apart
 
 BUCKETS = 1 << 15
 LETTER = np.zeros(256, bool)
@@ -44,19 +45,21 @@ class Model:
     logp: np.ndarray
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 2000, smooth: float = 0.5) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 2000, smooth: float = 0.5, row_id: str = "doc_id") -> Model:
     """Trigram counts of about ``sample_rows`` labelled texts per language (all if fewer).
 
-    The bounded sample is drawn by a hash of the text, without a shuffle. Null
-    texts and labels are skipped. Counts are summed on the cluster; what
+    The bounded sample is drawn by a hash of the row's id and text, without a
+    shuffle, so copies of one text are drawn one by one; the id is no input of
+    the model. Null texts and labels are skipped. Counts are summed on the cluster; what
     reaches the driver is at most ``BUCKETS`` rows a language.
     """
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    drawn = F.xxhash64(*[F.col(c) for c in (row_id, text) if c in docs.columns])
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(drawn, F.lit(1_000_000)).alias("drawn")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, sample_rows / v))])
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    rows = rows.where(F.col("drawn") < F.element_at(share, F.col("lang")) * 1_000_000).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -187,4 +190,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(mixes, pa.string())], [*keep, "lang_pred", "score", "mixture"])
 
     schema = type(docs.schema)([*fields]).add("lang_pred", "string").add("score", "double").add("mixture", "string")
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(predict, schema)
+    return docs.select(*keep, F.col(text).alias(apart("own_text", keep))).mapInArrow(predict, schema)
