@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import wordhash as wh
-from glyphmill.llm.common import cut
+from glyphmill.llm.common import apart, bounded, cut
 from glyphmill.llm.components import components
 from glyphmill.llm.substring import FLUSH, bucket_of, pack, unpack
 
@@ -444,12 +444,14 @@ def one_per_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", fe
     shuffle. Only rows whose id repeats are compared with each other. Rows
     with a null id stay.
     """
-    gone = cut(groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
-    twice = cut(docs.groupBy(F.col(doc_id).alias("_twice")).count().where("count > 1 and _twice is not null").select("_twice"), "repeated")
-    gone = F.broadcast(gone) if gone.count() <= few else gone
-    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    if (n := twice.count()) == 0:
+    gone_id, twice_id = apart("gone_id", docs.columns), apart("twice_id", docs.columns)
+    gone = cut(groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(gone_id)).distinct(), "duplicates")
+    number = apart("n", docs.columns)
+    twice = docs.groupBy(F.col(doc_id).cast("long").alias(twice_id)).agg(F.count(F.lit(1)).alias(number)).where((F.col(number) > 1) & F.col(twice_id).isNotNull())
+    twice = cut(twice.select(twice_id), "repeated")
+    kept = docs.join(bounded(gone, few), docs[doc_id].cast("long") == F.col(gone_id), "left_anti")
+    if twice.isEmpty():
         return kept
-    twice = F.broadcast(twice) if n <= few else twice
-    same = F.col(doc_id) == F.col("_twice")
+    twice = bounded(twice, few)
+    same = F.col(doc_id).cast("long") == F.col(twice_id)
     return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").distinct())

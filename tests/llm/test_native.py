@@ -65,6 +65,64 @@ def test_weak_parts_need_each_other(spark):
     assert [found[i].f for i in (1, 2, 3, 4)] == [""] * 4 and [found[i].t for i in (1, 2, 3, 4)] == texts[1:]
 
 
+def test_dense_and_long_texts_take_linear_time(spark):
+    import time
+
+    line = "password = abcdefgh12345 \n"
+    texts = [line * (256 * 1024 // len(line)), ("\n\nuser: alice9 https://db.example.org/x1 " + "Zq8" * 9) * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scan = lambda d: secrets.scan_secrets(d).select("doc_id", secrets.joined(F.col("base")).alias("b"), F.size("found").alias("n"), secrets.redact(F.col("text"), F.col("found")).alias("t"))
+    scan(docs.where("false")).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in scan(docs).collect()}
+    assert time.time() - began < 12
+    assert got[0].b == ",".join(f"{k}:{s}:{e}" for k, s, e in base(texts[0])) and got[0].t == "[secret] \n" * (len(texts[0]) // len(line))
+    assert got[1].n == 9000 and "alice9" not in got[1].t and "Zq8" not in got[1].t
+
+
+def linked_by_hand(text, reach=200):
+    """All spans of a text in plain Python: base ones, and weak ones beside another role in their paragraph."""
+    rows = [(s, secrets.RANK[k], e, k) for k, s, e in base(text)]
+    for kind, (pattern, least) in secrets.WEAK.items():
+        for m in re.finditer(pattern, text):
+            if len(m[0]) >= least and (kind != "opaque" or re.search("[0-9]", m[0])):
+                rows.append((m.start(), secrets.RANK[kind], m.end(), kind))
+    scope = lambda at: len(re.findall(r"\n\n+", text[:at]))
+    rows = [r for r in rows if not (r[3] == "opaque" and any(x[3] in ("identifier", "endpoint") and scope(x[0]) == scope(r[0]) and x[0] <= r[0] and r[2] <= x[2] for x in rows))]
+    out = []
+    for s, rank, e, kind in sorted(rows):
+        beside = any(secrets.ROLE[k] != secrets.ROLE[kind] and scope(x) == scope(s) and (0 <= x - e <= reach or 0 <= s - y <= reach) for x, _, y, k in rows)
+        if kind in secrets.BASE or beside:
+            out.append(f"{kind}:{s}:{e}")
+    return ",".join(out)
+
+
+def test_linked_spans_as_plain_python(spark):
+    import random
+
+    rng, pieces = random.Random(4), ["user: alice9", "https://db.example.org/a1", "Zq8" * 8, "token=abcdefgh9", "0f" * 17, "\n\n", "\n\n\n\n", " . " * 60, "plain words", "é😀", "login=" + "k3y" * 9]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", " ", "\n"]) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.f for r in secrets.scan_secrets(docs).select("doc_id", secrets.joined(F.col("found")).alias("f")).collect()}
+    assert got == {i: linked_by_hand(t) for i, t in enumerate(texts)}
+
+
+def test_helper_columns_clash_with_nothing(spark):
+    names = ["found", "bhost", "bpath", "judged_host", "judged_path", "judged_best", "own_key", "own_salt", "salt", "_key", "text_key", "gone_id", "twice_id", "_gone", "_twice", "n", "short", "digest"]
+    rows = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("http://a.com/de/x token=abcdefgh9").alias("text"), *[F.lit(n).alias(n) for n in names])
+    got = url_filter.filter_urls(rows.withColumnRenamed("text", "url"), url_filter.rule_table(spark, queries.URL_RULES)).collect()
+    assert all(r.verdict == "block" and r.found == "found" and r.judged_host == "judged_host" for r in got) and len(got) == 3
+    got = secrets.scan_secrets(rows).collect()
+    assert all(len(r.base) == 1 and r.own_key == "own_key" and r.salt == "salt" for r in got) and len(got) == 3
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    leaks = decontam.find_leaks(rows, bench)
+    assert decontam.decontaminate(rows, leaks).columns == rows.columns and decontam.decontaminate(rows, leaks).count() == 3
+    from glyphmill.llm import jaccard
+
+    kept = jaccard.one_per_group(rows, jaccard.similar_groups(rows))
+    assert kept.columns == rows.columns and [r.doc_id for r in kept.collect()] == [0]
+
+
 def found_in(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.f for r in secrets.scan_secrets(docs).select("doc_id", secrets.joined(F.col("found")).alias("f")).collect()}
@@ -96,6 +154,35 @@ def test_shards_are_even_and_whole(spark):
     assert kdshard.kd_shards(hot.where("false"), dims, n_shards=6).collect() == []
 
 
+def test_shards_of_odd_coordinates(spark):
+    odd = [float("nan"), float("inf"), float("-inf"), None, -1.0, 0.0, 1e300]
+    docs = spark.createDataFrame([(None if i % 9 == 0 else i, "word " * (200_000 if i == 5 else i % 7), odd[i % 7], "clash") for i in range(70)], "doc_id long, text string, x double, node string")
+    got = kdshard.kd_shards(docs, {"x": F.col("x"), "doc_id": F.col("doc_id")}, n_shards=5).collect()
+    assert len(got) == 70 and {r.shard for r in got} <= set(range(5))  # one text outweighs all others
+    assert sum(r["size"] for r in got) == sum(len("word " * (200_000 if i == 5 else i % 7)) + 8 for i in range(70))
+
+
+def test_shards_follow_a_plain_tree(spark):
+    """Distinct coordinates of equal weight: every split is the plain weighted median of the widest dimension."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, "x" * 92, rng.random() * 10, rng.random() * 3) for i in range(96)]
+
+    def split(part, k, first, spread):
+        if k == 1:
+            return {r[0]: first for r in part}
+        d = max((2, 3), key=lambda j: ((max(r[j] for r in part) - min(r[j] for r in part)) / spread[j], -j))
+        part = sorted(part, key=lambda r: r[d])
+        at = round(len(part) * (k // 2) / k)
+        return split(part[:at], k // 2, first, spread) | split(part[at:], k - k // 2, first + k // 2, spread)
+
+    want = split(rows, 6, 0, {j: max(r[j] for r in rows) - min(r[j] for r in rows) for j in (2, 3)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x double, y double")
+    got = {r.doc_id: r.shard for r in kdshard.kd_shards(docs, {"x": F.col("x"), "y": F.col("y")}, n_shards=6).collect()}
+    assert got == want
+
+
 ITEM = "A train leaves Berlin at noon and travels 120 km in 2 hours before Maria boards it, what speed in km does it keep over those 120 km"
 
 
