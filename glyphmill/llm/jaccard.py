@@ -1,18 +1,25 @@
 """Exact Jaccard join of n-gram sets as a metric-space join over pivots.
 
-The Jaccard distance is a metric. Sets of different texts lie at a distance
-near 1 from any text that one could take as a pivot, so pivots that are texts
-separate nothing; the pivots here are the single shingles, {s}. A set lies
-nearest to the pivots of its own shingles, all at the same distance, and ties
-are broken by one order of all shingles, those of rare words first: that gives the
-Voronoi region of each set. A set within the distance bound of another has its
-region among the first shingles of the other, so each set is replicated into
-the regions of its first ``n - ceil(t n) + 1`` shingles and no pair is lost.
-Within a region the triangle inequality prunes: for parts P of the shingle
-universe, ``||A n P| - |B n P||`` summed over the parts is at most the size of
-the symmetric difference. What remains are candidate pairs, which only link
-regions to clusters; within a cluster, pivots that are documents join the
-sets recursively and exactly.
+The Jaccard distance is a metric, and the join goes by pivots, Voronoi regions
+and triangle-inequality windows on two levels.
+
+Documents of a corpus lie at distances near 1 from any document that one could
+take as a pivot, so pivots that are documents would send nearly every one to
+nearly all regions (measured in the README). The first level therefore takes
+the single shingles, {s}, as pivots. A set lies nearest to those of its own
+shingles, all at the same distance; ties are broken by one order of all
+shingles, those of rare words first. A set within the distance bound of another
+has its region among the first shingles of the other, so each set is replicated
+into the regions of its first ``n - ceil(t n) + 1`` shingles and no pair is
+lost. Within a region the triangle inequality prunes: for parts P of the
+shingle universe, ``||A n P| - |B n P||`` summed over the parts is at most the
+size of the symmetric difference. The candidate pairs that remain link
+documents to clusters.
+
+The second level joins each cluster with documents as pivots, whose distances
+tell much there: a document's home is the region of its nearest pivot, and it
+visits those whose pivot is at most the distance bound farther. Regions are
+joined recursively: small ones within a task, large ones by further pivots.
 """
 
 from __future__ import annotations
@@ -39,6 +46,8 @@ REGION_SCHEMA = "bucket int, what string, a long, b long, sets binary, pivots bi
 FINE = 256
 #: Documents of one region that one task compares; larger regions are split into pairs of blocks.
 REGION = 20_000
+#: Documents that are compared without pivots; pivots of a region; a region that keeps more of its parent isn't split again.
+FEW, PIVOTS, SHRINK = 32, 8, 0.7
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,15 +151,25 @@ def _near(n_a, n_b, p_a, p_b, num: int, den: int) -> np.ndarray:
     return (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num) & (gap * (den + num) <= sizes * (den - num))
 
 
-def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, frequency: np.ndarray, region: int) -> DataFrame:
-    """Rows (what, a, b): ``doc`` (id, set size), ``copy`` (ids of equal sets), ``near`` and ``pair`` (ids of
-    candidates; a pair is to be tested by finer parts)."""
+def _deal(bucket: np.ndarray, table: dict, key: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sets and their pivots, one row a bucket."""
+    order = np.lexsort((key, bucket))
+    names, at = np.unique(bucket[order], return_index=True)
+    out: tuple[list, list] = ([], [])
+    for part in np.split(order, at[1:]) if len(order) else []:
+        used, inverse = np.unique(row[part], return_inverse=True)
+        out[0].append(pack(SETS, {k: v[used] for k, v in table.items()}))
+        out[1].append(pack(PIVOT, {"key": key[part], "row": inverse}))
+    none = [None] * len(names)
+    yield _rows(["sets"] * len(names), none, none, *out, names.tolist())
+
+
+def _scan(texts: DataFrame, size: int, num: int, den: int, buckets: int, frequency: np.ndarray) -> DataFrame:
+    """Rows ``doc`` (id, set size), ``copy`` (ids of equal sets) and ``sets`` (sets with the pivots of a bucket)."""
     weight = np.rint(6 * np.log2(frequency[:PLACES] + 1.0)).clip(max=255).astype(np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast((weight, frequency[PLACES:]))
-    region = max(region, int(4 * frequency[PLACES:].mean()))
+    shared = texts.sparkSession.sparkContext.broadcast(weight)
 
     def flush(docs: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value[1]
         seen: dict[bytes, int] = {}
         copies, keys, rows, n, parts, ids = [], [], [], [], [], []
         for doc, s in zip(docs, sets, strict=True):
@@ -161,13 +180,6 @@ def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, freq
                 copies.append((doc, other))
                 continue
             key = s[: prefix_length(len(s), num, den)]
-            often = counts[place_of(key << np.uint64(8))]
-            for j in np.flatnonzero(often > region):  # a region that may be too large: all pairs of its blocks
-                blocks = int(often[j] // region) + 1
-                own = (doc * 0x9E3779B1 & 0xFFFFFFFF) % blocks
-                pair = np.array([min(own, k) * blocks + max(own, k) for k in range(blocks)], np.uint64)
-                key = np.concatenate((key, wh.mix(key[j] + pair + np.uint64(1))))
-            key = key[np.append(often <= region, np.ones(len(key) - len(often), bool))]
             rows.append(np.full(len(key), len(ids)))
             keys.append(key)
             ids.append(doc)
@@ -178,22 +190,13 @@ def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, freq
         if ids:
             key, row = np.concatenate(keys), np.concatenate(rows)
             table = {"doc": np.array(ids), "n": np.array(n)} | {f"p{i}": x for i, x in enumerate(np.array(parts).T)}
-            bucket = bucket_of(key, buckets)
-            order = np.lexsort((key, bucket))
-            names, at = np.unique(bucket[order], return_index=True)
-            out: tuple[list, list] = ([], [])
-            for part in np.split(order, at[1:]):
-                used, inverse = np.unique(row[part], return_inverse=True)
-                out[0].append(pack(SETS, {k: v[used] for k, v in table.items()}))
-                out[1].append(pack(PIVOT, {"key": key[part], "row": inverse}))
-            none = [None] * len(names)
-            yield _rows(["sets"] * len(names), none, none, *out, names.tolist())
+            yield from _deal(bucket_of(key, buckets), table, key, row)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, sets, held = [], [], 0
         for b in batches:
             for lo, hi, data, offsets in wh.chunks(b.column(1)):
-                ids, got = b.column(0).slice(lo, hi - lo).to_pylist(), ordered_sets(data, offsets, size, shared.value[0])
+                ids, got = b.column(0).slice(lo, hi - lo).to_pylist(), ordered_sets(data, offsets, size, shared.value)
                 none = [None] * len(ids)
                 yield _rows(["doc"] * len(ids), ids, [len(s) for s in got], none, none, [i % buckets for i in range(len(ids))])
                 for i, s in zip(ids, got, strict=True):
@@ -206,9 +209,67 @@ def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, freq
                     docs, sets, held = [], [], 0
         yield from flush(docs, sets)
 
+    return texts.select("doc_id", "text").mapInArrow(scan, REGION_SCHEMA)
+
+
+def _split_hot(sets: DataFrame, frequency: np.ndarray, buckets: int, region: int) -> DataFrame:
+    """``sets``, where each region of more than ``region`` documents is replaced by all pairs of its blocks.
+
+    Sizes are counted exactly, for those shingles only that share a place of
+    the sketch with more than ``region`` occurrences. The driver gets one row
+    for each region that is too large, at most one for ``region`` pivots.
+    """
+    hot_place = frequency[PLACES:] > region
+    if not hot_place.any():
+        return sets
+    spark = sets.sparkSession
+    places = spark.sparkContext.broadcast(np.packbits(hot_place))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.unpackbits(places.value).astype(bool)
+        for b in batches:
+            key = np.concatenate([unpack(PIVOT, [x])["key"] for x in b.column(0).to_pylist()] or [np.zeros(0, np.uint64)])
+            names, n = np.unique(key[hot[place_of(key << np.uint64(8))]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    large = sets.select("pivots").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > region).toArrow()
+    if not len(large):
+        return sets
+    names = large["key"].to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    shared = spark.sparkContext.broadcast((names[order], large["n"].to_numpy()[order]))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, n = shared.value
+        for b in batches:
+            for i in range(b.num_rows):
+                one = b.slice(i, 1)
+                pivot = unpack(PIVOT, one.column(5).to_pylist())
+                key, row = pivot["key"], pivot["row"].astype(np.int64)
+                at = np.searchsorted(names, key).clip(max=len(names) - 1)
+                hot = names[at] == key
+                if not hot.any():
+                    yield pa.RecordBatch.from_arrays(one.columns, one.schema.names)
+                    continue
+                table = unpack(SETS, one.column(4).to_pylist())
+                keys, rows = [key[~hot]], [row[~hot]]
+                blocks = (n[at[hot]] // region + 1).astype(np.int64)
+                own = (table["doc"][row[hot]] * 0x9E3779B1 & 0xFFFFFFFF) % blocks
+                other = _ramp(blocks)
+                own, blocks, base = (np.repeat(x, blocks) for x in (own, blocks, key[hot]))
+                pair = np.minimum(own, other) * blocks + np.maximum(own, other)
+                keys.append(wh.mix(base + pair.astype(np.uint64) + np.uint64(1)))
+                rows.append(np.repeat(row[hot], (n[at[hot]] // region + 1).astype(np.int64)))
+                key, row = np.concatenate(keys), np.concatenate(rows)
+                yield from _deal(bucket_of(key, buckets), table, key, row)
+
+    return sets.mapInArrow(split, REGION_SCHEMA)
+
+
+def _join_regions(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (what, a, b), ``near`` and ``pair``: ids of candidates; a pair is to be tested by finer parts."""
+
     def join(t: pa.Table) -> pa.Table:
-        passed = t.filter(pa.compute.not_equal(t["what"], "sets")).select(["what", "a", "b"])
-        t = t.filter(pa.compute.equal(t["what"], "sets"))
         tables, keys, rows, upto = [], [], [], 0
         for sets, pivots in zip(t["sets"].to_pylist(), t["pivots"].to_pylist(), strict=True):
             tables.append(unpack(SETS, [sets]))
@@ -216,8 +277,6 @@ def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, freq
             keys.append(p["key"])
             rows.append(p["row"].astype(np.int64) + upto)
             upto += len(tables[-1]["doc"])
-        if not tables:
-            return passed
         doc = np.concatenate([x["doc"] for x in tables])
         n = np.concatenate([x["n"] for x in tables]).astype(np.int64)
         part = np.stack([np.concatenate([x[f"p{i}"] for x in tables]) for i in range(PARTS)], 1).astype(np.int32)
@@ -250,13 +309,13 @@ def _regions(texts: DataFrame, size: int, num: int, den: int, buckets: int, freq
             x, y = u.edges()
             ends.append((members[x], members[y]))
         a, b = (doc[np.concatenate([e[i] for e in ends])] for i in (0, 1))
-        out = [passed]
+        out = []
         for what, x, y in (("near", a, b), ("pair", *pairs)):
             out.append(pa.table([pa.array([what] * len(x), pa.string()), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["what", "a", "b"]))
         wh.give_back()
         return pa.concat_tables(out)
 
-    return texts.select("doc_id", "text").mapInArrow(scan, REGION_SCHEMA).groupBy("bucket").applyInArrow(join, "what string, a long, b long")
+    return sets.select("bucket", "sets", "pivots").groupBy("bucket").applyInArrow(join, "what string, a long, b long")
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:
@@ -322,77 +381,155 @@ class Overlaps:
         self.value, first = np.unique(every, return_index=True)
         self.first = np.append(first, len(every))
 
-    def linked(self, s: np.ndarray, num: int, den: int) -> np.ndarray:
+    def common(self, s: np.ndarray) -> np.ndarray:
         if not len(s) or not len(self.value):
-            return np.zeros(0, np.int64)
+            return np.zeros(len(self.n), np.int64)
         at = np.searchsorted(self.value, s).clip(max=len(self.value) - 1)
         at = at[self.value[at] == s]
         count = self.first[at + 1] - self.first[at]
-        both = np.bincount(self.owner[np.repeat(self.first[at], count) + _ramp(count)], minlength=len(self.n))
+        return np.bincount(self.owner[np.repeat(self.first[at], count) + _ramp(count)], minlength=len(self.n))
+
+    def linked(self, s: np.ndarray, num: int, den: int) -> np.ndarray:
+        both = self.common(s)
         return np.flatnonzero((both > 0) & (both * den >= (self.n + len(s) - both) * num))
 
+    def distance(self, s: np.ndarray) -> np.ndarray:
+        both = self.common(s)
+        return 1 - both / np.maximum(self.n + len(s) - both, 1)
+
 
 def _all_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return [s for _, _, data, offsets in wh.chunks(texts) for s in sets_of(data, offsets, size)]
 
 
-def _join_clusters(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def visits(distance: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """From distances [pivot, document]: homes, and which regions [pivot, document] each belongs to, its home among them.
+
+    Let x live with pivot a and y with b, at most r apart. Then d(x, b) -
+    d(x, a) and d(y, a) - d(y, b) add up to at most 2 r, so one of them is at
+    most r, and that document visits the other's region.
+    """
+    home = distance.argmin(0)
+    nearest = distance[home, np.arange(distance.shape[1])]
+    return home, distance - nearest <= 1 - num / den + 1e-9
+
+
+def voronoi_links(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, first member of its component) of sets that links connect; regions of pivots are joined recursively."""
+    out = Union(len(sets))
+
+    def join(members: np.ndarray) -> None:
+        own = [sets[i] for i in members]
+        index = Overlaps(own)
+        if len(members) > FEW:
+            rows = [index.distance(own[0])]
+            while len(rows) < PIVOTS:  # farthest first
+                rows.append(index.distance(own[int(np.argmax(np.min(rows, axis=0)))]))
+            _, inside = visits(np.array(rows), num, den)
+            parts = [members[x] for x in np.unique(inside, axis=0) if x.any()]
+            if max(map(len, parts)) <= SHRINK * len(members):
+                for part in parts:
+                    join(part)
+                return
+        u = Union(len(members))
+        for i in u.leaders():
+            u.join(i, index.linked(own[i], num, den))
+        for x, y in zip(*u.edges(), strict=True):
+            out.join(members[x], members[y : y + 1])
+
+    join(np.arange(len(sets)))
+    return out.edges()
+
+
+def _join_clusters(members: DataFrame, size: int, num: int, den: int, cluster: str = "cluster") -> DataFrame:
     """True links that connect each cluster (cluster, doc_id, text), one task a cluster."""
 
     def join(t: pa.Table) -> pa.Table:
         doc = t["doc_id"].to_numpy()
-        sets = _all_sets(t["text"], size)
-        index, u = Overlaps(sets), Union(len(doc))
-        for i in u.leaders():
-            u.join(i, index.linked(sets[i], num, den))
-        a, b = u.edges()
+        a, b = voronoi_links(_all_sets(t["text"], size), num, den)
         return pa.table([pa.array(doc[a]), pa.array(doc[b])], names=["a", "b"])
 
-    return members.groupBy("cluster").applyInArrow(join, "a long, b long")
+    return members.groupBy(cluster).applyInArrow(join, "a long, b long")
 
 
 def _join_large(members: DataFrame, size: int, num: int, den: int, block: int) -> DataFrame:
-    """True links that connect clusters which are too large for a task.
-
-    Rounds of document pivots: those outside the largest component of their
-    cluster are compared with the whole cluster, in blocks of about ``block``
-    text bytes, until none is left. A pair that no round compares lies within
-    one component already.
+    """True links that connect clusters (cluster, doc_id, text) which are too large for a task.
+
+    Each round draws some documents of every region as pivots and measures
+    their exact distances to its documents, in blocks of about ``block`` text
+    bytes. Documents go on into their home's region and those that they visit;
+    links with the home's pivot are kept. Regions of up to ``block`` bytes are
+    joined in a task, and larger ones by the next round. One that keeps more
+    than ``SHRINK`` of its parent is ended: its documents that link with the
+    pivot are connected already, so only the others are compared with all, by
+    pairs of blocks.
     """
-    weight = members.groupBy("cluster").agg(F.sum(F.octet_length("text")).alias("w"))
-    members = cut(members.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.ceil(F.col("w") / block).cast("long"))).drop("w"), "large")
-    label = members.select("cluster", "doc_id", F.col("doc_id").alias("component")).distinct()
-    used, links = None, None
-
-    def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        sets, pivots = _all_sets(left["text"], size), _all_sets(right["words"], size)
-        doc, index, u = left["doc_id"].to_numpy(), Overlaps(sets), Union(len(sets) + len(pivots))
-        for i, s in enumerate(pivots):
-            u.join(len(sets) + i, index.linked(s, num, den))
-        doc = np.concatenate((doc, right["pivot"].to_numpy()))
-        a, b = u.edges()
-        return pa.table([pa.array(doc[a]), pa.array(doc[b])], names=["a", "b"])
+    here = members.select(F.col("cluster").cast("string").alias("region"), "doc_id", "text")
+    links = None
 
-    blocks = members.select("cluster", "block").distinct()
-    while True:
-        sizes = label.groupBy("cluster", "component").count()
-        largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        open_ = label.join(largest, "cluster")
-        if used is not None:  # the first round takes any
-            open_ = open_.where("component <> largest").join(used, ["cluster", "doc_id"], "left_anti")
-        ranked = open_.select("cluster", "doc_id", F.xxhash64("doc_id").alias("r"))
-        share = ranked.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        # About 64 pivots a round, drawn by hash; a share of the open ones needs no sorting of a cluster.
-        picked = ranked.join(share, "cluster").where(F.pmod("r", "n") < (64 if used is not None else 32)).select("cluster", "doc_id")
-        picked = cut(picked.unionByName(ranked.groupBy("cluster").agg(F.min_by("doc_id", "r").alias("doc_id"))).distinct(), "pivots")
-        if picked.isEmpty():
-            return links
-        pivots = members.drop("block").join(picked, ["cluster", "doc_id"]).join(blocks, "cluster")
-        pivots = pivots.select(F.col("cluster").alias("to"), F.col("block").alias("at"), F.col("doc_id").alias("pivot"), F.col("text").alias("words"))
-        found = cut(members.groupBy("cluster", "block").cogroup(pivots.groupBy("to", "at")).applyInArrow(compare, "a long, b long"), "links")
+    def add(found: DataFrame) -> None:
+        nonlocal links
+        found = cut(found.select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)
-        used = picked if used is None else used.unionByName(picked)
-        label = cut(members.select("cluster", "doc_id").distinct().join(components(links), F.col("node") == F.col("doc_id"), "left").select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labels")
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        index, doc = Overlaps(_all_sets(left["text"], size)), left["doc_id"].to_numpy()
+        right = right.sort_by("pivot")
+        pivots, names = _all_sets(right["words"], size), right["pivot"].to_numpy()
+        distance = np.array([index.distance(p) for p in pivots])
+        home, inside = visits(distance, num, den)
+        near = np.zeros(len(doc), bool)
+        for j, p in enumerate(pivots):
+            mine = np.flatnonzero(home == j)
+            near[mine[np.isin(mine, index.linked(p, num, den))]] = True
+        which, who = np.nonzero(inside)
+        region = left["region"][0].as_py()
+        columns = [pa.array([f"{region}/{names[j]}" for j in which], pa.string()), pa.array(names[which]), pa.array(doc[who]), left["text"].combine_chunks().take(pa.array(who)), pa.array((home[who] == which) & near[who])]
+        return pa.table(columns, names=["region", "pivot", "doc_id", "text", "core"])
+
+    def blocks_of(rows: DataFrame, weight: DataFrame) -> DataFrame:
+        return rows.join(weight, "region").withColumn("n", F.ceil(F.col("w") / block).cast("long")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.col("n")))
+
+    def cross(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Links of the documents of one block with those of another."""
+        a, b = _all_sets(left["text"], size), _all_sets(right["words"], size)
+        index, u = Overlaps(a), Union(len(a) + len(b))
+        for i, s in enumerate(b):
+            u.join(len(a) + i, index.linked(s, num, den))
+        doc = np.concatenate((left["doc_id"].to_numpy(), right["pivot"].to_numpy()))
+        x, y = u.edges()
+        return pa.table([pa.array(doc[x]), pa.array(doc[y])], names=["a", "b"])
+
+    weight = cut(here.groupBy("region").agg(F.sum(F.octet_length("text")).alias("w"), F.count(F.lit(1)).alias("c")), "weights")
+    for level in range(64):
+        here = cut(blocks_of(here, weight.select("region", "w", "c")), "large")
+        # About twice PIVOTS of each region, drawn by a hash; the first by it is always among them.
+        drawn = here.select("region", "doc_id", "text", F.xxhash64("doc_id", F.lit(level)).alias("r"), "c", "n")
+        first = drawn.groupBy("region").agg(F.min_by(F.struct("doc_id", "text", "n"), F.struct("r", "doc_id")).alias("x")).select("region", "x.*")
+        pivots = first.unionByName(drawn.where(F.pmod("r", F.col("c")) < 2 * PIVOTS).select(*first.columns)).dropDuplicates(["region", "doc_id"])
+        pivots = pivots.select(F.col("region").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("in"), F.col("doc_id").alias("pivot"), F.col("text").alias("words"))
+        rows = here.select("region", "block", "doc_id", "text").groupBy("region", "block").cogroup(pivots.groupBy("at", "in")).applyInArrow(measure, "region string, pivot long, doc_id long, text string, core boolean")
+        rows = cut(rows, "regions")
+        add(rows.where("core and doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+        parent = weight.select(F.col("region").alias("parent"), F.col("w").alias("before"))
+        weight = rows.groupBy("region").agg(F.sum(F.octet_length("text")).alias("w"), F.count(F.lit(1)).alias("c"), F.sum(F.when(F.col("core"), 0).otherwise(1)).alias("open"))
+        weight = weight.join(parent, F.regexp_replace("region", "/-?[0-9]+$", "") == F.col("parent")).where("open > 0")
+        weight = cut(weight.withColumn("how", F.when(F.col("w") <= block, "task").when(F.col("w") <= SHRINK * F.col("before"), "again").otherwise("blocks")), "weights")
+        of = lambda how: rows.join(weight.where(F.col("how") == how).select("region", "w", "c"), "region")
+        add(_join_clusters(of("task").select("region", "doc_id", "text"), size, num, den, "region"))
+        stuck = weight.where("how = 'blocks'").select("region", "w", "c")
+        if not stuck.isEmpty():
+            every = blocks_of(rows.select("region", "doc_id", "text"), stuck)
+            open_ = blocks_of(rows.where("not core").select("region", "doc_id", "text"), stuck).withColumnRenamed("block", "other")
+            open_ = cut(open_.select(F.col("region").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("in"), "other", F.col("doc_id").alias("pivot"), F.col("text").alias("words")), "open")
+            pairs = open_.select(F.col("at").alias("region"), F.col("other").alias("against")).distinct()
+            every = cut(every.join(pairs, "region").select("region", "block", "against", "doc_id", "text"), "every")
+            add(every.groupBy("region", "block", "against").cogroup(open_.groupBy("at", "in", "other")).applyInArrow(cross, "a long, b long"))
+        weight = weight.where("how = 'again'").select("region", "w", "c")
+        if weight.isEmpty():
+            return links
+        here = rows.join(weight.select("region"), "region").select("region", "doc_id", "text")
+    raise RuntimeError("regions did not shrink")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", few: int = 1_000_000, cluster_bytes: int = 4 << 20, region: int = REGION) -> DataFrame:
@@ -405,8 +542,8 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     links. The join is exact up to 64-bit hashes of shingles.
 
     Equal sets within a task travel once. A region of more than ``region``
-    documents, by a frequency sketch of fixed size, is joined by pairs of
-    blocks, and a cluster of more than ``cluster_bytes`` by rounds of pivots.
+    documents, counted exactly, is joined by pairs of blocks, and a cluster of
+    more than ``cluster_bytes`` by rounds of pivots over the cluster's texts.
 
     Null, empty and blank texts have no shingles and link with nothing. A null
     doc_id links with nothing and has a null component. Rows that share a
@@ -416,11 +553,13 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     frequency = _frequency(rows.select("text"), size)
-    got = cut(_regions(rows, size, num, den, max(12, total >> 23), frequency, region), "regions")
+    buckets = max(48, total >> 22)
+    scanned = cut(_scan(rows, size, num, den, buckets, frequency), "scan")
+    found = cut(_join_regions(_split_hot(scanned.where("what = 'sets'"), frequency, buckets, region), num, den), "regions")
 
-    copies = got.where("what = 'copy'").select("a", "b")
-    near = got.where("what = 'near' and a <> b").select("a", "b")
-    near = near.unionByName(_test_pairs(rows, got.where("what = 'pair' and a <> b").select("a", "b"), size, num, den, few)).distinct()
+    copies = scanned.where("what = 'copy'").select("a", "b")
+    near = found.where("what = 'near' and a <> b").select("a", "b")
+    near = near.unionByName(_test_pairs(rows, found.where("what = 'pair' and a <> b").select("a", "b"), size, num, den, few)).distinct()
     cluster = components(near)
     sent = cut(cluster.join(copies, F.col("node") == F.col("a"), "left_anti").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
     lengths = rows.select("doc_id", F.octet_length("text").alias("w"))
@@ -433,7 +572,7 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
         links = _join_clusters(members.join(large, "cluster", "left_anti"), size, num, den)
         links = links.unionByName(_join_large(members.join(large, "cluster"), size, num, den, cluster_bytes))
     group = components(links.unionByName(copies))
-    out = got.where("what = 'doc'").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
+    out = scanned.where("what = 'doc'").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     return out.join(group, F.col("node") == F.col("doc_id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

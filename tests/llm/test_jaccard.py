@@ -76,6 +76,46 @@ def test_splits_of_hot_regions_and_clusters(spark):
     assert run(spark, rows, 3, 9, 10, cluster_bytes=20_000, region=20, few=0) == expected
 
 
+def test_chains_of_large_clusters(spark):
+    """Documents that drift apart: one cluster whose ends don't link, in many rounds of pivots."""
+    rng = random.Random(8)
+    words, rows = [f"w{i}" for i in range(120)], []
+    for i in range(220):
+        words[rng.randrange(120)] = f"e{i}"
+        if i % 11 == 0:
+            for _ in range(9):
+                words[rng.randrange(120)] = f"e{i}"
+        rows.append((i, " ".join(words)))
+    expected = brute(rows, 3, 9, 10)
+    assert 3 < len({x[2] for x in expected}) < 150
+    assert run(spark, rows, 3, 9, 10, cluster_bytes=9000) == expected
+    assert run(spark, rows, 3, 9, 10) == expected
+
+
+def test_regions_of_pivots_lose_no_link():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 60, (6, 60)).astype(np.uint64)
+    sets = []
+    for _ in range(250):
+        s = base[rng.integers(6)].copy()
+        s[rng.random(60) < rng.choice([0.02, 0.1, 0.3])] = rng.integers(0, 1 << 60)
+        sets.append(np.unique(s))
+    root = list(range(len(sets)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(s, sets[j]))
+            if both * 10 >= 8 * (len(s) + len(sets[j]) - both) and root[i] != root[j]:
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    u = jaccard.Union(len(sets))
+    for a, b in zip(*jaccard.voronoi_links(sets, 8, 10), strict=True):
+        u.join(a, np.array([b]))
+    groups = lambda labels: sorted(sorted(i for i in range(len(sets)) if labels[i] == x) for x in set(labels))
+    assert groups(u.label.tolist()) == groups(root) and len(set(root)) > 10
+
+
 @pytest.mark.parametrize("case", [(3, 9, 10), (5, 8, 10)])
 def test_sets_of_one_shingle(spark, case):
     texts = [" ".join(["a"] * n) for n in range(1, 9)] + ["b b b", "B b b b", "b b b b b", "b b b b b b c", "x y z", "x y z", "x y", "x y"]
