@@ -41,6 +41,24 @@ def _append(store: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray,
     return store, used + len(more)
 
 
+def _words(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The first ``HELD`` words of eight bytes of each span, zeros after its end; ``data`` must reach beyond."""
+    every = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    return [every[starts + 8 * k] & masks[(size - 8 * k).clip(0, 8)] for k in range(HELD)]
+
+
+def terms_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, occurrences), by document and then term."""
+    length = np.array([len(d) for d in docs], np.int64)
+    ids = np.concatenate([*(np.sort(d, kind="stable") for d in docs), np.zeros(0, np.uint16)]).astype(np.int64)
+    new = np.ones(len(ids), bool)
+    new[1:] = ids[1:] != ids[:-1]
+    new[(np.cumsum(length) - length)[length > 0]] = True
+    at = np.flatnonzero(new)
+    return np.repeat(np.arange(len(docs)), length)[at], ids[at], np.diff(np.append(at, len(ids)))
+
+
 def _equal(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> bool:
     """Whether the spans of ``size`` bytes at ``a_at`` and ``b_at`` hold the same bytes."""
     upto = np.cumsum(size) - size
@@ -75,7 +93,8 @@ class Tokens:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.start, self.count, self.at, self.size_of = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.count, self.at, self.size_of = (np.zeros(1 << 16, np.int64) for _ in range(4))
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.pool, self.filled = np.zeros(1 << 16, np.uint8), 0
 
@@ -102,23 +121,36 @@ class Tokens:
         self.ids, self.used = _append(self.ids, self.used, ids)
         at = self.filled + np.cumsum(size) - size
         self.pool, self.filled = _append(self.pool, self.filled, np.frombuffer(b"".join(segments), np.uint8))
-        for name, new in (("keys", keys), ("start", start), ("count", counts), ("at", at), ("size_of", size)):
-            setattr(self, name, np.insert(getattr(self, name), place, new))
+        n = len(self.keys)
+        for name, new in (("start", start), ("count", counts), ("at", at), ("size_of", size)):
+            setattr(self, name, _append(getattr(self, name), n, new)[0])
+        self.keys, self.number = np.insert(self.keys, place, keys), np.insert(self.number, place, np.arange(n, n + len(keys)))
 
     def _look_up(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
         """Each segment's number among the known ones, new ones included; None if a hash stands for two segments."""
-        keys, first, group = np.unique(wh.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
         size = ends - starts
-        if not (size[first][group] == size).all() or not _equal(data, starts, data, starts[first][group], size):
+        held = _words(np.append(data, np.zeros(8 * HELD + 8, np.uint8)), starts, size)
+        value = size.astype(np.uint64)
+        for w in held:
+            value = wh.mix(value * np.uint64(0xD6E8FEB86659FD93) + w)
+        long = np.flatnonzero(size > 8 * HELD)
+        if len(long):
+            begin = np.cumsum(size[long]) - size[long]
+            body = data[np.repeat(starts[long] - begin, size[long]) + np.arange(int(size[long].sum()))]
+            value[long] = wh.mix(value[long] + wh.hash_spans(body, begin, begin + size[long]))
+        keys, first, group = np.unique(value, return_index=True, return_inverse=True)
+        head = first[group]
+        if not (size[head] == size).all() or any((w[head] != w).any() for w in held) or not _equal(data, starts[long], data, starts[head[long]], size[long]):
             return None
         place = np.searchsorted(self.keys, keys)
         new = np.flatnonzero(self.keys[place.clip(max=len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
             self.learn(keys[new], place[new], [raw[x:y] for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             place = np.searchsorted(self.keys, keys)
-        if not (self.size_of[place] == size[first]).all() or not _equal(data, starts[first], self.pool, self.at[place], size[first]):
+        known = self.number[place]
+        if not (self.size_of[known] == size[first]).all() or not _equal(data, starts[first], self.pool, self.at[known], size[first]):
             return None
-        return place[group]
+        return known[group]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text."""
@@ -174,12 +206,10 @@ def tokenise(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "t
 
         for b in batches:
             for lo, hi, data, offsets in wh.chunks(b.column(1)):
-                blobs, sizes = [], []
-                for ids in tokens.encode(data, offsets):
-                    df[np.unique(ids) if len(ids) < 3000 else np.flatnonzero(np.bincount(ids, minlength=1))] += 1
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    sizes.append(len(ids))
-                    blobs.append(packer.compress(ids.astype("<u2").tobytes() if tokens.size <= 1 << 16 else ids.tobytes()))
+                every = [x.astype("<u2" if tokens.size <= 1 << 16 else "<u4") for x in tokens.encode(data, offsets)]
+                df += np.bincount(terms_of(every)[1], minlength=tokens.size).astype(np.uint32)
+                ended = [np.append(x, x.dtype.type(end_id)) for x in every]
+                sizes, blobs = [len(x) for x in ended], [packer.compress(x.tobytes()) for x in ended]
                 yield batch(range(row, row + hi - lo), b.column(0).slice(lo, hi - lo), sizes, blobs)
                 row += hi - lo
         yield batch([row], [None], [None], [packer.compress(df.tobytes())])
@@ -187,8 +217,12 @@ def tokenise(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "t
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "row long, doc_id long, n long, ids binary")
 
 
+#: Words of eight bytes by which a segment is compared at once; longer ones byte by byte.
+HELD = 3
 #: Entries of the dense part of an index; ids that one index shard holds and that one task deals with.
 DENSE, SHARD, PART = 1 << 22, 1 << 19, 1 << 21
+#: Rows a part that are drawn to find the parts' bounds.
+DRAWN = 64
 #: Terms that say where a document is dealt, and the share of documents that such a term must be in.
 DEAL, COMMON = 4, 50
 
@@ -202,10 +236,9 @@ class Weights:
 
     def counted(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, weight), by document and then term."""
-        width, length = np.int64(len(self.df)), np.array([len(d) for d in docs])
-        pair, tf = np.unique(np.repeat(np.arange(len(docs)), length) * width + np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
-        doc, term = pair // width, pair % width
-        return doc, term, self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[doc] / self.mean))
+        doc, term, tf = terms_of(docs)
+        length = np.array([len(d) for d in docs])[doc]
+        return doc, term, self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.mean))
 
     def deal(self, docs: list[np.ndarray]) -> np.ndarray:
         """Each document's ``DEAL`` weightiest terms among those in a ``COMMON``-th of all documents; missing ones come last."""
@@ -318,9 +351,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     The index is sharded by content: documents are ordered by their weightiest
     terms (BM25 weight, among terms in a fiftieth of all documents or more),
     and a run of about ``shard_tokens`` ids in that order is a shard. Ranges of
-    about ``part_tokens`` ids are dealt to tasks; the row number is the last
-    part of the order, so copies or documents with the same terms in any number
-    still divide. A task holds one shard at a time. For each seed the shard's
+    about ``part_tokens`` ids are dealt to tasks, with bounds from a sample of
+    rows; the row number is the last part of the order, so copies or documents
+    with the same terms in any number still divide. A task holds one shard at a time. For each seed the shard's
     index returns the unused neighbours, by all of the seed's terms, and they
     fill its window. A task's last window alone can be shorter than ``window``.
     Which share of the neighbours in the whole corpus lies in the shard is in
@@ -358,17 +391,40 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         unpack = zstandard.ZstdDecompressor().decompress
         return [np.frombuffer(unpack(x.as_buffer()), kind) for x in blobs]
 
+    def keys_of(b: pa.RecordBatch) -> list[np.ndarray]:
+        """The order of documents: their terms, then the row."""
+        found = [shared.value.deal([x[:-1] for x in read(b.column(3).slice(lo, 256))]) for lo in range(0, b.num_rows, 256)]
+        return [*np.concatenate([*found, np.zeros((0, DEAL), np.int32)]).astype(np.int64).T, b.column(0).to_numpy()]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in keys_of(b)], names)
+
+    names = [*(f"k{i}" for i in range(DEAL)), "at"]
+    parts, bounds = max(1, round(total.n / part_tokens)), None
+    rows = rows.select("row", "doc_id", "n", "ids")
+    if parts > 1:
+        # Bounds of the parts, from rows drawn by a hash: DRAWN rows a part reach the driver, five numbers each.
+        drawn = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < (1 << 30) * min(1.0, DRAWN * parts / total.docs))
+        got = drawn.mapInArrow(draw, ", ".join(f"{k} long" for k in names)).toArrow()
+        every = np.stack([got[k].to_numpy() for k in names], 1)
+        every = every[np.lexsort(every.T[::-1])]
+        bounds = spark.sparkContext.broadcast(every[np.unique(np.arange(1, parts) * len(every) // parts)] if len(every) else every)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                keys = shared.value.deal([x[:-1] for x in read(part.column(3))])
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(k, pa.int32()) for k in keys.T)], [*part.schema.names, *names])
-
-    names = [f"k{i}" for i in range(DEAL)]
-    dealt = rows.select("row", "doc_id", "n", "ids").mapInArrow(deal, "row long, doc_id long, n long, ids binary, " + ", ".join(f"{k} int" for k in names))
-    parts = max(1, round(total.n / part_tokens))
-    dealt = (dealt.repartitionByRange(parts, *names, "row") if parts > 1 else dealt.coalesce(1)).sortWithinPartitions(*names, "row")
+            keys = np.stack(keys_of(b), 1)
+            part = np.zeros(len(keys), np.int32)
+            if bounds is not None:  # how many bounds lie at or before each row, both merged in order
+                both = np.concatenate((bounds.value, keys))
+                order = np.lexsort((np.arange(len(both)), *both.T[::-1]))
+                upto = np.cumsum(order < len(bounds.value))
+                own = order >= len(bounds.value)
+                part[order[own] - len(bounds.value)] = upto[own]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part), *(pa.array(k, pa.int64()) for k in keys.T)], [*b.schema.names, "part", *names])
+
+    dealt = rows.mapInArrow(deal, "row long, doc_id long, n long, ids binary, part int, " + ", ".join(f"{k} long" for k in names))
+    dealt = (dealt.repartitionById(parts, F.col("part")) if parts > 1 else dealt.coalesce(1)).sortWithinPartitions(*names)
 
     def pack_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId() << 36)
