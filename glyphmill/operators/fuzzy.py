@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from glyphmill.functions.shared import settle
+
 # Scores, and names of files where programs start.
 MATCH, MISMATCH, OPEN, EXTEND, BOUNDARY, IN_NAME, RUN, CASE, START = (np.float32(x) for x in (16, -8, -3, -1, 8, 6, 4, 2, 6))
 ENTRY_POINTS = [
@@ -63,8 +65,8 @@ def fuzzy_score(query: str, paths: list[str]) -> np.ndarray:
     return out
 
 
-def find_files(files: DataFrame, query: str, k: int = 10, retry: bool = True) -> DataFrame:
-    """(path, score) of the ``k`` best: every part must match and scores add up; ``*.ext`` filters by suffix."""
+def find_files(files: DataFrame, query: str, k: int = 10, retry: bool = True, most: int = 50) -> DataFrame:
+    """(path, score) of the ``k`` best (1 to ``most``): every part must match and scores add up; ``*.ext`` filters by suffix."""
     parts = query.split()
     suffixes = [p[1:] for p in parts if p.startswith("*.")]
     parts = [p for p in parts if not p.startswith("*.")]
@@ -79,16 +81,33 @@ def find_files(files: DataFrame, query: str, k: int = 10, retry: bool = True) ->
     rows = files.select("path")
     if suffixes:
         rows = rows.where(F.col("path").endswith(suffixes[-1]))
-    found = rows.mapInPandas(run, "path string, score float").orderBy(F.desc("score"), "path").limit(max(1, min(k, 200)))
+    found = rows.mapInPandas(run, "path string, score float").orderBy(F.desc("score"), "path").limit(max(1, min(k, most)))
     if retry and len(query) > 3 and any(c in query for c in "_-.") and not suffixes and found.isEmpty():
-        return find_files(files, query[:256].translate(str.maketrans("", "", "_-.")), k, False)
+        return find_files(files, query[:256].translate(str.maketrans("", "", "_-.")), k, False, most)
     return found
 
 
 def combo_boost(log: DataFrame, query: str, window_ms: int = 5000, bonus: float = 5.0) -> DataFrame:
-    """(path, boost) from a log (pos, ts, ev, query, path): accesses soon after a query that is like this one."""
-    seen = F.last(F.when(F.col("ev") == "query", F.struct("query", "ts")), ignorenulls=True).over(W.orderBy("pos") if "session" not in log.columns else W.partitionBy("session").orderBy("pos"))
-    rows = log.withColumn("q", seen).where((F.col("ev") == "access") & (F.col("ts") - F.col("q.ts") <= window_ms))
+    """(path, boost) from a log (pos, ts, ev, query, path[, session]): accesses soon after a query that is like this one.
+
+    Without sessions the log is one order: rows are dealt by ranges of it, and
+    the last query before each range is carried over by the driver, one row a
+    range. No task sees more than its range.
+    """
+    last = lambda w: F.last(F.when(F.col("ev") == "query", F.struct("query", "ts")), ignorenulls=True).over(w)
+    if "session" in log.columns:
+        rows = log.withColumn("q", last(W.partitionBy("session").orderBy("pos")))
+    else:
+        rows = settle(log.repartitionByRange("pos")).withColumn("_part", F.spark_partition_id())
+        ends = {r["_part"]: r.q for r in rows.groupBy("_part").agg(F.max_by(F.struct("query", "ts"), F.when(F.col("ev") == "query", F.col("pos"))).alias("q"), F.max(F.col("ev") == "query").alias("any")).where("any").collect()}
+        carried, now = [], None
+        for p in range(rows.select(F.max("_part")).first()[0] + 1 if ends else 0):
+            carried.append((p, now.query if now else None, int(now.ts) if now else None))
+            now = ends.get(p, now)
+        before = log.sparkSession.createDataFrame(carried, "_part int, _query string, _ts long")
+        rows = rows.withColumn("q", last(W.partitionBy("_part").orderBy("pos"))).join(F.broadcast(before), "_part", "left")
+        rows = rows.withColumn("q", F.coalesce("q", F.when(F.col("_query").isNotNull(), F.struct(F.col("_query").alias("query"), F.col("_ts").cast(log.schema["ts"].dataType).alias("ts")))))
+    rows = rows.where((F.col("ev") == "access") & (F.col("ts") - F.col("q.ts") <= window_ms))
     like = F.contains(F.col("q.query"), F.lit(query)) | F.contains(F.lit(query), F.col("q.query"))
     return rows.where(like).groupBy("path").agg((F.count(F.lit(1)) * bonus).alias("boost"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from glyphmill.operators.index import sparse_candidates
 from glyphmill.functions.text import fold, fold_text, line_regex, lines, occurrences
 
 ORDER = [F.desc, F.asc, F.asc]
@@ -49,15 +50,19 @@ def prefix_lookup(hits: DataFrame, prefix: str, limit: int | None = None) -> Dat
     return found.orderBy("path", "line_num").limit(limit) if limit else found
 
 
-def query_trigrams(query: str) -> list[str]:
+def _sequence(query: str) -> list[int]:
     b = fold_text(query).encode()
-    return sorted({b[i : i + 3].hex() for i in range(len(b) - 2)} - {t for t in (b[i : i + 3].hex() for i in range(len(b) - 2)) if re.fullmatch("(20|09|0a|0d){3}", t)})
+    return [int.from_bytes(b[i : i + 3]) for i in range(len(b) - 2)]
+
+
+def query_trigrams(query: str) -> list[int]:
+    """The trigrams of a query, as numbers, without those of white space only."""
+    return sorted({t for t in _sequence(query) if t.to_bytes(3).strip(b" \t\n\r")})
 
 
 def trigram_candidates(trigrams: DataFrame, query: str) -> DataFrame:
     """Paths that hold all trigrams of ``query`` and whose masks allow each to follow the one before it."""
-    b = fold_text(query).encode()
-    seq = [b[i : i + 3].hex() for i in range(len(b) - 2)]
+    b, seq = fold_text(query).encode(), _sequence(query)
     wanted = query_trigrams(query)
     rows = trigrams.where(F.col("tri").isin(wanted))
     agg = [F.count(F.lit(1)).alias("n")]
@@ -71,7 +76,7 @@ def trigram_candidates(trigrams: DataFrame, query: str) -> DataFrame:
     return rows.groupBy("path").agg(*agg).where(tests).select("path")
 
 
-def regex_trigrams(pattern: str) -> tuple[list[str], list[list[str]]]:
+def regex_trigrams(pattern: str) -> tuple[list[int], list[list[int]]]:
     """(trigrams that all must occur, groups of which one each must) for a pattern; both may be empty.
 
     Only literal runs of three or more bytes count. With a top-level ``|``
@@ -93,7 +98,7 @@ def regex_trigrams(pattern: str) -> tuple[list[str], list[list[str]]]:
             depth += (c == "(") - (c == ")")
     branches.append(current)
 
-    def literals(p: str) -> list[str]:
+    def literals(p: str) -> list[int]:
         if "(" in p:
             p = re.sub(r"\((?:[^()\\]|\\.)*\)[*+?{]?", "\0", p)
         p = re.sub(r"\[(?:\\.|[^\]\\])*\]", "\0", p)
@@ -127,16 +132,41 @@ def indexed_search(files: DataFrame, trigrams: DataFrame, query: str, **options)
     return search(files.join(trigram_candidates(trigrams, query), "path", "left_semi"), query, **options)
 
 
-def enclosing_symbols(hits: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each hit with the tightest symbol around its line, or else the nearest one before it; of equals the later."""
-    s = symbols.select(F.col("path").alias("_path"), F.col("name").alias("scope_name"), F.col("kind").alias("scope_kind"), F.col("line_start").alias("scope_start"), F.col("line_end").alias("scope_end"), "ord")
-    j = hits.join(s, (F.col("path") == F.col("_path")) & (F.col("scope_start") <= F.col("line_num")), "left").drop("_path")
-    around = F.col("scope_end") >= F.col("line_num")
-    rank = F.row_number().over(W.partitionBy("path", "line_num").orderBy(F.desc(F.coalesce(around, F.lit(False))), F.when(around, F.col("scope_end") - F.col("scope_start")), F.desc("scope_start"), F.desc("ord")))
-    return j.withColumn("_r", rank).where("_r = 1").drop("_r", "ord")
+def indexed_regex(files: DataFrame, trigrams: DataFrame, pattern: str, limit: int | None = 50) -> DataFrame:
+    """:func:`search_regex` over the files that the trigram index doesn't rule out; the same rows."""
+    found = regex_candidates(trigrams, pattern)
+    return search_regex(files if found is None else files.join(found, "path", "left_semi"), pattern, limit)
 
 
-def search_scoped(files: DataFrame, symbols: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
+def enclosing_symbols(hits: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Each hit with the tightest symbol around its line, or else the nearest one before it; of equals the later.
+
+    A file's hits and symbols meet in its own row, symbols sorted by start, so
+    no hit is multiplied by the symbols before it.
+    """
+    s = symbols.groupBy(F.col("path").alias("_path")).agg(F.array_sort(F.collect_list(F.struct("line_start", "ord", "line_end", "name", "kind"))).alias("_s"))
+    j = hits.join(s, F.col("path") == F.col("_path"), "left").drop("_path")
+    before = F.filter("_s", lambda x: x["line_start"] <= F.col("line_num"))
+    around = F.filter(before, lambda x: x["line_end"] >= F.col("line_num"))
+    tight = F.array_max(F.transform(around, lambda x: F.struct((x["line_start"] - x["line_end"]).alias("n"), x["line_start"].alias("l"), x["ord"].alias("o"), x.alias("x"))))["x"]
+    best = F.coalesce(tight, F.try_element_at(before, F.lit(-1)))
+    out = j.withColumn("_b", best)
+    return out.select(*hits.columns, F.col("_b.name").alias("scope_name"), F.col("_b.kind").alias("scope_kind"), F.col("_b.line_start").alias("scope_start"), F.col("_b.line_end").alias("scope_end"))
+
+
+def search_scoped(files: DataFrame, symbols: DataFrame, query: str, limit: int | None = 50, trigrams: DataFrame | None = None, ngrams: DataFrame | None = None) -> DataFrame:
+    """Ranked hits with their enclosing symbols.
+
+    Candidates come from the trigram index and, if ``ngrams`` is given, from
+    the sparse one as well; where both name files, only those of both are
+    searched, and where one names none, the other decides.
+    """
+    if len(query.encode()) >= 3 and query_trigrams(query) and (trigrams is not None or ngrams is not None):
+        sides = [trigram_candidates(trigrams, query)] if trigrams is not None else []
+        sides += [sparse_candidates(ngrams, query)] if ngrams is not None else []
+        for side in sides:
+            if not side.isEmpty():
+                files = files.join(side, "path", "left_semi")
     found = enclosing_symbols(search(files, query, limit=None), symbols).orderBy(F.desc("score"), "path", "line_num")
     return found.limit(limit) if limit else found
 

@@ -1,134 +1,15 @@
-"""Outlines: symbols and imports by line rules, with comment state from windows over lines."""
+"""Queries over outlines: files, symbols, bodies and the tree of paths."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from glyphmill.functions.text import lines
+from glyphmill.functions.text import basename
+from glyphmill.operators.outline import symbols
 from glyphmill.sources.files import language
 
-I = "([A-Za-z0-9_]{1,256})"  # noqa: E741
-RS = "(?:pub(?:\\([a-z]+\\))? )?"
-# language -> rules in order, first match wins: (pattern on the trimmed line, kind, group of the name, group of the dependency).
-RULES: dict[str, list[tuple[str, str, int, int]]] = {
-    "zig": [
-        (f"^(?:pub )?fn {I}", "function", 1, 0), (f"^(?:pub )?const {I}.*struct \\{{", "struct_def", 1, 0), (f"^(?:pub )?const {I}.*enum \\{{", "enum_def", 1, 0),
-        (f"^(?:pub )?const {I}.*union(?:\\(enum\\))? \\{{", "union_def", 1, 0), (f"^(?:pub )?const {I}[^\"]*@import[^\"]*\"([^\"]*)\"", "import", 1, 2), (f"^(?:pub )?const {I}.*@import", "import", 1, 0),
-        (f"^(?:pub )?const {I}", "constant", 1, 0), ("^(test .*)$", "test_decl", 1, 0),
-    ],
-    "python": [(f"^def {I}", "function", 1, 0), (f"^class {I}", "struct_def", 1, 0), ("^((?:import|from) ([A-Za-z0-9_.]*).*)$", "import", 1, 2)],
-    "typescript": [("^(.*(?:import |require\\()[^\"']*[\"']([^\"']+)[\"'].*)$", "import", 1, 2), (f"function {I}", "function", 1, 0), (f"^(?:export )?const {I}.*function ", "function", 1, 0), (f"const {I}", "constant", 1, 0)],
-    "rust": [
-        (f"^{RS}(?:const |async |unsafe |extern \"C\" )*fn {I}", "function", 1, 0), (f"^{RS}struct {I}", "struct_def", 1, 0), (f"^{RS}enum {I}", "enum_def", 1, 0), (f"^{RS}(?:unsafe )?trait {I}", "trait_def", 1, 0),
-        (f"^(?:unsafe )?impl(?:<[^>]*>)? {I}", "impl_block", 1, 0), (f"^{RS}type {I}", "type_alias", 1, 0), (f"^{RS}(?:const|static)(?: mut)? {I}", "constant", 1, 0), (f"^macro_rules! ?{I}", "macro_def", 1, 0),
-        (f"^({RS}use .*)$", "import", 1, 1), (f"^{RS}mod {I}", "import", 1, 1),
-    ],
-    "go_lang": [(f"^func \\([^)]*\\) {I}", "function", 1, 0), (f"^func {I}", "function", 1, 0), (f"^type {I}", "struct_def", 1, 0), ("^(import (?:[A-Za-z0-9_.]+ )?\"([^\"]+)\".*)$", "import", 1, 2), (f"^const {I}", "constant", 1, 0), (f"^var {I}", "variable", 1, 0)],
-    "php": [
-        ("^(use ([A-Za-z0-9_\\\\]+).*)$", "import", 1, 2), (f"^(?:abstract |final |readonly )*class {I}", "class_def", 1, 0), (f"^interface {I}", "interface_def", 1, 0), (f"^trait {I}", "trait_def", 1, 0), (f"^enum {I}", "enum_def", 1, 0),
-        (f"^(?:public |private |protected |final )*const (?!class)(?:[A-Za-z0-9_]+ )?{I} *=", "constant", 1, 0), (f"^(?:abstract |final )*(?:public |private |protected )(?:static |abstract |final )*function {I}", "method", 1, 0), (f"^(?:static )?function {I}", "function", 1, 0),
-    ],
-    "ruby": [("^def (?:self\\.)?([A-Za-z0-9_]+[?!=]?)", "function", 1, 0), (f"^(?:class|module) {I}", "struct_def", 1, 0), ("^(require(?:_relative)? [\"']([^\"']+)[\"'].*)$", "import", 1, 2)],
-    "hcl": [
-        ("^(?:resource|data) \"[^\"]*\" \"([^\"]*)\"", "struct_def", 1, 0), ("^(?:module|provider) \"([^\"]*)\"", "import", 1, 0), ("^variable \"([^\"]*)\"", "variable", 1, 0), ("^output \"([^\"]*)\"", "constant", 1, 0), ("^(locals|terraform) ?\\{", "struct_def", 1, 0),
-    ],
-    "r": [("^((?:library|require)\\([\"']?([A-Za-z0-9_.]+).*)$", "import", 1, 2), ("^set(?:Ref)?Class\\([\"']([^\"']+)", "class_def", 1, 0), (".*setRefClass\\([\"']([^\"']+)", "class_def", 1, 0), ("^([A-Za-z0-9_.]+) *(?:<-|=) *function\\(", "function", 1, 0)],
-    "dart": [
-        ("^((?:import|export|part) (?!of)[\"']([^\"']+)[\"'].*)$", "import", 1, 2), (f"^typedef {I}", "type_alias", 1, 0), (f"^(?:abstract |base |final |sealed |interface )*class {I}", "class_def", 1, 0), (f"^(?:base )?mixin (?:class )?{I}", "trait_def", 1, 0),
-        (f"^extension (?!on ){I}", "impl_block", 1, 0), (f"^enum {I}", "enum_def", 1, 0), (f"^(?:static )?(?:const|final) (?:[A-Za-z0-9_<>?]+ )?{I} *=", "constant", 1, 0), (f"^(?:@override )?(?:static )?(?:Future<[^>]*>|[A-Za-z0-9_<>?]+) {I}\\([^;=]*\\)[^;]*(?:\\{{|=>)", "function", 1, 0),
-    ],
-}
-RULES["javascript"] = RULES["typescript"]
-SLASH_STAR = ("typescript", "javascript", "go_lang", "c", "cpp", "rust", "zig", "hcl", "dart", "php")
-
-
-def visible_lines(files: DataFrame) -> DataFrame:
-    """Lines outside block comments and docstrings, with ``trimmed`` text and ``language``.
-
-    A window over a file's lines carries the state: the last mark before a
-    line tells whether it lies inside. Files are the partitions.
-    """
-    x = lines(files).withColumn("language", language(F.col("path"))).withColumn("trimmed", F.regexp_replace("line_text", "^[ \\t]+|[ \\t]+$", ""))
-    before = W.partitionBy("path").orderBy("line_num").rowsBetween(W.unboundedPreceding, -1)
-    opens, closes = F.length(F.regexp_extract("trimmed", "^(.*)/\\*", 1)), F.length(F.regexp_extract("trimmed", "^(.*)\\*/", 1))
-    mark = F.when(F.col("trimmed").contains("/*") & (~F.col("trimmed").contains("*/") | (opens > closes)), 1).when(F.col("trimmed").contains("*/"), 0)
-    quotes = F.size(F.regexp_extract_all("trimmed", F.lit("\"\"\"|'''"), F.lit(0)))
-    ruby = F.when(F.col("trimmed").startswith("=begin"), 1).when(F.col("trimmed").startswith("=end"), 0)
-    inside = (
-        F.when(F.col("language").isin(*SLASH_STAR), F.coalesce(F.last(mark, True).over(before), F.lit(0)) == 1)
-        .when(F.col("language") == "python", F.coalesce(F.sum(quotes).over(before), F.lit(0)) % 2 == 1)
-        .when(F.col("language") == "ruby", F.coalesce(F.last(ruby, True).over(before), F.lit(0)) == 1)
-        .otherwise(F.lit(False))
-    )
-    x = x.withColumn("_inside", inside)
-    # Code after the end of a comment on its last line counts.
-    rest = F.when(F.col("_inside") & F.col("language").isin(*SLASH_STAR) & F.col("trimmed").contains("*/"), F.trim(F.substring_index("trimmed", "*/", -1)))
-    return x.withColumn("trimmed", F.when(F.col("_inside"), rest).otherwise(F.col("trimmed"))).where("trimmed is not null").drop("_inside")
-
-
-def symbols(files: DataFrame) -> DataFrame:
-    """(path, ord, name, kind, line_start, line_end, detail, dep) of every symbol and import.
-
-    Definitions end with the brace, indentation or ``end`` that closes them;
-    imports, constants, variables, aliases and macros end on their line.
-    """
-    seen = visible_lines(files)
-    hit: Column | None = None
-    for name, rules in RULES.items():
-        for pattern, kind, g, d in rules:
-            value = F.struct(F.regexp_extract("trimmed", pattern, g).alias("name"), F.lit(kind).alias("kind"), (F.regexp_extract("trimmed", pattern, d) if d else F.lit(None).cast("string")).alias("dep"))
-            test = (F.col("language") == name) & F.col("trimmed").rlike(pattern)
-            hit = F.when(test, value) if hit is None else hit.when(test, value)
-    rows = seen.withColumn("s", hit).where("s is not null").select("path", "language", F.col("line_num").alias("line_start"), "s.name", "s.kind", "s.dep", F.when(F.col("s.kind") != "test_decl", F.col("trimmed")).alias("detail"))
-    prev = F.lag("trimmed").over(W.partitionBy("path").orderBy("line_num"))
-    tests = seen.where("language = 'rust'").select("path", F.col("line_num").alias("line_start"), prev.alias("_prev"))
-    rows = rows.join(tests, ["path", "line_start"], "left")
-    rows = rows.withColumn("kind", F.when((F.col("kind") == "function") & F.col("_prev").rlike("^#\\[(test\\]|tokio::test)"), "test_decl").otherwise(F.col("kind"))).drop("_prev")
-    rows = rows.withColumn("ord", F.row_number().over(W.partitionBy("path").orderBy("line_start")) - 1)
-    return rows.join(_ends(files, rows), ["path", "line_start"], "left").select("path", "ord", "name", "kind", "line_start", F.coalesce("_end", "line_start").alias("line_end"), "detail", module_path(F.col("dep"), F.col("language")).alias("dep"))
-
-
-def module_path(dep: Column, lang: Column) -> Column:
-    """Import names as paths: dots of Python modules and backslashes of PHP namespaces become slashes; relative modules give none."""
-    php = F.concat(F.lower(F.substring_index(dep, "\\", 1)), F.substring(F.replace(dep, F.lit("\\"), F.lit("/")), F.length(F.substring_index(dep, "\\", 1)) + 1, F.lit(1 << 20)), F.lit(".php"))
-    python = F.when(~dep.startswith(".") & (dep != ""), F.concat(F.replace(dep, F.lit("."), F.lit("/")), F.lit(".py")))
-    return F.when(lang == "python", python).when(lang == "php", php).otherwise(dep)
-
-
-def _ends(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """(path, line_start, _end) of symbols with a body, from the lines after each within its file."""
-    body = rows.where(~F.col("kind").isin("import", "variable", "constant", "type_alias", "macro_def")).select("path", "line_start", "language")
-    text = files.select("path", F.split("content", "\n").alias("l"))
-    j = body.join(text, "path")
-    indent = lambda x: F.length(F.replace(F.regexp_extract(x, "^[ \\t]*", 0), F.lit("\t"), F.lit("    ")))
-    after = F.slice("l", F.col("line_start") + 1, F.size("l"))
-    own = indent(F.element_at("l", F.col("line_start")))
-    # Python: the last line before one that is indented no deeper, blank and comment lines aside.
-    python = F.aggregate(
-        after, F.struct(F.lit(0).alias("i"), F.lit(0).alias("last"), F.lit(False).alias("done")),
-        lambda a, x: F.struct((a["i"] + 1).alias("i"), F.when(~a["done"] & ~x.rlike("^[ \\t]*(#.*)?$") & (indent(x) > own), a["i"] + 1).otherwise(a["last"]).alias("last"), (a["done"] | (~x.rlike("^[ \\t]*(#.*)?$") & (indent(x) <= own))).alias("done")),
-        lambda a: a["last"],
-    )
-    ruby = F.aggregate(
-        after, F.struct(F.lit(0).alias("i"), F.lit(0).alias("last"), F.lit(False).alias("done")),
-        lambda a, x: F.struct((a["i"] + 1).alias("i"), F.when(~a["done"] & (F.trim(x) == "end") & (indent(x) <= own), a["i"] + 1).otherwise(a["last"]).alias("last"), (a["done"] | ((F.trim(x) == "end") & (indent(x) <= own))).alias("done")),
-        lambda a: a["last"],
-    )
-    # Braces outside strings and line comments; the depth returns to zero on the last line of the body.
-    bare = lambda x: F.regexp_replace(x, "\"(\\\\.|[^\"\\\\])*\"|'(\\\\.|[^'\\\\])*'|//.*$", "")
-    count = lambda x, c: F.length(bare(x)) - F.length(F.replace(bare(x), F.lit(c), F.lit("")))
-    brace = F.aggregate(
-        F.slice("l", F.col("line_start"), F.size("l")), F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit(-1).alias("end")),
-        lambda a, x: F.struct(
-            (a["i"] + 1).alias("i"), (a["depth"] + count(x, "{") - count(x, "}")).alias("depth"), (a["open"] | (count(x, "{") > 0)).alias("open"),
-            F.when(a["end"] >= 0, a["end"]).when((a["open"] | (count(x, "{") > 0)) & (a["depth"] + count(x, "{") - count(x, "}") <= 0), a["i"]).when(~a["open"] & (count(x, "{") == 0) & (a["i"] >= 10), F.lit(0)).otherwise(F.lit(-1)).alias("end"),
-        ),
-        lambda a: F.when(a["end"] >= 0, a["end"]).when(a["open"], F.size("l") - F.col("line_start")).otherwise(F.lit(0)),
-    )
-    end = F.when(F.col("language") == "python", python).when(F.col("language") == "ruby", ruby).otherwise(brace)
-    return j.select("path", "line_start", (F.col("line_start") + end).alias("_end"))
+__all__ = ["find_symbol", "outlines", "symbol_bodies", "symbols", "tree", "tree_leaves"]
 
 
 def outlines(files: DataFrame, s: DataFrame) -> DataFrame:
@@ -137,6 +18,13 @@ def outlines(files: DataFrame, s: DataFrame) -> DataFrame:
     return files.select("path", language(F.col("path")).alias("language"), F.size(F.split("content", "\n")).alias("line_count"), F.octet_length("content").cast("long").alias("byte_size")).join(n, "path", "left").withColumn("n_symbols", F.coalesce("n_symbols", F.lit(0)))
 
 
+def outline_of(files: DataFrame, s: DataFrame, path: str, compact: bool = False) -> DataFrame:
+    """One file's symbols in order, with its language and line count; ``compact`` leaves details out."""
+    one = outlines(files.where(F.col("path") == path), s.where(F.col("path") == path)).select("path", "language", "line_count")
+    rows = s.where(F.col("path") == path).select("path", "ord", "name", "kind", "line_start", "line_end", F.lit(None).cast("string").alias("detail") if compact else F.col("detail"))
+    return one.join(rows, "path").orderBy("ord")
+
+
 def find_symbol(s: DataFrame, name: str, every: bool = True) -> DataFrame:
     found = s.where(F.col("name") == name)
     return found.orderBy("path", "ord") if every else found.orderBy(F.col("kind") == "import", "path", "ord").limit(1)
@@ -153,3 +41,12 @@ def tree(paths: DataFrame) -> DataFrame:
     dirs = paths.where(F.contains("path", F.lit("/"))).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path")).where("path <> ''")
     own = paths.select("path").distinct().withColumn("is_dir", F.lit(False))
     return dirs.distinct().withColumn("is_dir", F.lit(True)).unionByName(own).select("path", (F.size(F.split("path", "/")) - 1).alias("depth"), "is_dir")
+
+
+def tree_leaves(files: DataFrame, s: DataFrame) -> DataFrame:
+    """:func:`tree` with, for files, the language, lines and number of symbols, and a line of text with two spaces a level."""
+    facts = outlines(files, s).select(F.col("path").alias("_p"), "language", "line_count", "n_symbols")
+    rows = tree(files.select("path")).join(facts, (F.col("path") == F.col("_p")) & ~F.col("is_dir"), "left").drop("_p")
+    leaf = F.concat_ws("  ", basename(F.col("path")), "language", F.concat(F.col("line_count").cast("string"), F.lit("L")), F.concat(F.col("n_symbols").cast("string"), F.lit(" sym")))
+    text = F.concat(F.expr("repeat('  ', depth)"), F.when(F.col("is_dir"), F.concat(basename(F.col("path")), F.lit("/"))).otherwise(leaf))
+    return rows.withColumn("text", text)

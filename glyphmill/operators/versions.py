@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from glyphmill.functions.shared import numbered
+
 KEPT = 100
 
 
@@ -49,25 +54,77 @@ def listing_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("path", change.alias("change")).where("change is not null")
 
 
+def append_versions(log: DataFrame, changes: DataFrame, keep: int | None = KEPT) -> DataFrame:
+    """The log (path, seq, agent, ts, op, hash, size) with ``changes`` (the same without seq, but with ``pos``, their order) appended.
+
+    Sequence numbers go on from the last one; a tombstone has hash and size 0.
+    Only the last ``keep`` versions of a path stay (None: all).
+    """
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long")).first()[0]
+    gone = F.col("op") == "tombstone"
+    new = numbered(changes, ["pos"], "seq", int(last) + 1).drop("pos")
+    new = new.withColumn("hash", F.when(gone, 0).otherwise(F.col("hash")).cast("long")).withColumn("size", F.when(gone, 0).otherwise(F.col("size")).cast("long"))
+    out = log.unionByName(new.select(*[F.col(c).cast(log.schema[c].dataType).alias(c) for c in log.columns]))
+    return out if keep is None else history(out, keep)
+
+
+def current_seq(log: DataFrame) -> DataFrame:
+    return log.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("seq"))
+
+
+def listed_files(log: DataFrame) -> DataFrame:
+    return log.select("path").distinct()
+
+
+def register(agents: DataFrame, names: list[str], now: int) -> DataFrame:
+    """``agents`` (id, name, state, cursor, last_seen, edit_count) with new ones, whose ids go on from the last."""
+    last = agents.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return agents.unionByName(agents.sparkSession.createDataFrame([(last + 1 + i, n, "active", 0, now, 0) for i, n in enumerate(names)], agents.schema))
+
+
+def heartbeat(agents: DataFrame, ids: list[int], now) -> DataFrame:
+    """Agents that were heard of are active again."""
+    hit = F.col("id").isin(ids)
+    return agents.withColumn("last_seen", F.when(hit, F.lit(now)).otherwise(F.col("last_seen"))).withColumn("state", F.when(hit, "active").otherwise(F.col("state")))
+
+
 def reap_stale(agents: DataFrame, now: Column, timeout) -> DataFrame:
-    """Active agents that were last seen before ``now - timeout`` are crashed and hold no locks."""
+    """Active agents that were last seen before ``now - timeout`` are crashed."""
     return agents.withColumn("state", F.when((F.col("state") == "active") & (now - F.col("last_seen") > timeout), "crashed").otherwise(F.col("state")))
 
 
+def held_locks(locks: DataFrame, agents: DataFrame) -> DataFrame:
+    """``locks`` (agent_id, path, expiry) without those of agents that are crashed or gone."""
+    return locks.join(agents.where(F.col("state").isin("crashed", "gone")).select(F.col("id").alias("agent_id")), "agent_id", "left_anti").select(*locks.columns)
+
+
+def release_lock(locks: DataFrame, agent_id: int, path: str) -> DataFrame:
+    """``locks`` without that of one agent on one path; another's lock stays."""
+    return locks.where(~((F.col("agent_id") == agent_id) & (F.col("path") == path)))
+
+
 def grant_locks(requests: DataFrame) -> DataFrame:
-    """(pos, agent_id, path, ts, ttl) in order of pos: granted if nobody else holds an unexpired lock.
+    """(pos, path, granted) of requests (pos, agent_id, path, ts, ttl), in order of pos: granted if nobody else holds an unexpired lock.
 
-    A lock's holder and end follow from the grant before, so each path is a
-    small sequential fold over its own requests.
+    A lock's holder and end follow from the grant before, so the requests of
+    one path are read in order; they stream through their task, which keeps
+    one holder a path and gathers nothing.
     """
-    step = (
-        "aggregate(r, named_struct('h', cast(null as bigint), 'e', cast(null as bigint), 'o', cast(array() as array<struct<pos:bigint,granted:boolean>>)), "
-        "(a, x) -> if(a.h is null or a.h = x.agent_id or a.e <= x.ts, "
-        "named_struct('h', x.agent_id, 'e', x.ts + x.ttl, 'o', concat(a.o, array(named_struct('pos', x.pos, 'granted', true)))), "
-        "named_struct('h', a.h, 'e', a.e, 'o', concat(a.o, array(named_struct('pos', x.pos, 'granted', false))))), a -> a.o)"
-    )
-    rows = requests.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("pos", "agent_id", "ts", "ttl")]))).alias("r"))
-    return rows.select("path", F.explode(F.expr(step)).alias("x")).select("path", "x.pos", "x.granted")
+    rows = requests.select("path", *[F.col(c).cast("long").alias(c) for c in ("pos", "agent_id", "ts", "ttl")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, holder, end = None, None, 0
+        for b in batches:
+            granted = []
+            for path, agent, ts, ttl in zip(b.path, b.agent_id, b.ts, b.ttl, strict=True):
+                if path != now:
+                    now, holder = path, None
+                granted.append(holder is None or holder == agent or end <= ts)
+                if granted[-1]:
+                    holder, end = agent, ts + ttl
+            yield b.assign(granted=granted)[["path", "pos", "granted"]]
+
+    return rows.repartition("path").sortWithinPartitions("path", "pos").mapInPandas(run, "path string, pos long, granted boolean")
 
 
 def apply_edit(content: Column, op: str, start: int, end: int, new: str = "") -> Column:

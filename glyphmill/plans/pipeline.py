@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from glyphmill.functions.shared import numbered
 from glyphmill.functions.text import glob_to_regex, lines
-from glyphmill.operators import fuzzy, graph, search, symbols
+from glyphmill.operators import fuzzy, graph, outline, search, symbols
 
 MOST_STEPS = 10
 
@@ -22,7 +22,8 @@ class Corpus:
 
 
 def _ranked(df: DataFrame, *order) -> DataFrame:
-    return df.withColumn("pos", F.row_number().over(W.orderBy(*order))).select("path", "pos")
+    """Numbers the rows by ranges of the order: no task holds them all."""
+    return numbered(df, list(order)).select("path", "pos")
 
 
 def run(corpus: Corpus, steps: list[dict]) -> DataFrame:
@@ -39,7 +40,7 @@ def run(corpus: Corpus, steps: list[dict]) -> DataFrame:
     for s in steps:
         op = s["op"]
         if op == "find":
-            got = _ranked(fuzzy.find_files(corpus.files, s["query"], min(s.get("limit", 50), 200)), F.desc("score"), "path")
+            got = _ranked(fuzzy.find_files(corpus.files, s["query"], min(s.get("limit", 50), 200), most=200), F.desc("score"), "path")
             now = got if now is None else now.join(got.select("path"), "path", "left_semi")
         elif op == "search":
             shown = search.search(corpus.files, s["query"], min(s.get("limit", 50), 200))
@@ -47,8 +48,8 @@ def run(corpus: Corpus, steps: list[dict]) -> DataFrame:
             now = got if now is None else now.join(got.select("path"), "path", "left_semi")
         elif op == "deps":
             base = now if now is not None else everything()
-            e = graph.edges(corpus.imports)
-            step = e.join(base, e.dep == base.path, "left_semi").select(F.col("path")) if s.get("direction", "imported_by") == "imported_by" else e.join(base, "path", "left_semi").select(F.col("dep").alias("path"))
+            e, reverse = graph.edges(corpus.imports if corpus.imports is not None else outline.imports(corpus.files)), s.get("direction", "imported_by") == "imported_by"
+            step = graph.transitive_of(e, base, reverse, (max(1, s["max_depth"]) if "max_depth" in s else None) if s.get("transitive") else 1)
             last = base.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("m"))
             more = _ranked(step.distinct().join(base, "path", "left_anti"), "path").crossJoin(F.broadcast(last)).select("path", (F.col("pos") + F.col("m")).alias("pos"))
             now = base.unionByName(more)
@@ -61,7 +62,7 @@ def run(corpus: Corpus, steps: list[dict]) -> DataFrame:
         elif op == "limit":
             now = (now if now is not None else everything()).orderBy("pos", "path").limit(max(1, min(s.get("n", 10), 100)))
         elif op == "outline":
-            shown = (corpus.symbols or symbols.symbols(corpus.files)).join(now, "path", "left_semi")
+            shown = (corpus.symbols if corpus.symbols is not None else symbols.symbols(corpus.files)).join(now, "path", "left_semi")
         elif op == "read":
             shown = lines(corpus.files.join(now, "path", "left_semi")).where(F.col("line_num") <= max(1, min(s.get("lines", 50), 200)))
         else:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
-from glyphmill.operators import fuzzy, graph, index, search, symbols, telemetry, versions
+from glyphmill.operators import fuzzy, graph, index, outline, read, search, status, symbols, telemetry, versions
 from glyphmill.plans import pipeline
 from glyphmill.sources import files as S
+from glyphmill.sources import logs, snapshot
+from glyphmill.streaming import changes
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -126,7 +128,8 @@ tri AS (SELECT tri, path, CAST(bit_or(n) AS INTEGER) AS next_mask, CAST(bit_or(l
 
 @query(f"WITH {FILES}, {TRI} SELECT tri, count(*) AS paths, CAST(sum(next_mask) AS BIGINT) AS next_sum, CAST(sum(loc_mask) AS BIGINT) AS loc_sum FROM tri GROUP BY tri")
 def trigram_masks(spark, d):
-    return index.trigrams(_files(spark, d)).groupBy("tri").agg(F.count(F.lit(1)).alias("paths"), F.sum("next_mask").alias("next_sum"), F.sum("loc_mask").alias("loc_sum"))
+    sums = index.trigrams(_files(spark, d)).groupBy("tri").agg(F.count(F.lit(1)).alias("paths"), F.sum("next_mask").alias("next_sum"), F.sum("loc_mask").alias("loc_sum"))
+    return sums.withColumn("tri", index.trigram_text(F.col("tri")))
 
 
 @query(f"WITH {FILES} SELECT path FROM files WHERE contains(translate(content, {ASCII}), 'ver') AND contains(translate(content, {ASCII}), 'ers') AND contains(translate(content, {ASCII}), 'vers')")
@@ -151,16 +154,26 @@ def bigram_freq(spark, d):
     return index.pair_frequency(_files(spark, d))
 
 
-@query()
+SPANS = f"""b AS (SELECT path, lower(hex(encode(content))) AS h, lower(hex(encode(translate(content, {ASCII})))) AS l, CAST(strlen(content) AS INTEGER) AS n FROM files WHERE strlen(content) >= 2),
+g AS (SELECT path, n, l, i, substr(h, i * 2 + 1, 4) AS p FROM (SELECT *, unnest(generate_series(0, n - 2)) AS i FROM b)),
+c AS (SELECT p, 65024 - (count(*) * 60928) // max(count(*)) OVER () AS w FROM g GROUP BY p),
+o AS (SELECT path, n, l, CAST(i AS INTEGER) AS i, w, lag(w) OVER (PARTITION BY path ORDER BY i) AS before, lead(w) OVER (PARTITION BY path ORDER BY i) AS after FROM g JOIN c USING (p)),
+e AS (SELECT path, l, i AS x, lead(i) OVER (PARTITION BY path ORDER BY i) + 2 AS y FROM o WHERE i = 0 OR i = n - 2 OR (w > before AND w > after)),
+k AS (SELECT path, l, x, y, unnest(generate_series(0, greatest(0, (y - x - 16 + 13) // 14))) AS k FROM e WHERE y IS NOT NULL),
+sp AS (SELECT path, l, CAST(x + 14 * k AS INTEGER) AS pos, CAST(CASE WHEN y - x - 14 * k <= 16 THEN y - x - 14 * k ELSE 16 END AS INTEGER) AS len FROM k),
+spans AS (SELECT substr(l, pos * 2 + 1, len * 2) AS ngram, path, pos, len FROM sp WHERE len >= 3)"""
+
+
+@query(f"WITH {FILES}, {SPANS} SELECT * FROM spans")
 def sparse_ngrams(spark, d):
     files = _files(spark, d)
     weights = {(r.a, r.b): r.weight for r in index.pair_frequency(files).collect()}  # at most 65,536 pairs
     return index.sparse_ngrams(files, weights)
 
 
-@query(f"WITH {EDGES} SELECT path, dep FROM edges")
+@query(f"WITH {EDGES} SELECT path, dep FROM edges WHERE NOT contains(dep, '..')")
 def edges(spark, d):
-    return _edges(spark, d).select("path", "dep")
+    return graph.edges(_edges(spark, d)).select("path", "dep")
 
 
 @query(f"WITH {EDGES}, m AS (SELECT min(dep) AS x FROM edges) SELECT DISTINCT path FROM edges, m WHERE dep = x OR dep = regexp_extract(x, '[^/]*$')")
@@ -240,7 +253,10 @@ def lock_reaper(spark, d):
     return versions.reap_stale(a, F.lit(now), F.expr("interval 1 day")).select("id", "state")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT event_type AS path, event_id AS pos, user_id AS agent, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+g AS (SELECT path, n, pos, true AS granted, agent AS h, t + 600 AS e FROM r WHERE n = 1
+  UNION ALL SELECT r.path, r.n, r.pos, g.h = r.agent OR g.e <= r.t, CASE WHEN g.h = r.agent OR g.e <= r.t THEN r.agent ELSE g.h END, CASE WHEN g.h = r.agent OR g.e <= r.t THEN r.t + 600 ELSE g.e END FROM g JOIN r ON r.path = g.path AND r.n = g.n + 1)
+SELECT path, pos, granted FROM g""")
 def lock_grants(spark, d):
     e = _t(spark, d, "events")
     return versions.grant_locks(e.select(F.col("event_id").alias("pos"), F.col("user_id").alias("agent_id"), F.col("event_type").alias("path"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.lit(600).alias("ttl")))
@@ -256,7 +272,7 @@ def combo_boost(spark, d):
 
 @query()
 def fuzzy_find(spark, d):
-    return fuzzy.find_files(_t(spark, d, "pages").select(F.col("url").alias("path")), "blog example fr", 50)
+    return fuzzy.find_files(_t(spark, d, "pages").select(F.col("url").alias("path")), "blog example fr", 50, most=50)
 
 
 @query("""WITH p AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), x AS (SELECT path, string_split(path, '/') AS s FROM p),
@@ -276,12 +292,33 @@ def language_stats(spark, d):
     return _t(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("file_count"), F.sum(F.size(F.split("text", "\n"))).alias("total_lines"))
 
 
-@query(f"WITH {LINES} SELECT path, line_num FROM lines WHERE trim(line_text, ' ' || chr(9)) <> ''")
+SUFFIXES = [".py", ".go", ".tf", ".ts", ".php", ".md"]
+MIXED = "WITH f AS (SELECT p_partkey || (['.py', '.go', '.tf', '.ts', '.php', '.md'])[p_partkey % 6 + 1] AS path, p_partkey % 6 AS k, ['x = ' || p_size, '# ' || p_name, '  // ' || p_name, '/* ' || p_name, ' * ' || p_size, '', chr(9), 'y'] AS l FROM part), l AS (SELECT path, k, CAST(unnest(generate_series(1, 8)) AS INTEGER) AS line_num, unnest(l) AS t FROM f)"
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Files of six languages, each with comments of all kinds and blank lines."""
+    k, p = F.col("p_partkey"), _t(spark, d, "part")
+    path = F.concat(k.cast("string"), F.element_at(F.array(*[F.lit(x) for x in SUFFIXES]), (k % 6 + 1).cast("int")))
+    return p.select(path.alias("path"), F.concat_ws("\n", F.concat(F.lit("x = "), "p_size"), F.concat(F.lit("# "), "p_name"), F.concat(F.lit("  // "), "p_name"), F.concat(F.lit("/* "), "p_name"), F.concat(F.lit(" * "), "p_size"), F.lit(""), F.lit("\t"), F.lit("y")).alias("content"))
+
+
+@query(MIXED + " SELECT path, line_num FROM l WHERE trim(t, ' ' || chr(9)) <> '' AND NOT (line_num = 2 AND k IN (0, 2)) AND NOT (line_num = 3 AND k IN (1, 2, 3)) AND NOT (line_num IN (4, 5) AND k IN (2, 3))")
 def compact_filter(spark, d):
-    x = T.lines(_files(spark, d))
+    x = T.lines(_mixed(spark, d))
     return x.where(~search.comment_or_blank(F.col("line_text"), S.language(F.col("path")))).select("path", "line_num")
 
 
+@query(MIXED + " SELECT path, line_num, t AS line_text FROM l WHERE line_num BETWEEN 2 AND 5 AND NOT (line_num = 2 AND k IN (0, 2)) AND NOT (line_num = 3 AND k IN (1, 2, 3)) AND NOT (line_num IN (4, 5) AND k IN (2, 3))")
+def read_compact_range(spark, d):
+    return read.read_lines(_mixed(spark, d), 2, 5, compact=True)
+
+
+@query("SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) >= 3 THEN string_split(text, chr(10))[3] END AS line FROM documents")
+def line_by_number(spark, d):
+    return _t(spark, d, "documents").select("doc_id", read.line_at(F.col("text"), 3).alias("line"))
+
+
 @query("SELECT url FROM pages WHERE regexp_matches(url, '^https://.*/fr/[^/]*$')")
 def glob_filter(spark, d):
     return _t(spark, d, "pages").where(F.col("url").rlike(T.glob_to_regex("https://**/fr/*"))).select("url")
@@ -329,58 +366,222 @@ def telemetry_normalise(spark, d):
     return telemetry.normalise(raw).select(F.col("file_count").cast("long").alias("event_id"), "timestamp_ms", "event_type", "latency_ns")
 
 
-PATHS = ["src/a.py", ".env.local", "node_modules/x/y.js", "a/.env/b.txt", "logo.png", "keys/server.key", ".ssh/known_hosts", "main.zig", "package.json", "config/secrets.yml", "Cargo.lock", "build/out.txt", "gen/tmp.log", "docs/readme.md", "gen/keep.txt"]
+FOLDERS = ["", "src/", "node_modules/x/", ".ssh/", "build/", "docs/", "gen/", "a/.aws/"]
+NAMES = ["main.zig", ".env.local", "logo.png", "server.key", "Cargo.lock", "tmp.log", "secrets.yml", "id_rsa", "readme.md", "x.envrc", ".npmrc"]
+PATHS = "WITH p AS (SELECT ([" + ", ".join(f"'{x}'" for x in FOLDERS) + "])[p_partkey % 8 + 1] || CASE WHEN p_partkey % 3 = 0 THEN 'k' || p_partkey || '/' ELSE '' END || ([" + ", ".join(f"'{x}'" for x in NAMES) + "])[p_partkey % 11 + 1] AS path, p_partkey % 8 AS f, p_partkey % 11 AS n FROM part)"
 
 
-def _paths(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[F.lit(p) for p in PATHS])).alias("path"))
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of many folders and names, made from the parts' keys."""
+    k = F.col("p_partkey")
+    of = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (k % len(names) + 1).cast("int"))
+    return _t(spark, d, "part").select(F.concat(of(FOLDERS), F.when(k % 3 == 0, F.concat(F.lit("k"), k.cast("string"), F.lit("/"))).otherwise(""), of(NAMES)).alias("path"))
 
 
-@query("SELECT path, path IN ('.env.local', 'keys/server.key', '.ssh/known_hosts', 'config/secrets.yml') AS sensitive FROM (VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") t(path)")
+@query(PATHS + " SELECT path, f IN (3, 7) OR n IN (1, 3, 6, 7, 10) AS sensitive FROM p")
 def sensitive_paths(spark, d):
-    return _paths(spark).select("path", S.is_sensitive(F.col("path")).alias("sensitive"))
+    return _paths(spark, d).select("path", S.is_sensitive(F.col("path")).alias("sensitive"))
 
 
-@query("SELECT path FROM (VALUES ('src/a.py'), ('main.zig'), ('package.json'), ('gen/keep.txt')) t(path)")
+@query(PATHS + " SELECT path FROM p WHERE f NOT IN (2, 4, 5, 3, 7) AND n NOT IN (1, 2, 3, 4, 5, 6, 7, 10)")
 def ignore_rules(spark, d):
     p = F.col("path")
     rules = S.parse_ignore("# rules\n/docs\n*.log\n\n!gen\n", negation=False)
-    return _paths(spark).where(~S.in_skipped_dir(p) & ~S.has_skipped_suffix(p) & ~S.is_sensitive(p) & ~S.ignored(p, rules))
-
-
-def _code(spark, d, suffix: str, parts: list) -> DataFrame:
-    line = F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
-    return _t(spark, d, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(suffix)).alias("path"), line.alias("content"))
+    return _paths(spark, d).where(~S.in_skipped_dir(p) & ~S.has_skipped_suffix(p) & ~S.is_sensitive(p) & ~S.ignored(p, rules))
 
 
 NAME = "replace(p_name, ' ', '_')"
-_OUTLINES = {
-    "python": (".py", "def {}():\n    return 1\n", "function", 2), "zig": (".zig", "pub fn {}() void {{\n}}\n", "function", 2), "rust": (".rs", "pub struct {} {{\n    x: u8,\n}}\n", "struct_def", 3), "go": (".go", "func (r *T) {}() {{\n}}\n", "function", 2),
-    "typescript": (".ts", "export function {}() {{\n  return 1;\n}}\n", "function", 3), "ruby": (".rb", "def self.{}\nend\n", "function", 2), "hcl": (".tf", 'resource "aws" "{}" {{\n}}\n', "struct_def", 2), "r": (".r", "{} <- function(x) {{\n}}\n", "function", 2),
-    "php": (".php", "class {} {{\n}}\n", "class_def", 2), "dart": (".dart", "abstract class {} {{\n}}\n", "class_def", 2),
+#: language -> (suffix, a file in which {N} is the part's name, its symbols as (name, kind, first line, last line, dependencies)).
+OUTLINES = {
+    "python": (".py", "import os.path\nfrom pkg.{N} import x\n\ndef {N}(\n    a,\n    b):\n    \"\"\"doc\n    def fake():\n    \"\"\"\n    return a\n\nclass {N}_c:\n    def run(self):\n        # def none\n        pass\n",
+        [("import os.path", "import", 1, 1, ["os/path.py"]), ("from pkg.{N} import x", "import", 2, 2, ["pkg/{N}.py"]), ("{N}", "function", 4, 10, []), ("{N}_c", "struct_def", 12, 15, []), ("run", "function", 13, 15, [])]),
+    "rust": (".rs", "use std::fmt;\n/* fn hidden() {\n} */\npub struct {N} {\n    x: u8,\n}\nimpl {N} {\n    pub fn run(&self) -> u8 {\n        let s = \"}\";\n        1\n    }\n}\n#[test]\nfn t() {\n}\nmod inner;\n",
+        [("use std::fmt;", "import", 1, 1, ["use std::fmt;"]), ("{N}", "struct_def", 4, 6, []), ("{N}", "impl_block", 7, 12, []), ("run", "function", 8, 11, []), ("t", "test_decl", 14, 15, []), ("inner", "import", 16, 16, ["inner"])]),
+    "go": (".go", "package main\nimport (\n\t\"fmt\"\n\tlog \"os\"\n)\ntype {N} struct {\n\tx int\n}\nfunc (r *{N}) Run() {\n\tfmt.Println(\"{\")\n}\n// func no() {}\nconst k = 1\nvar v = 2\n",
+        [("\"fmt\"", "import", 3, 3, ["fmt"]), ("log \"os\"", "import", 4, 4, ["os"]), ("{N}", "struct_def", 6, 8, []), ("Run", "function", 9, 11, []), ("k", "constant", 13, 13, []), ("v", "variable", 14, 14, [])]),
+    "typescript": (".ts", "import {a} from './{N}';\nexport function {N}() {\n  if (a) { return '}'; }\n}\nconst k = require(\"x\");\n",
+        [("import {a} from './{N}';", "import", 1, 1, ["./{N}"]), ("{N}", "function", 2, 4, []), ("k", "constant", 5, 5, []), ("const k = require(\"x\");", "import", 5, 5, ["x"])]),
+    "zig": (".zig", "const std = @import(\"std\");\npub const {N} = struct {\n    x: u8,\n    pub fn run() void {\n    }\n};\nconst k = 4;\ntest \"a\" {\n}\n",
+        [("std", "import", 1, 1, ["std"]), ("{N}", "struct_def", 2, 6, []), ("run", "function", 4, 5, []), ("k", "constant", 7, 7, []), ("test \"a\" {", "test_decl", 8, 9, [])]),
+    "ruby": (".rb", "require 'set'\n=begin\ndef no\n=end\nclass {N}\n  def self.run?\n    1\n  end\nend\n",
+        [("require 'set'", "import", 1, 1, ["set"]), ("{N}", "struct_def", 5, 9, []), ("run?", "function", 6, 8, [])]),
+    "hcl": (".tf", "resource \"aws\" \"{N}\" {\n  x = \"}\"\n}\nvariable \"v\" {\n}\nmodule \"m\" {\n}\noutput \"o\" {\n}\n",
+        [("{N}", "struct_def", 1, 3, []), ("v", "variable", 4, 4, []), ("m", "import", 6, 6, []), ("o", "constant", 8, 8, [])]),
+    "r": (".r", "library(dplyr)\n{N} <- function(x) {\n  x\n}\nsetClass(\"{N}_c\", representation(a = \"numeric\"))\n",
+        [("library(dplyr)", "import", 1, 1, ["dplyr"]), ("{N}", "function", 2, 4, []), ("{N}_c", "class_def", 5, 5, [])]),
+    "php": (".php", "<?php\nuse App\\Models\\{A, B as C};\ninterface {N}_i {\n}\nfinal class {N} {\n  const K = 1;\n  public function run() { return \"}\"; }\n}\nfunction {N}_f() {\n}\n",
+        [("use App\\Models\\{A, B as C};", "import", 2, 2, ["app/Models/A.php", "app/Models/B.php"]), ("{N}_i", "interface_def", 3, 4, []), ("{N}", "class_def", 5, 8, []), ("K", "constant", 6, 6, []), ("run", "method", 7, 7, []), ("{N}_f", "function", 9, 10, [])]),
+    "dart": (".dart", "import 'dart:io';\nabstract class {N} {\n  void run() {\n  }\n}\nenum E { a, b }\nmixin M {\n}\ntypedef F = int;\n",
+        [("import 'dart:io';", "import", 1, 1, ["dart:io"]), ("{N}", "class_def", 2, 5, []), ("run", "function", 3, 4, []), ("E", "enum_def", 6, 6, []), ("M", "trait_def", 7, 8, []), ("F", "type_alias", 9, 9, [])]),
 }
 
 
-def _outline(lang: str) -> None:
-    suffix, code, kind, end = _OUTLINES[lang]
-    before, after = code.format("\0").split("\0")
+def _code(spark: SparkSession, d: str, lang: str) -> DataFrame:
+    suffix, code, _ = OUTLINES[lang]
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    return _t(spark, d, "part").select(F.concat(F.lit("src/"), F.col("p_size").cast("string"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(suffix)).alias("path"), F.replace(F.lit(code), F.lit("{N}"), name).alias("content"))
+
 
+def _expected(lang: str) -> str:
+    """CTE ``s``: the symbols (path, ord, name, kind, line_start, line_end, deps) of every file of a language."""
+    suffix, _, rows = OUTLINES[lang]
+    text = lambda x: "replace('" + x.replace("'", "''") + f"', '{{N}}', {NAME})"
+    values = [f"SELECT 'src/' || p_size || '/' || p_partkey || '{suffix}' AS path, {i} AS ord, {text(n)} AS name, '{k}' AS kind, {a} AS line_start, {b} AS line_end, CAST([{', '.join(text(x) for x in deps)}] AS VARCHAR[]) AS deps FROM part" for i, (n, k, a, b, deps) in enumerate(rows)]
+    return "s AS (" + " UNION ALL ".join(values) + ")"
+
+
+def _outline(lang: str) -> None:
     def run(spark, d):
-        files = _code(spark, d, suffix, [before, F.replace("p_name", F.lit(" "), F.lit("_")), after])
-        return symbols.symbols(files).select("path", "ord", "name", "kind", "line_start", "line_end")
+        return outline.outline_rows(_code(spark, d, lang)).select("path", "ord", "name", "kind", "line_start", "line_end", F.array_join("deps", ",").alias("deps"))
 
     run.__name__ = f"outline_{lang}"
-    query(f"SELECT CAST(p_partkey AS VARCHAR) || '{suffix}' AS path, 0 AS ord, {NAME} AS name, '{kind}' AS kind, 1 AS line_start, {end} AS line_end FROM part")(run)
+    query(f"WITH {_expected(lang)} SELECT path, ord, name, kind, line_start, line_end, coalesce(array_to_string(deps, ','), '') AS deps FROM s")(run)
 
 
-for _lang in _OUTLINES:
+for _lang in OUTLINES:
     _outline(_lang)
 
 
-@query(f"SELECT CAST(p_partkey AS VARCHAR) || '.py' AS path, 'a/' || {NAME} || '.py' AS dep FROM part")
+@query(f"WITH {_expected('php')}, {_expected('python').replace('s AS (', 'y AS (', 1)}, u AS (SELECT * FROM s UNION ALL SELECT * FROM y) SELECT path, unnest(deps) AS dep FROM u")
 def outline_imports(spark, d):
-    files = _code(spark, d, ".py", ["from a.", F.replace("p_name", F.lit(" "), F.lit("_")), " import x\n"])
-    return symbols.symbols(files).where("kind = 'import'").select("path", "dep")
+    return outline.imports(_code(spark, d, "php").unionByName(_code(spark, d, "python"))).select("path", "dep")
+
+
+@query(f"WITH {_expected('python')} SELECT name, path, ord, kind, line_start FROM s WHERE kind <> 'import'")
+def symbol_index(spark, d):
+    return outline.symbol_index(symbols.symbols(_code(spark, d, "python")))
+
+
+@query(f"WITH {_expected('rust')} SELECT path, name, kind, line_start FROM s WHERE name = (SELECT min(name) FROM s WHERE kind = 'struct_def')")
+def find_symbols(spark, d):
+    s = symbols.symbols(_code(spark, d, "rust"))
+    return symbols.find_symbol(s, s.where("kind = 'struct_def'").agg(F.min("name")).first()[0]).select("path", "name", "kind", "line_start")
+
+
+@query("SELECT 'src/' || p_size || '/' || p_partkey || '.rb' AS path, 'run?' AS name, '    6 |   def self.run?' || chr(10) || '    7 |     1' || chr(10) || '    8 |   end' AS body FROM part")
+def symbol_bodies(spark, d):
+    files = _code(spark, d, "ruby")
+    return symbols.symbol_bodies(files, symbols.find_symbol(symbols.symbols(files), "run?"))
+
+
+@query("""WITH f AS (SELECT 'src/' || p_size || '/' || p_partkey || '.go' AS path, p_size, p_partkey FROM part)
+SELECT path, false AS is_dir, '    ' || p_partkey || '.go  go_lang  15L  6 sym' AS text FROM f UNION ALL SELECT DISTINCT 'src/' || p_size, true, '  ' || p_size || '/' FROM f UNION ALL SELECT 'src', true, 'src/'""")
+def tree_leaves(spark, d):
+    files = _code(spark, d, "go")
+    return symbols.tree_leaves(files, symbols.symbols(files)).select("path", "is_dir", "text")
+
+
+@query(f"""WITH h AS (SELECT 'src/' || p_size || '/' || p_partkey || '.py' AS path, {NAME} AS name, unnest([4, 7, 8, 12, 13, 14]) AS line_num FROM part)
+SELECT path, CAST(line_num AS INTEGER) AS line_num, CASE WHEN line_num < 12 THEN name WHEN line_num = 12 THEN name || '_c' ELSE 'run' END AS scope_name, CASE WHEN line_num < 12 THEN 4 WHEN line_num = 12 THEN 12 ELSE 13 END AS scope_start, CASE WHEN line_num < 12 THEN 10 ELSE 15 END AS scope_end FROM h WHERE line_num IN (4, 8, 13, 14)""")
+def search_scoped_symbols(spark, d):
+    files = _code(spark, d, "python")
+    found = search.search_scoped(files, symbols.symbols(files), "def ", None, index.trigrams(files), index.sparse_ngrams(files, {}))
+    return found.select("path", "line_num", "scope_name", "scope_start", "scope_end")
+
+
+@query(f"WITH {LINES} SELECT path, line_num, line_text FROM lines WHERE regexp_matches(line_text, 'ation[a-z ]*ment')")
+def regex_indexed(spark, d):
+    files = _files(spark, d)
+    return search.indexed_regex(files, index.trigrams(files), "ation[a-z ]*ment", None)
+
+
+@query(f"WITH {FILES}, {SPANS}, q AS (SELECT substr('6d656e74696f6e', 2 * i + 1, 2 * n) AS ngram FROM range(0, 7) a(i), range(3, 8) b(n) WHERE i + n <= 7) SELECT DISTINCT path FROM spans WHERE ngram IN (SELECT ngram FROM q)")
+def sparse_candidates(spark, d):
+    files = _files(spark, d)
+    weights = {(r.a, r.b): r.weight for r in index.pair_frequency(files).collect()}  # at most 65,536 pairs
+    return index.sparse_candidates(index.sparse_ngrams(files, weights), "mention")
+
+
+@query(f"WITH RECURSIVE {PART_EDGES}, r AS (SELECT 'f2' AS path, 0 AS depth UNION SELECT e.path, depth + 1 FROM r JOIN e ON e.dep = r.path WHERE depth < 3) SELECT DISTINCT path FROM r WHERE path <> 'f2'")
+def deps_transitive(spark, d):
+    return graph.dependencies(_part_edges(spark, d), "f2", "imported_by", True, 3)
+
+
+@query(f"WITH {PART_EDGES} SELECT dep AS path FROM (SELECT 'f' || k AS path, 'f' || ((k * 7 + 3) % n) AS dep FROM p UNION ALL SELECT 'f' || k, 'f' || ((k * 3 + 1) % n) FROM p) WHERE path = 'f5'")
+def deps_forward(spark, d):
+    return graph.dependencies(_part_edges(spark, d), "f5", "depends_on")
+
+
+@query(f"""WITH RECURSIVE {PART_EDGES}, base AS (SELECT 'f' || k AS path FROM p WHERE k <= 3), r AS (SELECT path, 0 AS depth FROM base UNION SELECT e.dep, depth + 1 FROM r JOIN e ON e.path = r.path WHERE depth < 2)
+SELECT DISTINCT path FROM r""")
+def pipeline_deps(spark, d):
+    e = _part_edges(spark, d)
+    files = _t(spark, d, "part").where("p_partkey <= 3").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path"), F.lit("").alias("content"))
+    return pipeline.run(pipeline.Corpus(files, e), [{"op": "sort"}, {"op": "deps", "direction": "depends_on", "transitive": True, "max_depth": 2}]).select("path")
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS path, event_id, event_type, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_id % 2 = 1),
+l AS (SELECT CAST(user_id AS VARCHAR) AS path, event_id AS seq, event_type AS op, event_id AS hash FROM events WHERE event_id % 2 = 0), m AS (SELECT max(seq) AS m FROM l),
+a AS (SELECT * FROM l UNION ALL SELECT path, m + n, CASE WHEN event_type = 'error' THEN 'tombstone' ELSE event_type END, CASE WHEN event_type = 'error' THEN 0 ELSE event_id END FROM e, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM a) SELECT path, seq, op, hash FROM r WHERE r <= 20""")
+def append_versions(spark, d):
+    e = _t(spark, d, "events")
+    row = [F.col("user_id").cast("string").alias("path"), F.lit(1).cast("long").alias("agent"), F.lit(0).cast("long").alias("ts"), F.col("event_id").alias("hash"), F.lit(1).cast("long").alias("size")]
+    log = e.where("event_id % 2 = 0").select(F.col("event_id").alias("seq"), F.col("event_type").alias("op"), *row)
+    new = e.where("event_id % 2 = 1").select(F.col("event_id").alias("pos"), F.when(F.col("event_type") == "error", "tombstone").otherwise(F.col("event_type")).alias("op"), *row)
+    return versions.append_versions(log, new, 20).select("path", "seq", "op", "hash")
+
+
+@query("SELECT max(event_id) AS seq FROM events")
+def current_seq(spark, d):
+    return versions.current_seq(_versions(spark, d))
+
+
+@query("SELECT event_id, CAST(sum(strlen(props)) OVER (ORDER BY event_id) - strlen(props) AS BIGINT) AS data_offset, CAST(strlen(props) AS BIGINT) AS data_len FROM events")
+def data_log(spark, d):
+    return logs.data_log(_t(spark, d, "events").select("event_id", F.col("event_id").alias("seq"), F.col("props").alias("diff"))).select("event_id", "data_offset", "data_len")
+
+
+@query("""WITH a AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'crashed' WHEN 1 THEN 'gone' ELSE 'active' END AS state FROM customer), l AS (SELECT o_custkey AS agent_id, 'f' || o_orderkey AS path FROM orders)
+SELECT l.* FROM l LEFT JOIN a ON a.id = agent_id WHERE coalesce(state, 'active') = 'active' AND NOT (agent_id = 2 AND path = 'f1')""")
+def held_locks(spark, d):
+    c = _t(spark, d, "customer")
+    agents = c.select(F.col("c_custkey").alias("id"), F.when(c.c_custkey % 4 == 0, "crashed").when(c.c_custkey % 4 == 1, "gone").otherwise("active").alias("state"))
+    locks = _t(spark, d, "orders").select(F.col("o_custkey").alias("agent_id"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"))
+    return versions.release_lock(versions.held_locks(locks, agents), 2, "f1")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey IN (3, 4) OR c_custkey % 4 <> 0 THEN 'active' ELSE 'crashed' END AS state, CASE WHEN c_custkey IN (3, 4) THEN 99 ELSE 1 END AS last_seen FROM customer UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + k, 'active', 50 FROM range(1, 3) t(k)")
+def agents_registered(spark, d):
+    c = _t(spark, d, "customer")
+    schema = [F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"), F.when(c.c_custkey % 4 == 0, "crashed").otherwise("active").alias("state"), F.lit(0).cast("long").alias("cursor"), F.lit(1).cast("long").alias("last_seen"), F.lit(0).cast("long").alias("edit_count")]
+    return versions.heartbeat(versions.register(c.select(*schema), ["x", "y"], 50), [3, 4], 99).select("id", "state", "last_seen")
+
+
+@query(f"""WITH {LINES}, {WORDS}, {TRI}, w AS (SELECT word, count(*) AS n FROM h GROUP BY word), wb AS (SELECT CAST(sum(strlen(word) + 8 * n) AS BIGINT) AS words FROM w), tb AS (SELECT CAST(10 * count(*) + 4 * count(DISTINCT tri) AS BIGINT) AS trigrams FROM tri)
+SELECT words, trigrams, 0 AS sparse, words + trigrams AS total FROM wb, tb""".replace("w AS (SELECT DISTINCT", "wd AS (SELECT DISTINCT", 1).replace("FROM w WHERE length(word)", "FROM wd WHERE length(word)", 1))
+def index_size(spark, d):
+    files = _files(spark, d)
+    return status.index_size(index.word_hits(files, parts=False), index.trigrams(files))
+
+
+@query(f"""WITH s AS (SELECT count(*) AS n FROM part) SELECT max(event_id) AS seq, count(DISTINCT user_id) AS files, max(n) AS outlines, max(n) AS contents, max(n) AS trigram_files, 'ready' AS scan FROM events, s""")
+def index_status(spark, d):
+    files = _code(spark, d, "go")
+    return status.status(files, _versions(spark, d), symbols.symbols(files), index.word_hits(files), index.trigrams(files)).drop("index_bytes")
+
+
+@query(f"""WITH f AS (SELECT 'src/' || p_size || '/' || p_partkey || '.rb' AS path, {NAME} AS name FROM part),
+o AS (SELECT path, '[{{"name":"require ''set''","kind":"import","line_start":1,"line_end":1}},{{"name":"' || name || '","kind":"struct_def","line_start":5,"line_end":9}},{{"name":"run?","kind":"function","line_start":6,"line_end":8}}]' AS value FROM f)
+SELECT 'seq' AS section, '' AS key, '7' AS value UNION ALL SELECT 'tree', path, '{{"path":"' || path || '"}}' FROM f UNION ALL SELECT 'outlines', path, value FROM o UNION ALL SELECT 'dep_graph', path, '["set"]' FROM f""")
+def json_snapshot(spark, d):
+    files = _code(spark, d, "ruby")
+    return snapshot.json_snapshot(files, symbols.symbols(files), outline.imports(files), 7).where("section <> 'symbol_index'")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'replaced' ELSE lang END AS lang FROM documents WHERE doc_id % 7 <> 3 OR doc_id % 5 = 0")
+def overlay(spark, d):
+    base = _t(spark, d, "documents").select(F.col("doc_id").alias("path"), "lang")
+    changed = base.where("path % 5 = 0").withColumn("lang", F.lit("replaced"))
+    return snapshot.overlay(base, changed, base.where("path % 7 = 3 and path % 5 <> 0")).withColumnRenamed("path", "doc_id")
+
+
+@query("""WITH q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
+SELECT CAST(a.user_id AS VARCHAR) AS session, CAST(q.event_id AS VARCHAR) AS query, CAST(a.event_id AS VARCHAR) AS path FROM a JOIN q ON a.user_id = q.user_id AND a.ts >= q.ts AND a.ts <= q.ts + INTERVAL 1 HOUR""")
+def correlate_window(spark, d):
+    e = _t(spark, d, "events")
+    pick = lambda kind, name: e.where(F.col("event_type") == kind).select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("session"), F.col("event_id").cast("string").alias(name))
+    return changes.correlate(pick("view", "query"), pick("click", "path"), "1 hour").select("session", "query", "path")
 
 
 @query(f"WITH {LINES}, {HITS}, s AS (SELECT * FROM hits ORDER BY score DESC, path, line_num LIMIT 200), f AS (SELECT path, max(score) AS m, arg_max(line_num, (score, -line_num)) AS l FROM s GROUP BY path) SELECT path FROM f WHERE path LIKE '%/en/%' ORDER BY path LIMIT 10")
@@ -395,6 +596,9 @@ def pipeline_read(spark, d):
     return pipeline.run(pipeline.Corpus(_files(spark, d)), steps)
 
 
-@query("SELECT doc_id, CASE WHEN md5(text) = md5('x') THEN 'unchanged' ELSE md5(text) END AS state FROM documents")
+@query("SELECT source || '/' || lang || '/' || doc_id || '.md' AS path, CASE WHEN doc_id % 3 = 0 THEN 'unchanged' ELSE 'read' END AS state, CASE WHEN doc_id % 3 <> 0 THEN md5(string_split(text, chr(10))[1]) END AS first_line FROM documents")
 def conditional_read(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.when(F.md5("text") == F.md5(F.lit("x")), "unchanged").otherwise(F.md5("text")).alias("state"))
+    """A third of the files is known by its hash, another by a wrong one."""
+    files = _t(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.col("text").alias("content"))
+    known = files.where("doc_id % 3 < 2").select("path", F.when(F.col("doc_id") % 3 == 0, read.content_hash(F.col("content"))).otherwise("0").alias("hash"))
+    return read.read_texts(files, 1, 1, numbered=False, known=known).select("path", "state", F.md5("text").alias("first_line"))
