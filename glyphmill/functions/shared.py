@@ -21,6 +21,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer parts than there are cores, as small tables of one file have; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def _parts(df: DataFrame, name: str, values: list[tuple[int, int]]) -> DataFrame:
     rows = json.dumps([{"part": p, name: v} for p, v in values])
     return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), f"array<struct<part:int,{name}:bigint>>")))

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.shared import spread
 from glyphmill.functions.text import fold, lines, subtokens, words
 
 
@@ -24,7 +25,7 @@ def word_hits(files: DataFrame, parts: bool = True) -> DataFrame:
         return F.concat(own, subtokens(token)) if parts else own
 
     every = F.array_distinct(F.flatten(F.transform(words(F.col("line_text")), of)))
-    return lines(files).select(F.explode(every).alias("word"), "path", "line_num")
+    return lines(spread(files.select("path", "content"))).select(F.explode(every).alias("word"), "path", "line_num")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -80,7 +81,7 @@ def trigrams(files: DataFrame) -> DataFrame:
                 g, m = group[first[lo : lo + 100_000]], masks[lo : lo + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(g & 0xFFFFFF, pa.int32()), part.column(0).take(pa.array(g >> 24)), pa.array(m >> 8, pa.int32()), pa.array(m & 255, pa.int32())], ["tri", "path", "next_mask", "loc_mask"])
 
-    return files.select("path", "content").mapInArrow(run, "tri int, path string, next_mask int, loc_mask int")
+    return spread(files.select("path", "content")).mapInArrow(run, "tri int, path string, next_mask int, loc_mask int")
 
 
 def trigram_text(tri: Column) -> Column:
@@ -99,7 +100,7 @@ def pair_frequency(files: DataFrame) -> DataFrame:
         pairs = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int32()), pa.array(total[pairs])], ["p", "n"])
 
-    counts = files.select("path", "content").mapInArrow(run, "p int, n long").groupBy("p").agg(F.sum("n").alias("count"))
+    counts = spread(files.select("path", "content")).mapInArrow(run, "p int, n long").groupBy("p").agg(F.sum("n").alias("count"))
     most = counts.agg(F.max("count").alias("m"))
     weight = F.expr(f"{0xFE00} - cast(floor(count * {0xFE00 - 0x1000} / m) as int)")
     return counts.crossJoin(F.broadcast(most)).select(F.shiftright("p", 8).alias("a"), F.col("p").bitwiseAND(F.lit(255)).alias("b"), weight.cast("int").alias("weight"))
@@ -163,7 +164,7 @@ def sparse_ngrams(files: DataFrame, weights: dict[tuple[int, int], int], longest
                 grams = [raw[i:j].hex() for i, j in zip(b.tolist(), e.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), part.column(0).take(pa.array(o)), pa.array(b - starts[o], pa.int32()), pa.array(e - b, pa.int32())], ["ngram", "path", "pos", "len"])
 
-    return files.select("path", "content").mapInArrow(run, "ngram string, path string, pos int, len int")
+    return spread(files.select("path", "content")).mapInArrow(run, "ngram string, path string, pos int, len int")
 
 
 def sparse_candidates(ngrams: DataFrame, query: str, longest: int = 16) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.shared import spread
 from glyphmill.sources.files import LANGUAGES
 
 I = "([A-Za-z0-9_]{1,256})"  # noqa: E741
@@ -266,7 +267,7 @@ def outline_rows(files: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return spread(files.select("path", "content")).mapInArrow(run, SCHEMA)
 
 
 def symbols(files: DataFrame) -> DataFrame:

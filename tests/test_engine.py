@@ -114,7 +114,7 @@ def test_reading_a_tree_and_snapshots(spark, tmp_path):
     assert [r.path for r in snapshot.lookup(spark, out, "words", ["push"]).collect()] == [".github/ci.yml"]
     (tmp_path / "broken" / "meta").mkdir(parents=True)
     assert snapshot.read_snapshot(spark, str(tmp_path / "broken")) is None
-    assert S.with_trigrams(files, largest=3).where("eligible").count() == 1
+    assert S.with_trigrams(files, largest=3).where("eligible").count() == 2
 
 
 def test_projects_and_requests(spark, tmp_path):
