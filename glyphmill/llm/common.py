@@ -12,7 +12,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions.shared import spread
+
 _made: list[str] = []
+#: Paths of the copies that :func:`cut` has written and nothing has deleted yet.
+cuts: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,16 +53,45 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here.
 
     What is read survives the loss of any executor, and a frame that two
-    branches use is computed once.
+    branches use is computed once. The copy is deleted by :func:`release`, or
+    else when the driver ends.
     """
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    cuts.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in cuts:
+            cuts.remove(path)
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete the copies of cut frames that nothing will read again."""
+    for df in frames:
+        if df is not None and getattr(df, "_cut_path", None) in cuts:
+            delete(df.sparkSession, [df._cut_path])
+
+
+@atexit.register
+def _release_all() -> None:
+    from pyspark import SparkContext
+
+    if cuts and SparkContext._active_spark_context is not None:
+        with contextlib.suppress(Exception):  # the session may have ended already
+            delete(SparkSession.builder.getOrCreate(), list(cuts))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data folder; one of few files is spread over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from glyphmill.llm import langid
@@ -31,3 +32,41 @@ def test_no_labels_and_no_rows(spark):
     model = langid.train(docs)
     assert {r.lang_pred for r in langid.identify(docs, model).collect()} == {"und"}
     assert langid.identify(docs.where("false"), model).collect() == []
+
+
+def test_mixtures_as_plain_em():
+    """Proportions and the chosen set of each text, against EM written out in plain Python."""
+    import math
+
+    rng = np.random.default_rng(7)
+    logp, owner = [], []
+    for text in range(12):
+        for _ in range(int(rng.integers(1, 40))):
+            row = rng.normal(-9, 0.4, 3)
+            row[int(rng.integers(3)) if text % 3 == 0 else text % 3] += rng.uniform(0, 4)
+            logp.append(row)
+            owner.append(text)
+    logp, owner = np.array(logp, np.float32), np.array(owner)
+
+    def em(rows, pi, rounds):
+        for _ in range(rounds):
+            shares = [[math.exp(x) * p for x, p in zip(r, pi, strict=True)] for r in rows]
+            pi = [sum(s[k] / sum(s) for s in shares) / len(rows) for k in range(3)]
+        return pi, sum(math.log(sum(math.exp(x) * p for x, p in zip(r, pi, strict=True))) for r in rows)
+
+    got = langid.mixtures(logp, owner, 13)
+    for text in range(12):
+        rows = [[float(x) for x in r] for r in logp[owner == text]]
+        full, _ = em(rows, [1 / 3] * 3, 8)
+        rank = sorted(range(3), key=lambda k: (-full[k], k))
+        single = [sum(r[k] for r in rows) for k in range(3)]
+        first = single.index(max(single))
+        best, score = [float(k == first) for k in range(3)], max(single)
+        for size in (2, 3):
+            start = [(full[k] + 1e-3) * (k in rank[:size]) for k in range(3)]
+            pi, found = em(rows, [x / sum(start) for x in start], 4)
+            if found - score <= 2 * math.log(len(rows) + 1):
+                break
+            best, score = pi, found
+        assert np.allclose(got[text], best, atol=2e-3), (text, got[text], best)
+    assert not got[12].any() and (got.max(1) < 1).sum() > 1
