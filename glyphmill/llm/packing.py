@@ -66,6 +66,12 @@ def _equal(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, siz
     return bool((a[np.repeat(a_at - upto, size) + ramp] == b[np.repeat(b_at - upto, size) + ramp]).all())
 
 
+def _merge(a: np.ndarray, a_number: np.ndarray, b: np.ndarray, b_number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of keys with their numbers as one."""
+    place = np.searchsorted(a, b)
+    return np.insert(a, place, b), np.insert(a_number, place, b_number)
+
+
 class Tokens:
     """Token ids of many texts by a byte-level BPE tokenizer, each distinct segment once.
 
@@ -79,7 +85,7 @@ class Tokens:
     dropped beyond ``most`` segments or ``most_bytes`` bytes of them.
     """
 
-    def __init__(self, model: str, most: int = 600_000, most_bytes: int = 1 << 25) -> None:
+    def __init__(self, model: str, most: int = 1_000_000, most_bytes: int = 1 << 25) -> None:
         import tiktoken
 
         self.model, self.most, self.most_bytes, self.whole = model, most, most_bytes, None
@@ -89,47 +95,71 @@ class Tokens:
         self.size = max(*ranks.values(), *added.values(), 0) + 1
         self.odd = re.compile(b"|".join([*(re.escape(t.encode()) for t in added), WIDE_SPACE]))
         self.fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        (self.line,) = self.fast.encode_ordinary("\n")
+        (self.line,) = self._encode("\n").tolist()
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.n, (self.old, self.recent) = 0, ((np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2))
         self.start, self.count, self.at, self.size_of = (np.zeros(1 << 16, np.int64) for _ in range(4))
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.pool, self.filled = np.zeros(1 << 16, np.uint8), 0
 
-    def _encode(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all segments, and how many each has."""
-        if not segments:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        ids = np.array(self.fast.encode_ordinary(b"\n".join(segments).decode()), np.uint32)
+    def _encode(self, text: str) -> np.ndarray:
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
+    def _encode_lines(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of segments that are encoded as the lines of one text, and how many each has."""
+        body = np.full(int(size.sum()) + len(size), 10, np.uint8)
+        begin = np.cumsum(size + 1) - size - 1
+        ramp = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        body[np.repeat(begin, size) + ramp] = data[np.repeat(starts, size) + ramp]
+        ids = self._encode(body.tobytes().decode())
         at = np.flatnonzero(ids == self.line)
-        if len(at) == len(segments) - 1:
-            return np.delete(ids, at), np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1
-        every = [self.fast.encode_ordinary(x.decode()) for x in segments]
-        return np.array([i for x in every for i in x], np.uint32), np.array([len(x) for x in every])
+        if len(at) == len(size):
+            return np.delete(ids, at), np.diff(np.concatenate(([-1], at))) - 1
+        every = [self._encode(data[x : x + n].tobytes().decode()) for x, n in zip(starts.tolist(), size.tolist(), strict=True)]
+        return np.concatenate([*every, np.zeros(0, np.uint32)]), np.array([len(x) for x in every], np.int64)
 
-    def learn(self, keys: np.ndarray, place: np.ndarray, segments: list[bytes]) -> None:
+    def learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        """Encodes new segments; ``data`` must reach beyond the last."""
         # A line may hold a segment without white space but one leading space.
-        plain = np.array([not (x[:1] in b"\t\n\x0b\x0c\r" or x[:1] == b" " and x[1:2] in b" \t\n\x0b\x0c\r") for x in segments])
-        counts = np.zeros(len(segments), np.int64)
-        parts = [self._encode([x for x, p in zip(segments, plain, strict=True) if p]), *(self._encode([x]) for x, p in zip(segments, plain, strict=True) if not p)]
-        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
-        ids, counts[order] = np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
-        start, size = np.zeros(len(segments), np.int64), np.array([len(x) for x in segments])
-        start[order] = self.used + np.cumsum(counts[order]) - counts[order]
+        head, second = data[starts], np.where(size > 1, data[starts + 1], 32)
+        odd = np.isin(head, (9, 10, 11, 12, 13)) | (head == 32) & wh.SPACE[second]
+        order = np.concatenate((np.flatnonzero(~odd), np.flatnonzero(odd)))
+        parts = [self._encode_lines(data, starts[~odd], size[~odd])]
+        for x, n in zip(starts[odd].tolist(), size[odd].tolist(), strict=True):
+            ids = self._encode(data[x : x + n].tobytes().decode())
+            parts.append((ids, np.array([len(ids)])))
+        ids, lengths = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        count, start = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        count[order], start[order] = lengths, self.used + np.cumsum(lengths) - lengths
         self.ids, self.used = _append(self.ids, self.used, ids)
         at = self.filled + np.cumsum(size) - size
-        self.pool, self.filled = _append(self.pool, self.filled, np.frombuffer(b"".join(segments), np.uint8))
-        n = len(self.keys)
-        for name, new in (("start", start), ("count", counts), ("at", at), ("size_of", size)):
+        self.pool, self.filled = _append(self.pool, self.filled, data[np.repeat(starts - (at - self.filled), size) + np.arange(int(size.sum()))])
+        n = self.n
+        for name, new in (("start", start), ("count", count), ("at", at), ("size_of", size)):
             setattr(self, name, _append(getattr(self, name), n, new)[0])
-        self.keys, self.number = np.insert(self.keys, place, keys), np.insert(self.number, place, np.arange(n, n + len(keys)))
+        self.n += len(keys)
+        # New keys are merged into a short list, and that now and then into the long one.
+        self.recent = _merge(*self.recent, keys, np.arange(n, self.n))
+        if len(self.recent[0]) > 1 << 16:
+            self.old, self.recent = _merge(*self.old, *self.recent), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of known segments; -1 for others."""
+        out = np.full(len(keys), -1)
+        for have, number in (self.old, self.recent):
+            if len(have):
+                at = np.searchsorted(have, keys).clip(max=len(have) - 1)
+                hit = have[at] == keys
+                out[hit] = number[at[hit]]
+        return out
 
-    def _look_up(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+    def _look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
         """Each segment's number among the known ones, new ones included; None if a hash stands for two segments."""
         size = ends - starts
-        held = _words(np.append(data, np.zeros(8 * HELD + 8, np.uint8)), starts, size)
+        padded = np.append(data, np.zeros(8 * HELD + 8, np.uint8))
+        held = _words(padded, starts, size)
         value = size.astype(np.uint64)
         for w in held:
             value = wh.mix(value * np.uint64(0xD6E8FEB86659FD93) + w)
@@ -142,19 +172,19 @@ class Tokens:
         head = first[group]
         if not (size[head] == size).all() or any((w[head] != w).any() for w in held) or not _equal(data, starts[long], data, starts[head[long]], size[long]):
             return None
-        place = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero(self.keys[place.clip(max=len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        known = self.find(keys)
+        new = np.flatnonzero(known < 0)
         if len(new):
-            self.learn(keys[new], place[new], [raw[x:y] for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            place = np.searchsorted(self.keys, keys)
-        known = self.number[place]
+            n = self.n
+            self.learn(keys[new], padded, starts[first[new]], size[first[new]])
+            known[new] = np.arange(n, self.n)
         if not (self.size_of[known] == size[first]).all() or not _equal(data, starts[first], self.pool, self.at[known], size[first]):
             return None
         return known[group]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.keys) > self.most or self.filled > self.most_bytes:
+        if self.n > self.most or self.filled > self.most_bytes:
             self.forget()
         if not len(data):
             return [np.zeros(0, np.uint32)] * (len(offsets) - 1)
@@ -167,7 +197,7 @@ class Tokens:
         cut_here[1:] |= alone
         starts = np.flatnonzero(cut_here)
         raw = data.tobytes()
-        known = self._look_up(data, raw, starts, np.append(starts[1:], len(data)))
+        known = self._look_up(data, starts, np.append(starts[1:], len(data)))
         if known is None:
             out, odd = [np.zeros(0, np.uint32)] * (len(offsets) - 1), set(range(len(offsets) - 1))
         else:
@@ -186,6 +216,17 @@ class Tokens:
         return out
 
 
+#: Of a Python worker, which lives on from task to task: its tokenizer, by the tokenizer's description.
+_kept: dict[str, Tokens] = {}
+
+
+def kept_tokens(model: str) -> Tokens:
+    if model not in _kept:
+        _kept.clear()
+        _kept[model] = Tokens(model)
+    return _kept[model]
+
+
 def tokenise(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
     """(row, doc_id, n, ids) for every document, and per task one row with document frequencies.
 
@@ -196,7 +237,7 @@ def tokenise(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = Tokens(shared.value), zstandard.ZstdCompressor(level=1)
+        tokens, packer = kept_tokens(shared.value), zstandard.ZstdCompressor(level=1)
         df = np.zeros(tokens.size, np.uint32)
         row = TaskContext.get().partitionId() << 36
         types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
