@@ -76,7 +76,7 @@ def joined(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.concat_ws(":", F.get(names, x["rank"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200, broadcast_rows: int = 50_000) -> DataFrame:
     """Adds ``base`` and ``found``, sorted arrays of (start, rank, end), to every row.
 
     ``base`` holds the strong findings, ``found`` also the weak parts that
@@ -91,6 +91,10 @@ def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataF
     windows of positions, never at pairs, so neither many copies nor a text
     with many parts multiplies rows.
 
+    The findings meet the rows by a broadcast of up to ``broadcast_rows``
+    counted texts, beyond that by a shuffle in which copies of a text are dealt
+    to several keys.
+
     Null text counts as empty. Repeated rows are all kept. An empty table
     gives an empty result. Columns named ``base``, ``found`` or ``text_key``
     are replaced; all others stay, the text included.
@@ -131,11 +135,15 @@ def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataF
         .groupBy("text_key").agg(F.collect_set(F.struct("start", "rank", "end")).alias("linked"))
     )
     found = parts.join(linked, "text_key", "left").select("text_key", "base", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked"))).alias("found"))
-    # Copies of a text are dealt to SALT keys, each of which meets its findings.
     own, salt, b, f, mine, part = (apart(x, docs.columns) for x in ("found_key", "found_salt", "found_base", "found_all", "own_key", "own_salt"))
-    found = found.select(F.col("text_key").alias(own), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias(salt), F.col("base").alias(b), F.col("found").alias(f))
-    dealt = F.pmod(F.xxhash64(*[c for c in kept if c != text] or [text]), F.lit(SALT)).cast("int")
-    out = docs.select(*kept, F.md5(body).alias(mine), dealt.alias(part)).join(found, (F.col(mine) == F.col(own)) & (F.col(part) == F.col(salt)), "left")
+    found = found.select(F.col("text_key").alias(own), F.col("base").alias(b), F.col("found").alias(f))
+    out, same = docs.select(*kept, F.md5(body).alias(mine)), F.col(mine) == F.col(own)
+    if parts.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        out = out.join(F.broadcast(found), same, "left")
+    else:  # copies of a text are dealt to SALT keys, each of which meets its findings
+        dealt = F.pmod(F.xxhash64(*[c for c in kept if c != text] or [text]), F.lit(SALT)).cast("int")
+        found = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        out = out.withColumn(part, dealt).join(found.hint("merge"), same & (F.col(part) == F.col(salt)), "left")
     return out.select(*kept, F.coalesce(F.col(b), none).alias("base"), F.coalesce(F.col(f), none).alias("found"))
 
 

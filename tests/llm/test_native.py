@@ -103,8 +103,9 @@ def test_linked_spans_as_plain_python(spark):
     rng, pieces = random.Random(4), ["user: alice9", "https://db.example.org/a1", "Zq8" * 8, "token=abcdefgh9", "0f" * 17, "\n\n", "\n\n\n\n", " . " * 60, "plain words", "é😀", "login=" + "k3y" * 9]
     texts = ["".join(rng.choice(pieces) + rng.choice([" ", " ", "\n"]) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.f for r in secrets.scan_secrets(docs).select("doc_id", secrets.joined(F.col("found")).alias("f")).collect()}
-    assert got == {i: linked_by_hand(t) for i, t in enumerate(texts)}
+    for limit in (50_000, 1):  # also without a broadcast
+        got = {r.doc_id: r.f for r in secrets.scan_secrets(docs, broadcast_rows=limit).select("doc_id", secrets.joined(F.col("found")).alias("f")).collect()}
+        assert got == {i: linked_by_hand(t) for i, t in enumerate(texts)}
 
 
 def test_helper_columns_clash_with_nothing(spark):
