@@ -85,7 +85,7 @@ class Tokens:
     dropped beyond ``most`` segments or ``most_bytes`` bytes of them.
     """
 
-    def __init__(self, model: str, most: int = 1_000_000, most_bytes: int = 1 << 25) -> None:
+    def __init__(self, model: str, most: int = 500_000, most_bytes: int = 1 << 25) -> None:
         import tiktoken
 
         self.model, self.most, self.most_bytes, self.whole = model, most, most_bytes, None
@@ -100,7 +100,7 @@ class Tokens:
 
     def forget(self) -> None:
         self.n, (self.old, self.recent) = 0, ((np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2))
-        self.start, self.count, self.at, self.size_of = (np.zeros(1 << 16, np.int64) for _ in range(4))
+        self.start, self.count, self.at, self.size_of = (np.zeros(1 << 16, np.int32) for _ in range(4))
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.pool, self.filled = np.zeros(1 << 16, np.uint8), 0
 
@@ -216,17 +216,6 @@ class Tokens:
         return out
 
 
-#: Of a Python worker, which lives on from task to task: its tokenizer, by the tokenizer's description.
-_kept: dict[str, Tokens] = {}
-
-
-def kept_tokens(model: str) -> Tokens:
-    if model not in _kept:
-        _kept.clear()
-        _kept[model] = Tokens(model)
-    return _kept[model]
-
-
 def tokenise(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
     """(row, doc_id, n, ids) for every document, and per task one row with document frequencies.
 
@@ -237,7 +226,7 @@ def tokenise(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = kept_tokens(shared.value), zstandard.ZstdCompressor(level=1)
+        tokens, packer = Tokens(shared.value), zstandard.ZstdCompressor(level=1)
         df = np.zeros(tokens.size, np.uint32)
         row = TaskContext.get().partitionId() << 36
         types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -254,6 +243,8 @@ def tokenise(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "t
                 yield batch(range(row, row + hi - lo), b.column(0).slice(lo, hi - lo), sizes, blobs)
                 row += hi - lo
         yield batch([row], [None], [None], [packer.compress(df.tobytes())])
+        tokens.forget()
+        wh.give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "row long, doc_id long, n long, ids binary")
 
