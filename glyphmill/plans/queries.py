@@ -154,13 +154,15 @@ def bigram_freq(spark, d):
     return index.pair_frequency(_files(spark, d))
 
 
-SPANS = f"""b AS (SELECT path, lower(hex(encode(content))) AS h, lower(hex(encode(translate(content, {ASCII})))) AS l, CAST(strlen(content) AS INTEGER) AS n FROM files WHERE strlen(content) >= 2),
-g AS (SELECT path, n, l, i, substr(h, i * 2 + 1, 4) AS p FROM (SELECT *, unnest(generate_series(0, n - 2)) AS i FROM b)),
+SPANS = f"""b AS (SELECT path, lower(hex(encode(content))) AS h, CAST(strlen(content) AS INTEGER) AS n FROM files WHERE strlen(content) >= 2),
+fl AS (SELECT path, lower(hex(encode(translate(content, {ASCII})))) AS l FROM files),
+nb AS (SELECT CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS f, path, h, n FROM b),
+g AS (SELECT f, n, CAST(i AS INTEGER) AS i, substr(h, i * 2 + 1, 4) AS p FROM (SELECT f, n, h, unnest(generate_series(0, n - 2)) AS i FROM nb)),
 c AS (SELECT p, 65024 - (count(*) * 60928) // max(count(*)) OVER () AS w FROM g GROUP BY p),
-o AS (SELECT path, n, l, CAST(i AS INTEGER) AS i, w, lag(w) OVER (PARTITION BY path ORDER BY i) AS before, lead(w) OVER (PARTITION BY path ORDER BY i) AS after FROM g JOIN c USING (p)),
-e AS (SELECT path, l, i AS x, lead(i) OVER (PARTITION BY path ORDER BY i) + 2 AS y FROM o WHERE i = 0 OR i = n - 2 OR (w > before AND w > after)),
-k AS (SELECT path, l, x, y, unnest(generate_series(0, greatest(0, (y - x - 16 + 13) // 14))) AS k FROM e WHERE y IS NOT NULL),
-sp AS (SELECT path, l, CAST(x + 14 * k AS INTEGER) AS pos, CAST(CASE WHEN y - x - 14 * k <= 16 THEN y - x - 14 * k ELSE 16 END AS INTEGER) AS len FROM k),
+o AS (SELECT f, n, i, w, lag(w) OVER q AS before, lead(w) OVER q AS after FROM g JOIN c USING (p) WINDOW q AS (PARTITION BY f ORDER BY i)),
+e AS (SELECT f, i AS x, lead(i) OVER (PARTITION BY f ORDER BY i) + 2 AS y FROM o WHERE i = 0 OR i = n - 2 OR (w > before AND w > after)),
+k AS (SELECT f, x, y, unnest(generate_series(0, greatest(0, (y - x - 16 + 13) // 14))) AS k FROM e WHERE y IS NOT NULL),
+sp AS (SELECT path, l, CAST(x + 14 * k AS INTEGER) AS pos, CAST(CASE WHEN y - x - 14 * k <= 16 THEN y - x - 14 * k ELSE 16 END AS INTEGER) AS len FROM k JOIN nb USING (f) JOIN fl USING (path)),
 spans AS (SELECT substr(l, pos * 2 + 1, len * 2) AS ngram, path, pos, len FROM sp WHERE len >= 3)"""
 
 
