@@ -226,3 +226,97 @@ def test_slots_may_share_a_value_and_alignments_add_up(spark):
     got = decontam.leaked_documents(docs, decontam.find_leaks(docs, bench)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (1, 2), (2, 2), (3, 3), (4, 3), (5, 3)}
     assert all(r.matched <= r.item_words for r in got)
+
+
+def templates_by_hand(text):
+    """(raw, template) words of a text, where a run of equal placeholders is one slot."""
+    import regex
+
+    t = regex.sub(rf"(?<=[0-9])(\x20?)(?:{decontam.UNITS})(?![\p{{L}}\p{{N}}])", r"\1#unit", text)
+    t = regex.sub(r"(?<=[\p{Ll},;:]\x20)\p{Lu}\p{Ll}+", "#name", t)
+    t = regex.sub(r"[0-9]+(?:[.,][0-9]+)*", "#num", t)
+    t = regex.sub(r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}#\x20\x09-\x0D]+", "", t).lower()
+    raw, tpl = ([w for w in regex.split(r"[\x20\x09-\x0D]+", x) if w] for x in (text, t))
+    out = []
+    for r, w in zip(raw, tpl, strict=True):
+        if out and w in ("#num", "#name", "#unit") and out[-1][1] == w:
+            out[-1] = (f"{out[-1][0]} {r}", w)
+        else:
+            out.append((r, w))
+    return out
+
+
+def one_value_each(pairs):
+    """Whether every slot value of the item meets one value of the document; ``pairs``: item word -> (document word, item word)."""
+    value = {}
+    return all("#" not in it[1] or value.setdefault(it, d[0]) == d[0] for d, it in pairs.values())
+
+
+def leak_by_hand(doc, item, window=8, coverage=0.6, drift=4):
+    """(matched, exact, -pos) of the best alignment of an item with a document, or None."""
+    n, runs = min(window, len(item)), {}
+    for p in range(len(doc) - n + 1):
+        runs.setdefault(tuple(w for _, w in doc[p : p + n]), []).append(p)
+    places = {p - q for q in range(len(item) - n + 1) for p in runs.get(tuple(w for _, w in item[q : q + n]), [])} if item else set()
+    agree = {pos: {i: (doc[pos + i], it) for i, it in enumerate(item) if 0 <= pos + i < len(doc) and doc[pos + i][1] == it[1]} for pos in places}
+    best = []
+    for pos in places:
+        have = dict(agree[pos])
+        if not one_value_each(have):
+            continue
+        for other in sorted(places - {pos}, key=lambda x: (abs(x - pos), x)):
+            if abs(other - pos) <= drift:
+                at = agree[other]
+                more = {i: v for i, v in at.items() if any(all(i - k + j in at for j in range(3)) for k in range(3))}
+                if one_value_each(more | have):
+                    have = more | have
+        if len(have) >= coverage * len(item):
+            best.append((len(have), sum(d[0] == it[0] for d, it in have.values()), -pos))
+    return max(best, default=None)
+
+
+def leaks_by_hand(docs, bench):
+    docs, out = [(i, templates_by_hand(t or "")) for i, t in docs], set()
+    for item_id, text in bench:
+        item = templates_by_hand(text or "")
+        for doc_id, doc in docs:
+            if item and (b := leak_by_hand(doc, item)):
+                out.add((doc_id, item_id, b[0], len(item), b[1], -b[2]))
+    return out
+
+
+def test_leaks_of_whole_tables_equal_a_plain_matcher(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = [(r.doc_id, r.item_id, r.matched, r.item_words, r.exact, r.pos) for r in queries.op9_decontamination(spark, SF).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == leaks_by_hand([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
+
+
+def test_leaks_of_altered_items_equal_a_plain_matcher(spark):
+    import random
+
+    rng, plain = random.Random(9), [f"{a}{b}{c}" for a in "bdfgk" for b in "aeio" for c in ("n", "ra", "st")]
+    slots = [lambda: rng.choice(["Maria", "Ivan", "Zoe", "Tom"]), lambda: str(rng.randrange(1, 6)), lambda: f"{rng.randrange(2, 9)} km", lambda: f"{rng.randrange(2, 9)}kg,"]
+    some = lambda: rng.choice(slots)() if rng.random() < 0.25 else rng.choice(plain)
+    bench = [(i, " ".join(some() for _ in range(rng.choice([3, 7, 8, 9, 14, 25, 40])))) for i in range(40)]
+    bench += [(40, "la " * 12), (41, bench[0][1]), (42, bench[1][1]), (42, bench[1][1])]
+
+    def altered(text):
+        words = text.split()
+        for _ in range(rng.randrange(4)):
+            k, what = rng.randrange(len(words)), rng.randrange(4)
+            words[k : k + 1] = [[some()], [], [words[k], some()], [rng.choice(["Maria Zoe", "7", "Ivan"])]][what]
+            words = words or ["x"]
+        return " ".join(words)
+
+    docs = []
+    for i in range(150):
+        parts = [altered(rng.choice(bench)[1]) if rng.random() < 0.6 else " ".join(some() for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 5))]
+        docs.append((i, " ".join(parts)))
+    docs += [(150, docs[3][1]), (151, None), (152, ""), (153, "la " * 30), (154, "é Ünï " + bench[5][1] + " 😀"), (155, "bat " * 20_000 + bench[4][1])]
+    rows, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    want = leaks_by_hand(docs, bench)
+    assert len(want) > 100
+    for limit in (100_000, 1):
+        found = decontam.leaked_documents(rows, decontam.find_leaks(rows, items, broadcast_rows=limit), broadcast_rows=limit)
+        assert {(r.doc_id, r.item_id, r.matched, r.item_words, r.exact, r.pos) for r in found.collect()} == want
