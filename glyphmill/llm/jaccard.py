@@ -19,7 +19,9 @@ documents to clusters.
 The second level joins each cluster with documents as pivots, whose distances
 tell much there: a document's home is the region of its nearest pivot, and it
 visits those whose pivot is at most the distance bound farther. Regions are
-joined recursively: small ones within a task, large ones by further pivots.
+joined recursively within a task. Clusters too large for one are first split by
+finer parts; in what stays large, documents that links with pivots connect are
+one component, and only the others visit regions, by windows of twice the bound.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import wordhash as wh
-from glyphmill.llm.common import apart, bounded, cut
+from glyphmill.llm.common import apart, bounded, cut, release
 from glyphmill.llm.components import components
 from glyphmill.llm.substring import FLUSH, bucket_of, pack, unpack
 
@@ -48,6 +50,8 @@ FINE = 256
 REGION = 20_000
 #: Documents that are compared without pivots; pivots of a region; a region that keeps more of its parent isn't split again.
 FEW, PIVOTS, SHRINK = 32, 8, 0.7
+#: Bytes of finer parts, times those of a cluster's texts, that one task compares with as many others.
+WIDE = 4
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,22 +123,28 @@ class Union:
     """Components of 0..n-1 as labels; merging relabels in one numpy step."""
 
     def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
+        self.label, self.moved = np.arange(n), False
 
     def join(self, i: int, others: np.ndarray) -> None:
-        if len(others):
-            self.label[np.isin(self.label, np.append(self.label[others], self.label[i]))] = self.label[i]
+        names = self.label[others]
+        names = names[names != self.label[i]]
+        if len(names):
+            self.label[np.isin(self.label, names)] = self.label[i]
+            self.moved = True
 
     def leaders(self) -> Iterator[int]:
         """Members to compare with all others until none outside the largest component is left."""
         used = np.zeros(len(self.label), bool)
+        rest = iter(range(min(1, len(used))))
+        self.moved = False
         while True:
-            names, counts = np.unique(self.label, return_counts=True)
-            rest = np.flatnonzero(~used & (self.label != names[np.argmax(counts)])) if used.any() else np.arange(len(used))[:1]
-            if not len(rest):
+            if self.moved or (used.sum() == 1):
+                names, counts = np.unique(self.label, return_counts=True)
+                rest, self.moved = iter(np.flatnonzero(~used & (self.label != names[np.argmax(counts)]))), False
+            if (i := next(rest, None)) is None:
                 return
-            used[rest[0]] = True
-            yield int(rest[0])
+            used[i] = True
+            yield int(i)
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         """(member, first member of its component) for all others."""
@@ -151,6 +161,17 @@ def _near(n_a, n_b, p_a, p_b, num: int, den: int) -> np.ndarray:
     return (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num) & (gap * (den + num) <= sizes * (den - num))
 
 
+def _mark(s: np.ndarray) -> bytes:
+    """The same for equal sets only, up to hashes."""
+    return np.add.reduce(s).tobytes() + np.bitwise_xor.reduce(wh.mix(s)).tobytes() + len(s).to_bytes(8, "little")
+
+
+def fine_parts(s: np.ndarray) -> np.ndarray:
+    """How many of a set are in each of its finer parts, of about four to eight each; 255 stands for more too."""
+    p = 1 << max(5, len(s).bit_length() - 3)
+    return np.bincount((s & np.uint64(p - 1)).astype(np.int64), minlength=p).clip(max=255).astype(np.uint8)
+
+
 def _deal(bucket: np.ndarray, table: dict, key: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sets and their pivots, one row a bucket."""
     order = np.lexsort((key, bucket))
@@ -175,8 +196,7 @@ def _scan(texts: DataFrame, size: int, num: int, den: int, buckets: int, frequen
         for doc, s in zip(docs, sets, strict=True):
             if not len(s):
                 continue
-            mark = np.add.reduce(s).tobytes() + np.bitwise_xor.reduce(wh.mix(s)).tobytes() + len(s).to_bytes(8, "little")
-            if (other := seen.setdefault(mark, doc)) != doc:
+            if (other := seen.setdefault(_mark(s), doc)) != doc:
                 copies.append((doc, other))
                 continue
             key = s[: prefix_length(len(s), num, den)]
@@ -345,8 +365,7 @@ def _test_pairs(rows: DataFrame, pairs: DataFrame, size: int, num: int, den: int
             for lo, hi, data, offsets in wh.chunks(b.column(1)):
                 out = []
                 for s in sets_of(data, offsets, size):
-                    parts = np.bincount((s & np.uint64((p := 1 << max(5, len(s).bit_length() - 3)) - 1)).astype(np.int64), minlength=p)
-                    out.append(np.append(np.frombuffer(np.int64(len(s)).tobytes(), np.uint8), parts.clip(max=255).astype(np.uint8)).tobytes())
+                    out.append(np.int64(len(s)).tobytes() + fine_parts(s).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], ["doc_id", "parts"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,84 +471,151 @@ def _join_clusters(members: DataFrame, size: int, num: int, den: int, cluster: s
     return members.groupBy(cluster).applyInArrow(join, "a long, b long")
 
 
-def _join_large(members: DataFrame, size: int, num: int, den: int, block: int) -> DataFrame:
-    """True links that connect clusters (cluster, doc_id, text) which are too large for a task.
+def _sketched(members: DataFrame, size: int) -> DataFrame:
+    """(cluster, doc_id, w, n, mark, parts) of (cluster, doc_id, text): bytes, set size, mark and finer parts of each set that isn't empty."""
 
-    Each round draws some documents of every region as pivots and measures
-    their exact distances to its documents, in blocks of about ``block`` text
-    bytes. Documents go on into their home's region and those that they visit;
-    links with the home's pivot are kept. Regions of up to ``block`` bytes are
-    joined in a task, and larger ones by the next round. One that keeps more
-    than ``SHRINK`` of its parent is ended: its documents that link with the
-    pivot are connected already, so only the others are compared with all, by
-    pairs of blocks.
-    """
-    here = members.select(F.col("cluster").cast("string").alias("region"), "doc_id", "text")
-    links = None
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in wh.chunks(b.column(2)):
+                sets = sets_of(data, offsets, size)
+                columns = [pa.array(np.diff(offsets), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_mark(s) for s in sets], pa.binary()), pa.array([fine_parts(s).tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in (0, 1)), *columns], ["cluster", "doc_id", "w", "n", "mark", "parts"])
+
+    return members.select("cluster", "doc_id", "text").mapInArrow(sketch, "cluster long, doc_id long, w long, n long, mark binary, parts binary").where("n > 0")
+
+
+def near_by_parts(n: np.ndarray, parts: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, first member of its component) of sets that may link by their finer parts, which are folded to the fewer ones of two."""
+    order = np.argsort(n, kind="stable")
+    n, parts = n[order], [parts[i] for i in order]
+    width = np.array([len(x) for x in parts])
+    full = np.array([(x == 255).any() for x in parts])
+    coarse = np.stack([x.reshape(-1, 32).sum(0, dtype=np.int32) for x in parts])
+    tables = {p: np.stack([parts[i] for i in np.flatnonzero(width == p)]) for p in np.unique(width).tolist()}
+    place = np.zeros(len(n), np.int64)
+    for p in tables:
+        place[width == p] = np.arange((width == p).sum())
+    u = Union(len(n))
+    for i in u.leaders():
+        lo, hi = np.searchsorted(n, -(-n[i] * num // den)), np.searchsorted(n, n[i] * den // num, "right")
+        some = np.arange(lo, hi)[(u.label[lo:hi] != u.label[i])]
+        room = (n[some] + n[i]) * (den - num)
+        fits = full[some] | full[i] | (np.abs(coarse[some] - coarse[i]).sum(1) * (den + num) <= room)
+        some, room = some[fits], room[fits]
+        for p in np.unique(width[some]).tolist():
+            those = np.flatnonzero(width[some] == p)
+            q = min(p, width[i])
+            own = parts[i].reshape(-1, q).sum(0, dtype=np.int32)
+            for at in np.array_split(those, len(those) * p // (1 << 22) + 1):
+                gap = np.abs(tables[p][place[some[at]]].reshape(len(at), -1, q).sum(1, dtype=np.int32) - own).sum(1)
+                u.join(i, some[at][full[some[at]] | full[i] | (gap * (den + num) <= room[at])])
+    x, y = u.edges()
+    return order[x], order[y]
+
+
+def _narrow(sketches: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Links (a, b) that the finer parts allow and that connect their components, by pairs of blocks of about ``block`` bytes of parts."""
+
+    def near(t: pa.Table) -> pa.Table:
+        doc, parts = t["doc_id"].to_numpy(), [np.frombuffer(x.as_py(), np.uint8) for x in t["parts"]]
+        x, y = near_by_parts(t["n"].to_numpy(), parts, num, den)
+        wh.give_back()
+        return pa.table([pa.array(doc[x]), pa.array(doc[y])], names=["a", "b"])
+
+    weight = sketches.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("parts")) / block).cast("long").alias("blocks"))
+    dealt = sketches.join(weight, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id", "mark"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc_id", "n", "parts")
+    return dealt.groupBy("cluster", "x", "y").applyInArrow(near, "a long, b long")
+
+
+def _join_large(rows: DataFrame, sent: DataFrame, size: int, num: int, den: int, block: int, few: int) -> DataFrame:
+    """True links that connect clusters (doc_id, cluster) which are too large for a task.
 
-    def add(found: DataFrame) -> None:
-        nonlocal links
-        found = cut(found.select("a", "b"), "links")
-        links = found if links is None else links.unionByName(found)
+    Equal sets are linked first, and one of them goes on. Finer parts, a few
+    hundredths of the texts, split chains of documents that only the coarse
+    ones hold for near. Clusters of up to ``block`` bytes of text are then
+    joined in a task, and larger ones by :func:`_join_by_pivots`.
+    """
+    sketches = cut(_sketched(_picked(rows, sent, few), size), "sketches")
+    first = sketches.groupBy("cluster", "mark").agg(F.min("doc_id").alias("b"))
+    same = cut(sketches.join(first, ["cluster", "mark"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"), "links")
+    one = cut(sketches.groupBy("cluster", "mark").agg(F.min_by(F.struct("doc_id", "w", "n", "parts"), "doc_id").alias("x"), F.count(F.lit(1)).alias("k")).select("cluster", "mark", "x.*", "k"), "sketches")
+    release(sketches)
+    groups = components(_narrow(one, num, den, WIDE * block))
+    groups = cut(one.join(groups, F.col("doc_id") == F.col("node")).groupBy("doc_id", F.col("component").alias("cluster")).agg(F.sum("w").alias("w"), F.sum("k").alias("k")), "clusters")
+    release(one)
+    weight = groups.groupBy("cluster").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("c"))
+    large = cut(weight.where(F.col("w") > block), "oversize")
+    small = groups.join(large, "cluster", "left_anti").select("doc_id", "cluster")
+    links = same.unionByName(cut(_join_clusters(_picked(rows, small, few), size, num, den), "links"))
+    if large.isEmpty():
+        return links
+    rest = groups.select("doc_id", "cluster", "k").join(large, "cluster")
+    return links.unionByName(_join_by_pivots(_picked(rows, rest, few), size, num, den, block))
+
+
+def _join_by_pivots(members: DataFrame, size: int, num: int, den: int, block: int) -> DataFrame:
+    """True links that connect clusters (cluster, doc_id, text, ``k`` equal sets; bytes ``w`` and documents ``c`` of the cluster).
+
+    Some documents of every cluster are drawn as pivots, that with the most
+    equal sets, the likely origin of edited ones, among them. Their exact
+    distances to its documents are measured in blocks of about ``block`` text
+    bytes. Links with pivots connect most near copies at once. Of the
+    components that they make the largest is left alone, and each other
+    document is compared with all documents that could link with it: if x lives
+    with pivot a and y, at most r from x, with b, then d(x, b) <= r + d(y, b)
+    <= r + d(y, a) <= 2 r + d(x, a). So every document stays with its nearest
+    pivot, and x visits the regions within twice the bound.
+    """
+    here = members.withColumn("n", F.ceil(F.col("w") / block).cast("long")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.col("n")))
+    here = cut(here.select("cluster", "doc_id", "text", "k", "c", "n", "block"), "large")
+    # About twice PIVOTS of each cluster are drawn by a hash.
+    drawn = here.select("cluster", "doc_id", "text", F.xxhash64("doc_id", F.lit(0)).alias("r"), "k", "c", "n")
+    first = drawn.groupBy("cluster").agg(F.min_by(F.struct("doc_id", "text", "n"), F.struct(-F.col("k"), "r", "doc_id")).alias("x")).select("cluster", "x.*")
+    pivots = first.unionByName(drawn.where(F.pmod("r", F.col("c")) < 2 * PIVOTS).select(*first.columns)).dropDuplicates(["cluster", "doc_id"])
+    pivots = pivots.select(F.col("cluster").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("in"), F.col("doc_id").alias("pivot"), F.col("text").alias("words"))
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
-        index, doc = Overlaps(_all_sets(left["text"], size)), left["doc_id"].to_numpy()
+        index = Overlaps(_all_sets(left["text"], size))
         right = right.sort_by("pivot")
-        pivots, names = _all_sets(right["words"], size), right["pivot"].to_numpy()
-        distance = np.array([index.distance(p) for p in pivots])
-        home, inside = visits(distance, num, den)
-        near = np.zeros(len(doc), bool)
-        for j, p in enumerate(pivots):
-            mine = np.flatnonzero(home == j)
-            near[mine[np.isin(mine, index.linked(p, num, den))]] = True
-        which, who = np.nonzero(inside)
-        region = left["region"][0].as_py()
-        columns = [pa.array([f"{region}/{names[j]}" for j in which], pa.string()), pa.array(names[which]), pa.array(doc[who]), left["text"].combine_chunks().take(pa.array(who)), pa.array((home[who] == which) & near[who])]
-        return pa.table(columns, names=["region", "pivot", "doc_id", "text", "core"])
-
-    def blocks_of(rows: DataFrame, weight: DataFrame) -> DataFrame:
-        return rows.join(weight, "region").withColumn("n", F.ceil(F.col("w") / block).cast("long")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.col("n")))
+        sets, names = _all_sets(right["words"], size), right["pivot"].to_numpy()
+        distance = np.array([index.distance(p) for p in sets]).reshape(len(sets), left.num_rows)
+        home = distance.argmin(0)
+        inside = distance - distance.min(0) <= 2 * (1 - num / den) + 1e-9
+        near = np.zeros(distance.shape, bool)
+        for j, p in enumerate(sets):
+            near[j, index.linked(p, num, den)] = True
+        lists = [pa.array([names[x].tolist() for x in y.T], pa.list_(pa.int64())) for y in (inside, near)]
+        return pa.table([left["cluster"], left["doc_id"], left["text"], pa.array(names[home]), *lists], names=["cluster", "doc_id", "text", "home", "visits", "linked"])
 
     def cross(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Links of the documents of one block with those of another."""
+        """Links of the documents of one block with those that visit it."""
         a, b = _all_sets(left["text"], size), _all_sets(right["words"], size)
         index, u = Overlaps(a), Union(len(a) + len(b))
         for i, s in enumerate(b):
             u.join(len(a) + i, index.linked(s, num, den))
-        doc = np.concatenate((left["doc_id"].to_numpy(), right["pivot"].to_numpy()))
+        doc = np.concatenate((left["doc_id"].to_numpy(), right["visitor"].to_numpy()))
         x, y = u.edges()
         return pa.table([pa.array(doc[x]), pa.array(doc[y])], names=["a", "b"])
 
-    weight = cut(here.groupBy("region").agg(F.sum(F.octet_length("text")).alias("w"), F.count(F.lit(1)).alias("c")), "weights")
-    for level in range(64):
-        here = cut(blocks_of(here, weight.select("region", "w", "c")), "large")
-        # About twice PIVOTS of each region, drawn by a hash; the first by it is always among them.
-        drawn = here.select("region", "doc_id", "text", F.xxhash64("doc_id", F.lit(level)).alias("r"), "c", "n")
-        first = drawn.groupBy("region").agg(F.min_by(F.struct("doc_id", "text", "n"), F.struct("r", "doc_id")).alias("x")).select("region", "x.*")
-        pivots = first.unionByName(drawn.where(F.pmod("r", F.col("c")) < 2 * PIVOTS).select(*first.columns)).dropDuplicates(["region", "doc_id"])
-        pivots = pivots.select(F.col("region").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("in"), F.col("doc_id").alias("pivot"), F.col("text").alias("words"))
-        rows = here.select("region", "block", "doc_id", "text").groupBy("region", "block").cogroup(pivots.groupBy("at", "in")).applyInArrow(measure, "region string, pivot long, doc_id long, text string, core boolean")
-        rows = cut(rows, "regions")
-        add(rows.where("core and doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
-        parent = weight.select(F.col("region").alias("parent"), F.col("w").alias("before"))
-        weight = rows.groupBy("region").agg(F.sum(F.octet_length("text")).alias("w"), F.count(F.lit(1)).alias("c"), F.sum(F.when(F.col("core"), 0).otherwise(1)).alias("open"))
-        weight = weight.join(parent, F.regexp_replace("region", "/-?[0-9]+$", "") == F.col("parent")).where("open > 0")
-        weight = cut(weight.withColumn("how", F.when(F.col("w") <= block, "task").when(F.col("w") <= SHRINK * F.col("before"), "again").otherwise("blocks")), "weights")
-        of = lambda how: rows.join(weight.where(F.col("how") == how).select("region", "w", "c"), "region")
-        add(_join_clusters(of("task").select("region", "doc_id", "text"), size, num, den, "region"))
-        stuck = weight.where("how = 'blocks'").select("region", "w", "c")
-        if not stuck.isEmpty():
-            every = blocks_of(rows.select("region", "doc_id", "text"), stuck)
-            open_ = blocks_of(rows.where("not core").select("region", "doc_id", "text"), stuck).withColumnRenamed("block", "other")
-            open_ = cut(open_.select(F.col("region").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("in"), "other", F.col("doc_id").alias("pivot"), F.col("text").alias("words")), "open")
-            pairs = open_.select(F.col("at").alias("region"), F.col("other").alias("against")).distinct()
-            every = cut(every.join(pairs, "region").select("region", "block", "against", "doc_id", "text"), "every")
-            add(every.groupBy("region", "block", "against").cogroup(open_.groupBy("at", "in", "other")).applyInArrow(cross, "a long, b long"))
-        weight = weight.where("how = 'again'").select("region", "w", "c")
-        if weight.isEmpty():
-            return links
-        here = rows.join(weight.select("region"), "region").select("region", "doc_id", "text")
-    raise RuntimeError("regions did not shrink")
+    schema = "cluster long, doc_id long, text string, home long, visits array<long>, linked array<long>"
+    every = cut(here.select("cluster", "block", "doc_id", "text").groupBy("cluster", "block").cogroup(pivots.groupBy("at", "in")).applyInArrow(measure, schema), "regions")
+    release(here)
+    links = cut(every.select(F.col("doc_id").alias("a"), F.explode("linked").alias("b")).where("a <> b"), "links")
+    part = components(links)
+    whose = cut(every.select("cluster", "doc_id").distinct().join(part, F.col("doc_id") == F.col("node"), "left").select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("part")), "parts")
+    main = whose.groupBy("cluster", "part").count().groupBy("cluster").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+    open_ = cut(whose.join(main, "cluster").where("part <> main").select("cluster", "doc_id"), "open")
+    visitors = every.join(open_, ["cluster", "doc_id"]).select("cluster", F.explode("visits").alias("home"), F.col("doc_id").alias("visitor"), F.col("text").alias("words"))
+    weight = lambda df, text, k: df.groupBy("cluster", "home").agg(F.ceil(F.sum(F.octet_length(text)) / block).cast("long").alias(k))
+    blocks = cut(weight(every, "text", "n").join(weight(visitors, "words", "m"), ["cluster", "home"]), "weights")
+    numbers = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    left = every.join(blocks, ["cluster", "home"]).select("cluster", "home", F.pmod(F.xxhash64("doc_id", "text"), F.col("n")).alias("i"), numbers("m").alias("j"), "doc_id", "text")
+    right = visitors.join(blocks, ["cluster", "home"]).select(F.col("cluster").alias("at"), F.col("home").alias("by"), numbers("n").alias("in"), F.pmod(F.xxhash64("visitor", "words"), F.col("m")).alias("against"), "visitor", "words")
+    found = cut(left.groupBy("cluster", "home", "i", "j").cogroup(right.groupBy("at", "by", "in", "against")).applyInArrow(cross, "a long, b long"), "links")
+    release(every, whose, open_, blocks)
+    return links.unionByName(found)
 
 
 def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", few: int = 1_000_000, cluster_bytes: int = 4 << 20, region: int = REGION) -> DataFrame:
@@ -543,7 +629,7 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
 
     Equal sets within a task travel once. A region of more than ``region``
     documents, counted exactly, is joined by pairs of blocks, and a cluster of
-    more than ``cluster_bytes`` by rounds of pivots over the cluster's texts.
+    more than ``cluster_bytes`` by finer parts and pivots over the cluster's texts.
 
     Null, empty and blank texts have no shingles and link with nothing. A null
     doc_id links with nothing and has a null component. Rows that share a
@@ -570,7 +656,7 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
         links = _join_clusters(members, size, num, den)
     else:
         links = _join_clusters(members.join(large, "cluster", "left_anti"), size, num, den)
-        links = links.unionByName(_join_large(members.join(large, "cluster"), size, num, den, cluster_bytes))
+        links = links.unionByName(_join_large(rows, sent.join(large, "cluster").select("doc_id", "cluster"), size, num, den, cluster_bytes, few))
     group = components(links.unionByName(copies))
     out = scanned.where("what = 'doc'").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     return out.join(group, F.col("node") == F.col("doc_id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

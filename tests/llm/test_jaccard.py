@@ -135,3 +135,56 @@ def test_words_that_a_polynomial_confuses(spark, case):
         b = a.translate(str.maketrans("ab", "ba"))
         rows += [(k, f"{a} {b}"), (k + 1, f"{b} {a}"), (k + 2, a), (k + 3, b)]
     assert run(spark, rows, *case) == brute(rows, *case)
+
+
+@pytest.mark.parametrize("case", [(3, 9, 10), (5, 8, 10)])
+def test_large_clusters_write_little(spark, monkeypatch, case):
+    """Families of edited copies and a chain that are far too large for a task: no round multiplies their documents."""
+    rng = random.Random(11)
+    rows, moving = [], [f"m{i}" for i in range(150)]
+    for g in range(2):
+        words = [f"g{g}w{i}" for i in range(150)]
+        for i in range(120):
+            own = list(words)
+            for _ in range(0 if i % 3 == 0 else rng.choice([1, 2, 4, 7])):
+                own[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    for i in range(80):
+        for _ in range(6 if i % 20 == 0 else 2):
+            moving[rng.randrange(150)] = f"c{i}x{rng.randrange(100)}"
+        rows.append((len(rows), " ".join(moving)))
+    written, real = [], jaccard.cut
+
+    def cut(df, name):
+        out = real(df, name)
+        if "text" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", cut)
+    expected = brute(rows, *case)
+    assert 3 < len({x[2] for x in expected}) < 200
+    assert run(spark, rows, *case, cluster_bytes=1500) == expected
+    assert sum(written) <= 2 * len(rows)
+
+
+def test_finer_parts_lose_no_link():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = []
+    for size in (40, 300, 700, 3000):
+        for _ in range(4):
+            base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+            for _ in range(6):
+                s = base.copy()
+                s[rng.random(size) < rng.choice([0.02, 0.08, 0.3])] = rng.integers(0, 1 << 62)
+                sets.append(np.unique(s[: int(size * rng.choice([1, 0.85]))]))
+    u, n = jaccard.Union(len(sets)), np.array([len(s) for s in sets])
+    for a, b in zip(*jaccard.near_by_parts(n, [jaccard.fine_parts(s) for s in sets], 8, 10), strict=True):
+        u.join(a, np.array([b]))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(s, sets[j]))
+            assert both * 10 < 8 * (len(s) + len(sets[j]) - both) or u.label[i] == u.label[j]
+    assert len(set(u.label.tolist())) >= 16
