@@ -42,7 +42,7 @@ from glyphmill.llm.substring import FLUSH, bucket_of, pack, unpack
 #: Places of the frequency sketch and slices in which it travels; parts of the shingle universe.
 PLACES, SLICES, PARTS = 1 << 20, 64, 32
 PIVOT = (("key", "<u8"), ("row", "<u4"))
-SETS = (("doc", "<i8"), ("n", "<u4"), *((f"p{i}", "<u2") for i in range(PARTS)))
+SETS = (("doc", "<i8"), ("n", "<u4"), ("mark", "<u8"), *((f"p{i}", "<u2") for i in range(PARTS)))
 REGION_SCHEMA = "bucket int, what string, a long, b long, sets binary, pivots binary"
 #: Sets from which on a candidate pair is tested once more, by finer parts.
 FINE = 256
@@ -166,6 +166,22 @@ def _mark(s: np.ndarray) -> bytes:
     return np.add.reduce(s).tobytes() + np.bitwise_xor.reduce(wh.mix(s)).tobytes() + len(s).to_bytes(8, "little")
 
 
+def first_of_equal(doc: np.ndarray, n: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """For each set the place of the one with the smallest id among those of its size and mark."""
+    order = np.lexsort((doc, n, mark))
+    new = np.append(True, (mark[order[1:]] != mark[order[:-1]]) | (n[order[1:]] != n[order[:-1]]))
+    out = np.empty(len(doc), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1]
+    return out
+
+
+def _equal(scanned: DataFrame) -> DataFrame:
+    """Links (a, b) of all documents of a scan to the smallest id among those with an equal set; equal sets within a task are linked first."""
+    marks = scanned.where("what = 'mark'").select("a", F.col("sets").alias("mark"))
+    first = marks.groupBy("mark").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("last > b").select("mark", "b")
+    return scanned.where("what = 'copy'").select("a", "b").unionByName(marks.join(first, "mark").where("a <> b").select("a", "b"))
+
+
 def fine_parts(s: np.ndarray) -> np.ndarray:
     """How many of a set are in each of its finer parts, of about four to eight each; 255 stands for more too."""
     p = 1 << max(5, len(s).bit_length() - 3)
@@ -186,30 +202,34 @@ def _deal(bucket: np.ndarray, table: dict, key: np.ndarray, row: np.ndarray) ->
 
 
 def _scan(texts: DataFrame, size: int, num: int, den: int, buckets: int, frequency: np.ndarray) -> DataFrame:
-    """Rows ``doc`` (id, set size), ``copy`` (ids of equal sets) and ``sets`` (sets with the pivots of a bucket)."""
+    """Rows ``doc`` (id, set size), ``copy`` (ids of equal sets), ``mark`` (id and mark of a set that travels) and ``sets`` (sets with the pivots of a bucket)."""
     weight = np.rint(6 * np.log2(frequency[:PLACES] + 1.0)).clip(max=255).astype(np.int64)
     shared = texts.sparkSession.sparkContext.broadcast(weight)
 
     def flush(docs: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        copies, keys, rows, n, parts, ids = [], [], [], [], [], []
+        copies, keys, rows, n, parts, ids, marks = [], [], [], [], [], [], []
         for doc, s in zip(docs, sets, strict=True):
             if not len(s):
                 continue
-            if (other := seen.setdefault(_mark(s), doc)) != doc:
+            mark = _mark(s)
+            if (other := seen.setdefault(mark, doc)) != doc:
                 copies.append((doc, other))
                 continue
             key = s[: prefix_length(len(s), num, den)]
             rows.append(np.full(len(key), len(ids)))
             keys.append(key)
             ids.append(doc)
+            marks.append(mark)
             n.append(len(s))
             parts.append(np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).clip(max=65535))
         none = [None] * len(copies)
         yield _rows(["copy"] * len(copies), [x for x, _ in copies], [y for _, y in copies], none, none, [x % buckets for x, _ in copies])
         if ids:
+            none = [None] * len(ids)
+            yield _rows(["mark"] * len(ids), ids, none, marks, none, [x % buckets for x in ids])
             key, row = np.concatenate(keys), np.concatenate(rows)
-            table = {"doc": np.array(ids), "n": np.array(n)} | {f"p{i}": x for i, x in enumerate(np.array(parts).T)}
+            table = {"doc": np.array(ids), "n": np.array(n), "mark": np.array([int.from_bytes(x[:8], "little") for x in marks], np.uint64)} | {f"p{i}": x for i, x in enumerate(np.array(parts).T)}
             yield from _deal(bucket_of(key, buckets), table, key, row)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +294,7 @@ def _split_hot(sets: DataFrame, frequency: np.ndarray, buckets: int, region: int
                 table = unpack(SETS, one.column(4).to_pylist())
                 keys, rows = [key[~hot]], [row[~hot]]
                 blocks = (n[at[hot]] // region + 1).astype(np.int64)
-                own = (table["doc"][row[hot]] * 0x9E3779B1 & 0xFFFFFFFF) % blocks
+                own = (wh.mix(table["mark"][row[hot]]) >> np.uint64(32)).astype(np.int64) % blocks  # equal sets share a block
                 other = _ramp(blocks)
                 own, blocks, base = (np.repeat(x, blocks) for x in (own, blocks, key[hot]))
                 pair = np.minimum(own, other) * blocks + np.maximum(own, other)
@@ -287,7 +307,10 @@ def _split_hot(sets: DataFrame, frequency: np.ndarray, buckets: int, region: int
 
 
 def _join_regions(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (what, a, b), ``near`` and ``pair``: ids of candidates; a pair is to be tested by finer parts."""
+    """Rows (what, a, b), ``near`` and ``pair``: ids of candidates; a pair is to be tested by finer parts.
+
+    Equal sets are in the same regions. Only that of the smallest id is compared, so copies make no pairs.
+    """
 
     def join(t: pa.Table) -> pa.Table:
         tables, keys, rows, upto = [], [], [], 0
@@ -300,9 +323,11 @@ def _join_regions(sets: DataFrame, num: int, den: int) -> DataFrame:
         doc = np.concatenate([x["doc"] for x in tables])
         n = np.concatenate([x["n"] for x in tables]).astype(np.int64)
         part = np.stack([np.concatenate([x[f"p{i}"] for x in tables]) for i in range(PARTS)], 1).astype(np.int32)
-        key, row = np.concatenate(keys), np.concatenate(rows)
-        order = np.lexsort((doc[row], key))
+        key, row = np.concatenate(keys), first_of_equal(doc, n, np.concatenate([x["mark"] for x in tables]))[np.concatenate(rows)]
+        order = np.lexsort((row, key))
         key, row = key[order], row[order]
+        own = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))
+        key, row = key[own], row[own]
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         count = np.diff(np.append(begin, len(key)))
         small = (count > 1) & (count <= 16)
@@ -627,7 +652,7 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     num * |A u B|``; ``component_id`` is the smallest doc_id reachable by
     links. The join is exact up to 64-bit hashes of shingles.
 
-    Equal sets within a task travel once. A region of more than ``region``
+    Equal sets within a task travel once; of those of all tasks one is compared. A region of more than ``region``
     documents, counted exactly, is joined by pairs of blocks, and a cluster of
     more than ``cluster_bytes`` by finer parts and pivots over the cluster's texts.
 
@@ -643,11 +668,9 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     scanned = cut(_scan(rows, size, num, den, buckets, frequency), "scan")
     found = cut(_join_regions(_split_hot(scanned.where("what = 'sets'"), frequency, buckets, region), num, den), "regions")
 
-    copies = scanned.where("what = 'copy'").select("a", "b")
     near = found.where("what = 'near' and a <> b").select("a", "b")
     near = near.unionByName(_test_pairs(rows, found.where("what = 'pair' and a <> b").select("a", "b"), size, num, den, few)).distinct()
-    cluster = components(near)
-    sent = cut(cluster.join(copies, F.col("node") == F.col("a"), "left_anti").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+    sent = cut(components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
     lengths = rows.select("doc_id", F.octet_length("text").alias("w"))
     weight = _picked(lengths, sent, few).groupBy("cluster").agg(F.sum("w").alias("w"))
     large = cut(weight.where(F.col("w") > cluster_bytes).select("cluster"), "oversize")
@@ -657,7 +680,7 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     else:
         links = _join_clusters(members.join(large, "cluster", "left_anti"), size, num, den)
         links = links.unionByName(_join_large(rows, sent.join(large, "cluster").select("doc_id", "cluster"), size, num, den, cluster_bytes, few))
-    group = components(links.unionByName(copies))
+    group = components(links.unionByName(_equal(scanned)))
     out = scanned.where("what = 'doc'").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     return out.join(group, F.col("node") == F.col("doc_id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

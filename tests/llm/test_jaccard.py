@@ -188,3 +188,35 @@ def test_finer_parts_lose_no_link():
             both = len(np.intersect1d(s, sets[j]))
             assert both * 10 < 8 * (len(s) + len(sets[j]) - both) or u.label[i] == u.label[j]
     assert len(set(u.label.tolist())) >= 16
+
+
+def test_copies_in_many_tasks_make_no_pairs(spark, monkeypatch):
+    """A table repeated with other ids, one copy in each of many tasks, makes no more candidates than the table once."""
+    texts = [t for _, t in near_copies(4, 40, 4)]
+    once = brute(list(enumerate(texts)), 3, 9, 10)
+    sizes: dict = {}
+    real = jaccard.cut
+
+    def cut(df, name):
+        out = real(df, name)
+        if name in ("regions", "pairs", "clusters"):
+            sizes[name, copies, region] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", cut)
+    for copies, region in ((1, jaccard.REGION), (12, jaccard.REGION), (12, 20)):
+        rows = [(k * 1000 + i, t) for k in range(copies) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(copies, "doc_id")
+        got = jaccard.similar_groups(df, 3, 9, 10, region=region).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((k * 1000 + i, n, c) for k in range(copies) for i, n, c in once)
+    for name in ("regions", "pairs", "clusters"):  # ranks of words are rounded, so prefixes differ a little
+        assert 0 < sizes[name, 12, jaccard.REGION] <= 1.2 * sizes[name, 1, jaccard.REGION]
+
+
+def test_id_shared_by_a_copy_and_another_text(spark):
+    rng = random.Random(6)
+    one, other = ([f"{x}{rng.randrange(10**6)}" for _ in range(60)] for x in "ab")
+    rows = [(3, " ".join(one)), (5, " ".join(one)), (5, " ".join(other)), (9, " ".join([*other, "tail"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.component_id) for r in jaccard.similar_groups(df, 3, 9, 10).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3)}
