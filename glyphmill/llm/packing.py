@@ -48,15 +48,37 @@ def _words(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> list[np.nd
     return [every[starts + 8 * k] & masks[(size - 8 * k).clip(0, 8)] for k in range(HELD)]
 
 
-def terms_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, occurrences), by document and then term."""
+def _distinct(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's length, the sorted ids of each document in turn, and where an id of a document occurs first."""
     length = np.array([len(d) for d in docs], np.int64)
-    ids = np.concatenate([*(np.sort(d, kind="stable") for d in docs), np.zeros(0, np.uint16)]).astype(np.int64)
+    ids = np.concatenate([*(np.sort(d, kind="stable") for d in docs), np.zeros(0, np.uint16)])
     new = np.ones(len(ids), bool)
     new[1:] = ids[1:] != ids[:-1]
     new[(np.cumsum(length) - length)[length > 0]] = True
-    at = np.flatnonzero(new)
-    return np.repeat(np.arange(len(docs)), length)[at], ids[at], np.diff(np.append(at, len(ids)))
+    return length, ids, np.flatnonzero(new)
+
+
+def terms_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, occurrences), by document and then term."""
+    length, ids, at = _distinct(docs)
+    return np.repeat(np.arange(len(docs)), length)[at], ids[at].astype(np.int64), np.diff(np.append(at, len(ids)))
+
+
+def frequencies(docs: list[np.ndarray], size: int) -> np.ndarray:
+    """In how many documents each of ``size`` ids occurs."""
+    _, ids, at = _distinct(docs)
+    return np.bincount(ids[at], minlength=size)
+
+
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each (any one: that saves a stable sort), and each value's number among them."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    at, group = np.flatnonzero(new), np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return ranked[at], order[at], group
 
 
 def _equal(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> bool:
@@ -168,7 +190,7 @@ class Tokens:
             begin = np.cumsum(size[long]) - size[long]
             body = data[np.repeat(starts[long] - begin, size[long]) + np.arange(int(size[long].sum()))]
             value[long] = wh.mix(value[long] + wh.hash_spans(body, begin, begin + size[long]))
-        keys, first, group = np.unique(value, return_index=True, return_inverse=True)
+        keys, first, group = _groups(value)
         head = first[group]
         if not (size[head] == size).all() or any((w[head] != w).any() for w in held) or not _equal(data, starts[long], data, starts[head[long]], size[long]):
             return None
@@ -237,7 +259,7 @@ def tokenise(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "t
         for b in batches:
             for lo, hi, data, offsets in wh.chunks(b.column(1)):
                 every = [x.astype("<u2" if tokens.size <= 1 << 16 else "<u4") for x in tokens.encode(data, offsets)]
-                df += np.bincount(terms_of(every)[1], minlength=tokens.size).astype(np.uint32)
+                df += frequencies(every, tokens.size).astype(np.uint32)
                 ended = [np.append(x, x.dtype.type(end_id)) for x in every]
                 sizes, blobs = [len(x) for x in ended], [packer.compress(x.tobytes()) for x in ended]
                 yield batch(range(row, row + hi - lo), b.column(0).slice(lo, hi - lo), sizes, blobs)
@@ -277,12 +299,15 @@ class Weights:
         doc, term, weight = self.counted(docs)
         often = self.df[term] * COMMON >= self.n_docs
         doc, term, weight = doc[often], term[often], weight[often]
-        order = np.lexsort((term, -weight, doc))
-        first = np.searchsorted(doc, np.arange(len(docs)))
-        rank = np.arange(len(order)) - first[doc]
         out = np.full((len(docs), DEAL), len(self.df), np.int32)
-        top = rank < DEAL
-        out[doc[top], rank[top]] = term[order][top]
+        for rank in range(DEAL if len(doc) else 0):
+            # The weightiest term left of each document, the smallest among equals; weights are above 0.
+            start = np.flatnonzero(np.diff(doc, prepend=-1))
+            most = np.repeat(np.maximum.reduceat(weight, start), np.diff(np.append(start, len(doc))))
+            at = np.flatnonzero((weight == most) & (most > 0))
+            at = at[np.diff(doc[at], prepend=-1) > 0]
+            out[doc[at], rank] = term[at]
+            weight[at] = 0
         return out
 
 

@@ -116,6 +116,32 @@ def test_ranked_is_a_stable_sort():
     assert list(packing.ranked(score, unused)) == at[np.argsort(-score[at], kind="stable")].tolist()
 
 
+def test_deal_takes_the_weightiest_terms():
+    # Few distinct weights: most are ties. Some documents have no term that is frequent enough, or none at all.
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 30, rng.integers(0, 25)) for _ in range(200)] + [np.zeros(0, int), np.array([40]), np.array([40, 3]), np.arange(3)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=50)
+    df[:30] //= 20
+    df[:30] *= 20
+    weights = packing.Weights(df, len(docs), 12.0)
+    got = weights.deal(docs)
+    for d, have in zip(docs, got.tolist(), strict=True):
+        _, term, weight = weights.counted([d])
+        best = sorted((-w, t) for w, t in zip(weight.tolist(), term.tolist(), strict=True) if df[t] * packing.COMMON >= len(docs))
+        assert have == ([t for _, t in best] + [50] * packing.DEAL)[: packing.DEAL]
+    assert weights.deal([]).shape == (0, packing.DEAL)
+
+
+def test_groups_and_frequencies():
+    values = np.random.default_rng(5).integers(0, 300, 4000).astype(np.uint64) << np.uint64(50)
+    keys, at, group = packing._groups(values)
+    assert keys.tolist() == np.unique(values).tolist()
+    assert (values[at] == keys).all() and (keys[group] == values).all()
+    docs = [np.array(x, np.uint16) for x in ([5, 5, 1], [], [5], [1, 9, 9, 9], [])]
+    assert packing.frequencies(docs, 12).tolist() == [0, 2, 0, 0, 0, 2, 0, 0, 0, 1, 0, 0]
+    assert packing.frequencies([], 3).tolist() == [0, 0, 0]
+
+
 def test_shards_are_dealt_by_content(spark):
     # Ten topics of 40 texts each in random order: most windows of many small shards stay within one topic.
     rng = np.random.default_rng(2)
